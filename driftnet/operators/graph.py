@@ -136,7 +136,7 @@ def pair_table(topics: DataFrame, records: DataFrame, rules: PairRules, outcome:
     counts = citing_counts(records)
     l = ends.select(F.col("id").alias("a"), F.col("pos").alias("pa"), F.col("domain").alias("da"), F.col("size").alias("sa"))
     r = ends.select(F.col("id").alias("b"), F.col("pos").alias("pb"), F.col("domain").alias("db"), F.col("size").alias("sb"))
-    pairs = l.join(r, (F.col("pa") < F.col("pb")) & (F.col("da") <> F.col("db")))
+    pairs = l.join(r, (F.col("pa") < F.col("pb")) & (F.col("da") != F.col("db")))
     before = counts.filter(F.col("window").isin("before", "train")).groupBy("cited", "citing").agg(F.sum("n").alias("n"))
     pairs = both_ways(pairs, before, "p_ab", "p_ba").withColumn("prior", F.col("p_ab") + F.col("p_ba")).filter(F.col("prior") <= rules.most_prior)
     near, recent = neighbourhoods(counts, sample, "train"), neighbourhoods(counts, sample, "recent")

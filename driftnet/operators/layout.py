@@ -100,4 +100,4 @@ def layout(coordinates: DataFrame, rounds: int = 300) -> DataFrame:
         at = tsne(np.array(pdf["coordinates"].tolist()), rounds=rounds).round().astype(int)
         return pd.DataFrame({"doc": pdf["doc"], "x": at[:, 0], "y": at[:, 1]})
 
-    return coordinates.groupBy(F.lit(0)).applyInPandas(run, f"doc {kind}, x int, y int")
+    return coordinates.groupBy(F.lit("all")).applyInPandas(run, f"doc {kind}, x int, y int")
