@@ -13,14 +13,16 @@ HOT_ROWS = 100_000
 PROBE = 0.05
 
 
-def hot_keys(df: DataFrame, key: str | Column, weight: Column | None = None, rows: int = HOT_ROWS, share: float = HOT_SHARE, probe: float = PROBE) -> list:
+def hot_keys(df: DataFrame, key: str | Column, weight: Column | None = None, rows: int | None = None, share: float | None = None, probe: float | None = None) -> list:
     """Keys that hold at least `share` of the rows (or of `weight`) and at least `rows` of them.
 
     At most 1 / share keys reach the driver. Null keys are never returned. Pass a scan or a staged
     table: the probe reads the input once more.
     """
+    rows, share, probe = (d if v is None else v for v, d in ((rows, HOT_ROWS), (share, HOT_SHARE), (probe, PROBE)))
     key = F.col(key) if isinstance(key, str) else key
-    sized = df.select(key.alias("k"), (weight if weight is not None else F.lit(1)).cast("double").alias("w")).sample(probe, seed=11)
+    sized = df.select(key.alias("k"), (weight if weight is not None else F.lit(1)).cast("double").alias("w"))
+    sized = sized.sample(probe, seed=11) if probe < 1 else sized
     per_key = sized.groupBy("k").agg(F.sum("w").alias("w"))
     total = sized.agg(F.sum("w").alias("t"))
     least = F.greatest(F.lit(rows * probe), F.col("t") * share)
