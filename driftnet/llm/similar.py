@@ -87,7 +87,7 @@ def word_sets(texts: DataFrame, least: int = 4) -> DataFrame:
     much of the table is spread over SALTS partitions and its sets united after. Rows with a null work
     or text don't count. Works without words are left out: they are like nothing.
     """
-    rows = texts.filter("work is not null and text is not null")
+    rows = texts.select("work", "text").filter("work is not null and text is not null")
     hot = skew.hot_keys(rows, "work")
     salt = skew.salted(hot, F.col("work"), F.col("text"), SALTS)
     ordered = (rows.repartition("work", salt) if hot else rows.repartition("work")).sortWithinPartitions("work").select("work", "text")

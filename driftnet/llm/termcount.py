@@ -51,13 +51,22 @@ def term_changes(changes: DataFrame, least: int = 1) -> DataFrame:
 class TermCounts:
     """Term counts of a collection, persisted in the shared folder, partitioned by a hash of the term.
 
-    apply() adds the effect of changed records only and writes the next version; a version is there
-    once its writer has committed, so a lost executor or a failed job leaves the last one in place.
+    apply() adds the effect of changed records only and writes the next version: the counts, then a
+    row with the number of records, which makes the version valid. So a lost executor or a failed job
+    leaves the last one in place, and another session finds it by the path.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, least: int = 1, buckets: int = BUCKETS):
         self.spark, self.path, self.least, self.buckets = spark, path or session.stage_path(spark, "terms"), least, buckets
         self.version, self.n_records = 0, 0
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if path and fs.exists(folder):
+            names = [s.getPath().getName() for s in fs.listStatus(folder)]
+            done = [int(n[5:]) for n in names if n.startswith("meta-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+            if done:
+                self.version = max(done)
+                self.n_records = spark.read.parquet(f"{self.path}/meta-{self.version}").first()["records"]
 
     def counts(self) -> DataFrame:
         """(term, occurrences, records, bucket) as of the last version; empty before the first."""
@@ -68,18 +77,21 @@ class TermCounts:
     def apply(self, new: DataFrame, old: DataFrame | None = None) -> TermCounts:
         """Merge the records that differ between old and new (column `text` each). Returns self."""
         changes = signed(new, old)
-        if old is not None:
-            changes = session.stage(changes, "changes")
-        delta = term_changes(changes, self.least)
+        return self.apply_changes(changes if old is None else session.stage(changes, "changes"))
+
+    def apply_changes(self, changes: DataFrame) -> TermCounts:
+        """Merge changes (text, sign) as they are: 1 for an added record, -1 for a deleted one, both for a changed one."""
+        changes = changes.filter("text is not null").select("text", "sign")
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")
-        both = delta.select("term", "occurrences", "records", bucket)
+        both = term_changes(changes, self.least).select("term", "occurrences", "records", bucket)
         if self.version:
             both = self.counts().select("term", "occurrences", "records", "bucket").unionByName(both)
             both = both.groupBy("bucket", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
         both = both.select("term", "occurrences", "records", "bucket").filter("occurrences <> 0 or records <> 0")
         both.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{self.version + 1}")
-        self.n_records += changes.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n")).first()["n"]
-        self.version += 1
+        records = self.n_records + changes.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n")).first()["n"]
+        self.spark.range(1).select(F.lit(records).cast("bigint").alias("records")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta-{self.version + 1}")
+        self.version, self.n_records = self.version + 1, records
         return self
 
     def marked(self, least_records: int = 3, most_share: float = 0.12) -> DataFrame:
