@@ -19,10 +19,10 @@ STRIDE = 12
 RANK = 160
 OVERSAMPLE = 16
 POWER_ROUNDS = 2
-LEAST_COSINE = 0.6
+LEAST_COSINE = 0.55
 #: Evaluation texts are taken in blocks of at most so many characters, which bounds the vocabulary,
 #: the latent space and all else that is broadcast; further blocks are further passes.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def words(text: str) -> list[str]:
@@ -81,6 +81,11 @@ class _Space:
             for p, x in enumerate(ids.tolist()):
                 m[x] = m.get(x, 0) | (1 << p)
             self.masks.append(m)
+        held = np.zeros((len(self.ids), len(self.vocabulary) + 1), dtype=bool)  # the last column is for unknown words
+        for i, ids in enumerate(self.ids):
+            held[i, ids] = True
+        #: Which words each text holds, eight to a byte.
+        self.held = np.packbits(held, axis=1, bitorder="little")
 
 
 def _scan(vocabulary, least: int, gap: int):
@@ -216,7 +221,15 @@ def _search(shared, least_run: int, least_ratio: float, least_cosine: float):
             pair = hit.astype(np.int64) * len(space.keys) + space.of[col]
             order = np.lexsort((-cosines[hit, col], pair))
             _, first = np.unique(pair[order], return_index=True)
-            for k in order[first]:
+            chosen = order[first]
+            # a common subsequence is no longer than the number of words that the text has at all
+            at_ = firsts[passage[at + hit[chosen]]][:, None] + np.arange(2 * STRIDE)
+            last = ends[owner[passage[at + hit[chosen]]] + 1][:, None]
+            ids = np.where(at_ < last, flat[np.minimum(at_, len(flat) - 1)], -1)
+            ids = np.where(ids < 0, len(space.vocabulary), ids)
+            known = (space.held[space.of[col[chosen]][:, None], ids >> 3] >> (ids & 7).astype(np.uint8)) & 1
+            enough = known.sum(axis=1) >= np.minimum(least_run, least_ratio * np.minimum(2 * STRIDE, last[:, 0] - at_[:, 0]))
+            for k in chosen[enough]:
                 p = passage[at + hit[k]]
                 text, i, a = int(space.of[col[k]]), int(owner[p]), int(firsts[p])
                 b = min(a + 2 * STRIDE, int(ends[i + 1]))
