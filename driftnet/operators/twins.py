@@ -118,25 +118,26 @@ def field_vectors(papers: DataFrame, abstracts: DataFrame, least_df: int = 2) ->
 
 def field_distances(fields: DataFrame) -> DataFrame:
     """(a, b, distance), a < b: one minus the cosine of two fields' vectors, within 0 and 1; fields sharing no term aren't listed."""
-    near = V.cosine_pairs(fields, "field")
+    near = V.block_cosines(fields, "field")
     return near.select("a", "b", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("cosine"))), 6).alias("distance"))
 
 
-def scored_pairs(papers: DataFrame, fields: DataFrame, distances: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b, similarity, distance, score, known) of papers of different fields that share a term.
-
-    fields (work, field) of every paper; distances as from field_distances, known (work, family) of
-    benchmark members. A pair of an unknown distance has 1. known tells pairs of one family.
-    """
+def near_pairs(papers: DataFrame, fields: DataFrame, distances: DataFrame, k: int) -> DataFrame:
+    """(work, other, similarity, distance, score) of each paper's k nearest of other fields, by similarity and by score."""
     placed = papers.join(fields.withColumnRenamed("work", "doc"), "doc", "left").withColumn("field", F.coalesce("field", "doc"))
-    near = V.cosine_pairs(placed, "doc", F.col("field_a") != F.col("field_b"), ("field",))
+    return V.block_neighbours(placed, "field", k, distances).withColumnRenamed("doc", "work")
+
+
+def known_pairs(papers: DataFrame, fields: DataFrame, distances: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, similarity, distance, score) of papers of one family and different fields; a family has a few papers."""
+    own = known.select(F.col("work").alias("a"), "family").join(known.select(F.col("work").alias("b"), "family"), "family").filter("a < b").withColumn("pair", F.concat_ws("-", "a", "b"))
     for s in "ab":
-        near = near.join(fields.select(F.col("work").alias(s), F.col("field").alias(f"f{s}")), s, "left").withColumn(f"f{s}", F.coalesce(f"f{s}", s))
-        near = near.join(known.select(F.col("work").alias(s), F.col("family").alias(f"k{s}")), s, "left")
+        own = own.join(fields.select(F.col("work").alias(s), F.col("field").alias(f"f{s}")), s, "left").withColumn(f"f{s}", F.coalesce(f"f{s}", s))
+    near = V.dots(own.filter("fa <> fb"), papers, "a", "b")
     d = distances.select(F.col("a").alias("fx"), F.col("b").alias("fy"), "distance")
     near = near.withColumns({"fx": F.least("fa", "fb"), "fy": F.greatest("fa", "fb")}).join(d, ["fx", "fy"], "left").withColumn("distance", F.coalesce("distance", F.lit(1.0)))
-    s = F.round("cosine", 6)
-    return near.filter(s > 0).select("a", "b", s.alias("similarity"), "distance", F.round(s * F.col("distance"), 6).alias("score"), F.coalesce(F.col("ka") == F.col("kb"), F.lit(False)).alias("known"))
+    s = F.round("dot", 6)
+    return near.filter(s > 0).select("a", "b", s.alias("similarity"), "distance", F.round(s * F.col("distance"), 6).alias("score"))
 
 
 def families(papers: DataFrame) -> DataFrame:
@@ -150,16 +151,17 @@ def both_sides(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("work"), F.col("b").alias("other"), *rest).unionByName(pairs.select(F.col("b").alias("work"), F.col("a").alias("other"), *rest))
 
 
-def top_partners(pairs: DataFrame, by: str, k: int) -> DataFrame:
-    """(work, other, rank, ...): each paper's k best partners, ties by name."""
+def top_partners(near: DataFrame, by: str, k: int) -> DataFrame:
+    """(work, other, rank, ...): the k best partners of each paper by `by`, ties by name, from near_pairs of k or more."""
     r = F.row_number().over(W.partitionBy("work").orderBy(F.desc(by), "other"))
-    return both_sides(pairs).withColumn("rank", r).filter(F.col("rank") <= k)
+    return near.withColumn("rank", r).filter(F.col("rank") <= k)
 
 
-def candidates(pairs: DataFrame, k: int) -> DataFrame:
-    """The pairs among either side's k best by score."""
-    chosen = top_partners(pairs, "score", k).select(F.least("work", "other").alias("a"), F.greatest("work", "other").alias("b")).distinct()
-    return pairs.join(chosen, ["a", "b"], "left_semi")
+def candidates(near: DataFrame, k: int) -> DataFrame:
+    """(a, b, similarity, distance, score): the pairs among either side's k best by score."""
+    best = top_partners(near, "score", k)
+    pairs = best.select(F.least("work", "other").alias("a"), F.greatest("work", "other").alias("b"), "similarity", "distance", "score")
+    return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.max("distance").alias("distance"), F.max("score").alias("score"))
 
 
 def reliable(agreed: DataFrame, papers: DataFrame, threshold: Column | float, rules: TwinRules = TwinRules()) -> DataFrame:
@@ -214,19 +216,23 @@ def combine(descriptions: DataFrame, papers: DataFrame, abstracts: DataFrame, ru
     likeness = mean_likeness(whole)
     cut = likeness.agg(F.percentile("likeness", F.lit(rules.generic)).alias("c")).first()["c"]
     fields = field_of(papers)
-    pairs = session.stage(scored_pairs(whole, fields, field_distances(field_vectors(papers, abstracts)), families(papers)), "pairs")
+    distances = session.stage(field_distances(field_vectors(papers, abstracts)), "distances")
+    known = families(papers)
+    near = session.stage(near_pairs(whole, fields, distances, max(rules.candidates, rules.neighbours)), "near")
     trusted = session.stage(reliable(agreed, whole, F.lit(threshold if threshold is not None else 2.0), rules), "trusted")
     generic = session.stage(likeness.filter(F.col("likeness") > F.lit(cut if cut is not None else 2.0)).select(F.col("doc").alias("work")), "generic")
-    flags = candidates(pairs, rules.candidates)
+    pairs = session.stage(candidates(near, rules.candidates), "pairs")
+    flags = pairs
     for s in "ab":
+        flags = flags.join(known.select(F.col("work").alias(s), F.col("family").alias(f"k{s}")), s, "left")
         flags = flags.join(trusted.select(F.col("work").alias(s), F.lit(1).alias(f"t{s}")), s, "left").join(generic.select(F.col("work").alias(s), F.lit(1).alias(f"g{s}")), s, "left")
-    flags = session.stage(flags.filter("not known"), "flags")
+    flags = session.stage(flags.filter("not coalesce(ka = kb, false)"), "flags")
     used: Counter = Counter()
     sure = select_with_quota(flags.filter("ta = 1 and tb = 1"), rules.twins, rules.per_paper, used)
     leads = select_with_quota(flags.filter("not (coalesce(ta, 0) = 1 and coalesce(tb, 0) = 1) and ga is null and gb is null"), rules.twins, rules.per_paper, used)
     chosen = spark.createDataFrame([(a, b, "two models agree") for a, b, _ in sure] + [(a, b, "one model so far") for a, b, _ in leads], "a string, b string, trust string")
-    twins = pairs.drop("known").join(F.broadcast(chosen), ["a", "b"])  # at most 2 * rules.twins rows
-    return {"models": model_report(rows, agreed), "reliable": trusted, "twins": twins, "known_cases": pairs.filter("known").drop("known"), "neighbours": top_partners(pairs, "similarity", rules.neighbours), "vectors": whole}
+    twins = pairs.join(F.broadcast(chosen), ["a", "b"])  # at most 2 * rules.twins rows
+    return {"models": model_report(rows, agreed), "reliable": trusted, "twins": twins, "known_cases": known_pairs(whole, fields, distances, known), "neighbours": top_partners(near, "similarity", rules.neighbours), "vectors": whole}
 
 
 def nested(twins: DataFrame, words: DataFrame, fields: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,6 +60,114 @@ def cosine_pairs(vectors: DataFrame, key: str, condition: Column | None = None,
     return both.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
 
+#: Documents in a block of block_neighbours: what bounds a task's matrices.
+BLOCK_DOCS = 1000
+#: Distances of groups that may be sent to all tasks.
+MOST_DISTANCES = 1_000_000
+
+
+def _cells(vectors: DataFrame, key: str, block_docs: int, *keep: str) -> DataFrame:
+    """(doc, g, t, w, own, x, y): each key's vector as arrays, once for every pair of blocks that has its own."""
+    docs = vectors.groupBy(F.col(key).alias("doc"), *keep).agg(F.collect_list(F.xxhash64("term")).alias("t"), F.collect_list("w").alias("w"))  # a document's own terms
+    n = vectors.select(key).distinct().count()
+    blocks = max(1, -(-n // block_docs))
+    own = F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int")
+    cells = docs.select("doc", *[F.col(c).alias("g") for c in keep], "t", "w", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("to"))
+    return cells.withColumns({"x": F.least("own", "to"), "y": F.greatest("own", "to")}).drop("to")
+
+
+def _dense(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Both blocks as matrices over the terms they share."""
+    flat = [np.concatenate([np.asarray(t) for t in side["t"]]) for side in (left, right)]
+    terms = np.intersect1d(*flat)
+    out = []
+    for side, ids in zip((left, right), flat):
+        m = np.zeros((len(side), len(terms)))
+        if len(terms):
+            row = np.repeat(np.arange(len(side)), [len(t) for t in side["t"]])
+            at = np.minimum(np.searchsorted(terms, ids), len(terms) - 1)
+            ok = terms[at] == ids
+            m[row[ok], at[ok]] = np.concatenate([np.asarray(w) for w in side["w"]])[ok]
+        out.append(m)
+    return out[0], out[1]
+
+
+def block_cosines(vectors: DataFrame, key: str, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """As cosine_pairs without a condition, for dense vectors such as centroids: pairs of blocks are matrix products.
+
+    Where vectors share most of their terms, a join makes a row for each pair and shared term; this
+    makes one for each pair. Keys are strings. Cosines of 0 are left out.
+    """
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        left, right = pdf[pdf["own"] == x], pdf[pdf["own"] == y]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "cosine": pd.Series(dtype=float)})
+        one, two = _dense(left, right)
+        s = one @ two.T
+        i, j = np.nonzero(s)
+        p, q, c = left["doc"].to_numpy()[i], right["doc"].to_numpy()[j], s[i, j]
+        once = p < q if x == y else np.ones(len(p), dtype=bool)
+        low = p < q
+        return pd.DataFrame({"a": np.where(low, p, q)[once], "b": np.where(low, q, p)[once], "cosine": c[once]})
+
+    return _cells(vectors, key, block_docs).groupBy("x", "y").applyInPandas(product, "a string, b string, cosine double")
+
+
+def block_neighbours(vectors: DataFrame, group: str, k: int, distances: DataFrame | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(doc, other, similarity, distance, score): each document's k nearest of other groups, by similarity and by score.
+
+    vectors (doc, term, w, group), doc a string. similarity is the cosine, rounded to six digits and
+    positive; score is similarity times the distance of the two groups, from (a, b, distance) with
+    a < b, 1 where unknown. Rows are those among a document's k best by either, ties by name.
+
+    All documents are compared with all, so the work is quadratic; but no row is made for a pair, let
+    alone for a shared term. Documents are hashed into blocks of about block_docs, each pair of blocks
+    is one task's matrix product, and only its best k per document leave it. Terms stand for
+    themselves by 64-bit hashes.
+    """
+    spark = vectors.sparkSession
+    far: dict[tuple[str, str], float] = {}
+    if distances is not None:
+        if distances.limit(MOST_DISTANCES + 1).count() > MOST_DISTANCES:
+            raise ValueError(f"more than {MOST_DISTANCES} distances")
+        far = {(r["a"], r["b"]): r["distance"] for r in distances.toLocalIterator()}
+    shared = spark.sparkContext.broadcast(far)
+    cells = _cells(vectors, "doc", block_docs, group)
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc", ignore_index=True)
+        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        left, right = pdf[pdf["own"] == x], pdf[pdf["own"] == y]
+        out: list[tuple] = []
+        if len(left) and len(right):
+            one, two = _dense(left, right)
+            codes, named = pd.factorize(pdf["g"])
+            gl, gr = codes[left.index], codes[right.index]
+            known = sorted({x for p in shared.value for x in p} & set(named)) if shared.value else []
+            apart = np.ones((len(named), len(named)))
+            place = {g: i for i, g in enumerate(named)}
+            for i, p in enumerate(known):
+                for q in known[i + 1 :]:
+                    apart[place[p], place[q]] = apart[place[q], place[p]] = shared.value.get((p, q), 1.0)
+            s = np.round(one @ two.T, 6)
+            s[gl[:, None] == gr[None, :]] = 0
+            d = apart[gl[:, None], gr[None, :]]
+            sides = [(left, right, s, d)] + ([(right, left, s.T, d.T)] if x != y else [])
+            for these, those, sim, dist in sides:
+                score = np.round(sim * dist, 6)
+                mine, theirs = these["doc"].to_numpy(), those["doc"].to_numpy()
+                for i in range(len(mine)):
+                    best = np.union1d(np.argsort(-sim[i], kind="stable")[:k], np.argsort(-score[i], kind="stable")[:k])
+                    out += [(mine[i], theirs[j], sim[i, j], dist[i, j], score[i, j]) for j in best if sim[i, j] > 0]
+        return pd.DataFrame(out, columns=["doc", "other", "similarity", "distance", "score"])
+
+    found = cells.groupBy("x", "y").applyInPandas(product, "doc string, other string, similarity double, distance double, score double")
+    rank = lambda by: F.row_number().over(W.partitionBy("doc").orderBy(F.desc(by), "other"))
+    return found.withColumns({"r": rank("similarity"), "q": rank("score")}).filter((F.col("r") <= k) | (F.col("q") <= k)).drop("r", "q")
+
+
 def dots(pairs: DataFrame, vectors: DataFrame, a: str, b: str) -> DataFrame:
     """pairs with `dot`: the product of the vectors of columns a and b, 0 where they share no term.
 

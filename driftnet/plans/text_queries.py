@@ -75,7 +75,7 @@ def topic_top_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def topic_centroid_cosine(spark: SparkSession, d: str) -> DataFrame:
     mean = V.mean_vectors(_topic_vectors(spark, d), "topic")
-    return V.cosine_pairs(mean, "topic").select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return V.block_cosines(mean, "topic").select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def topic_closest_texts(spark: SparkSession, d: str) -> DataFrame:

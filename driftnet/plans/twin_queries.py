@@ -33,32 +33,38 @@ def mean_likeness(spark: SparkSession, d: str) -> DataFrame:
     return twins.mean_likeness(twins.paper_vectors(vectors)).select(F.col("doc").alias("work"), F.round("likeness", 6).alias("likeness"))
 
 
-def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    rows, vectors = _vectors(spark, d)
+def _near(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors of the papers, and each paper's k nearest of other fields."""
+    _, vectors = _vectors(spark, d)
     papers = table(spark, d, "papers")
     whole = stage(twins.paper_vectors(vectors), "papers")
     distances = twins.field_distances(twins.field_vectors(papers, table(spark, d, "abstracts")))
-    return rows, vectors, whole, stage(twins.scored_pairs(whole, twins.field_of(papers), distances, twins.families(papers)), "pairs")
+    return whole, twins.near_pairs(whole, twins.field_of(papers), stage(distances, "distances"), k)
 
 
 def near_papers(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _pairs(spark, d)[3]
-    return twins.top_partners(pairs, "similarity", 5).select("work", "other", "similarity", "rank")
+    return twins.top_partners(_near(spark, d, 5)[1], "similarity", 5).select("work", "other", "similarity", "rank")
 
 
 def twin_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs among either side's three best by score that reach 0.2."""
-    return twins.candidates(_pairs(spark, d)[3], 3).filter("score >= 0.2").select("a", "b", "similarity", "distance", "score", "known")
+    """The pairs among either side's three best by score that reach 0.2; known tells those of one family."""
+    found = twins.candidates(_near(spark, d, 3)[1], 3).filter("score >= 0.2")
+    known = twins.families(table(spark, d, "papers"))
+    for s in "ab":
+        found = found.join(known.select(F.col("work").alias(s), F.col("family").alias(f"k{s}")), s, "left")
+    return found.select("a", "b", "similarity", "distance", "score", F.coalesce(F.col("ka") == F.col("kb"), F.lit(False)).alias("known"))
 
 
 def why_words(spark: SparkSession, d: str) -> DataFrame:
-    _, _, whole, pairs = _pairs(spark, d)
-    best = twins.top_partners(pairs, "similarity", 1).select(F.least("work", "other").alias("a"), F.greatest("work", "other").alias("b")).distinct()
+    whole, near = _near(spark, d, 1)
+    best = twins.top_partners(near, "similarity", 1).select(F.least("work", "other").alias("a"), F.greatest("work", "other").alias("b")).distinct()
     return V.shared_words(best, whole, "a", "b")
 
 
 def known_cases(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d)[3].filter("known").select("a", "b", "similarity", "distance", "score")
+    papers = table(spark, d, "papers")
+    distances = twins.field_distances(twins.field_vectors(papers, table(spark, d, "abstracts")))
+    return twins.known_pairs(twins.paper_vectors(_vectors(spark, d)[1]), twins.field_of(papers), distances, twins.families(papers))
 
 
 def reliable_papers(spark: SparkSession, d: str) -> DataFrame:

@@ -41,12 +41,31 @@ def test_cosines_and_dots(spark, tf):
     want = {(a, b): sum(w[a, t] * w[b, t] for t in {"lake", "cold", "stone", "warm"} if (a, t) in w and (b, t) in w) for a in DOCS for b in DOCS if a < b}
     got = {(r["a"], r["b"]): r["cosine"] for r in V.cosine_pairs(v, "doc").collect()}
     assert got == pytest.approx({k: x for k, x in want.items() if x})
+    for size in (1, 3, 1000):
+        assert {(r["a"], r["b"]): r["cosine"] for r in V.block_cosines(v, "doc", size).collect()} == pytest.approx({k: x for k, x in want.items() if x})
     pairs = spark.createDataFrame([("1", "d1", "d4"), ("2", "d1", "d3")], "pair string, p string, q string")
     assert {r["pair"]: r["dot"] for r in V.dots(pairs, v, "p", "q").collect()} == pytest.approx({"1": want["d1", "d4"], "2": 0.0})
     mean = V.mean_vectors(V.tfidf(tf, 4, keep=("dom",)), "dom")
     assert {r["dom"]: r["s"] for r in mean.groupBy("dom").agg(F.sum(F.col("w") * F.col("w")).alias("s")).collect()} == pytest.approx({"x": 1, "y": 1})
 
 
+@pytest.mark.parametrize("size", [1, 2, 1000])
+def test_block_neighbours(spark, tf, size):
+    v, w = V.tfidf(tf, 4, keep=("dom",)), brute()
+    group = {"d1": "x", "d2": "x", "d3": "y", "d4": "y"}
+    apart = spark.createDataFrame([("x", "y", 0.5)], "a string, b string, distance double")
+    got = {(r["doc"], r["other"]): (r["similarity"], r["distance"], r["score"]) for r in V.block_neighbours(v, "dom", 3, apart, size).collect()}
+    want = {}
+    for a in DOCS:
+        for b in DOCS:
+            s = round(sum(w[a, t] * w[b, t] for t in {"lake", "cold", "stone", "warm"} if (a, t) in w and (b, t) in w), 6)
+            if group[a] != group[b] and s > 0:
+                want[a, b] = (s, 0.5, round(s / 2, 6))
+    assert {k: v[0] for k, v in got.items()} == pytest.approx({k: v[0] for k, v in want.items()}) and len(want) == 2
+    assert all(v[1] == 0.5 and v[2] == pytest.approx(v[0] / 2, abs=1e-6) for v in got.values())
+    assert V.block_neighbours(v.limit(0), "dom", 3, apart, size).count() == 0
+
+
 def test_distinctive_breaks_ties_by_the_word(tf):
     got = [(r["doc"], r["rank"], r["term"], r["score"]) for r in V.distinctive(tf, 4, 1).orderBy("doc").collect()]
     assert got == [("d1", 1, "lake", round(2 * math.log(2), 4)), ("d2", 1, "warm", round(math.log(4), 4)), ("d3", 1, "stone", round(math.log(2), 4)), ("d4", 1, "cold", round(2 * math.log(2), 4))]
