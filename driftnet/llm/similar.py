@@ -143,7 +143,7 @@ class _Index:
         self.centroids = lists(sample, max(1, min(wanted, SAMPLE // 8, len(sample) // 8)))
         self.quantiser = Quantiser.fit(sample)
         count = len(self.centroids)
-        self.probes = max(1, min(count, int(np.ceil(1.25 * count**0.5))))
+        self.probes = max(1, min(count, int(np.ceil(2.0 * count**0.5))))
         near = np.argsort(-(sample @ self.centroids.T), axis=1)[:, : min(SPILL, count)]
         size = np.bincount(near.ravel(), minlength=count) * (rows / max(1, len(sample)))
         # lists alike go to one block, so that a query's probes lie in few of them
