@@ -168,19 +168,17 @@ def reliable(agreed: DataFrame, papers: DataFrame, threshold: Column | float, ru
     """(work, agreement): papers whose models agree beyond chance and beyond the paper's likeness to others.
 
     The percentile of a paper's likeness is over all other papers, those that share no term included as
-    0: it is read off the sorted positive ones by position, with linear interpolation.
+    0: it is read off its nearest ones by position, with linear interpolation.
     """
     mean = agreed.groupBy("work").agg(F.avg("agreement").alias("agreement")).filter(F.col("agreement") > threshold)
-    n = papers.select("doc").distinct().agg(F.count(F.lit(1)).alias("n"))
-    own = papers.join(mean.select(F.col("work").alias("doc")), "doc", "left_semi").select(F.col("doc").alias("work"), "term", F.col("w").alias("wa"))
-    sims = own.join(papers.select("term", F.col("doc").alias("other"), F.col("w").alias("wb")), "term").filter("work <> other").groupBy("work", "other").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
-    r = F.row_number().over(W.partitionBy("work").orderBy(F.desc("s"), "other"))
-    down = sims.withColumn("r", r).crossJoin(F.broadcast(n))  # one row
-    # position from the top of the percentile among n - 1 values
-    at = (1 - F.lit(rules.distinct)) * (F.col("n") - 2)
-    value = lambda k: F.coalesce(F.max(F.when(F.col("r") == k + 1, F.col("s"))), F.lit(0.0))
-    low, part = F.floor(at), at - F.floor(at)
-    cut = down.withColumns({"lo": low, "part": part}).groupBy("work").agg((value(F.col("lo")) * (1 - F.first("part")) + value(F.col("lo") + 1) * F.first("part")).alias("cut"))
+    n = papers.select("doc").distinct().count()
+    # position from the top of the percentile among n - 1 values; only so many of the nearest are needed
+    at = max(0.0, (1 - rules.distinct) * (n - 2))
+    low, part = int(at), at - int(at)
+    near = V.block_neighbours(papers.select("doc", "term", "w", F.col("doc").alias("self")), "self", low + 2)
+    r = F.row_number().over(W.partitionBy("doc").orderBy(F.desc("similarity"), "other"))
+    value = lambda k: F.coalesce(F.max(F.when(F.col("r") == k + 1, F.col("similarity"))), F.lit(0.0))
+    cut = near.withColumn("r", r).groupBy(F.col("doc").alias("work")).agg((value(low) * (1 - part) + value(low + 1) * part).alias("cut"))
     return mean.join(cut, "work", "left").filter(F.round("agreement", 6) > F.round(F.coalesce("cut", F.lit(-1.0)) + rules.tie, 6)).select("work", F.round("agreement", 6).alias("agreement"))
 
 
