@@ -28,6 +28,26 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spheri
     return c
 
 
+def _solve(u: np.ndarray, weight: float, diagonal: np.ndarray, goal: np.ndarray, start: np.ndarray, most: int = 200) -> np.ndarray:
+    """z of (weight u'u + diag(diagonal)) z = goal by conjugate gradients, without forming u'u."""
+    times = lambda z: weight * (u.T @ (u @ z.astype(np.float32))).astype(np.float64) + diagonal * z
+    scale = weight * np.einsum("nm,nm->m", u, u) + diagonal
+    z = start.astype(np.float64)
+    r = goal - times(z)
+    y = r / scale
+    p, ry, small = y, r @ y, 1e-10 * (goal @ (goal / scale))
+    for _ in range(most):
+        if ry <= small:
+            break
+        ap = times(p)
+        step = ry / (p @ ap)
+        z, r = z + step * p, r - step * ap
+        y = r / scale
+        last, ry = ry, r @ y
+        p = y + ry / last * p
+    return z
+
+
 def lists(x: np.ndarray, count: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     """Unit centroids of a coarse partition of unit vectors."""
     c = _kmeans(x, count, rounds, np.random.default_rng(seed), spherical=True)
@@ -59,9 +79,7 @@ class Quantiser:
             u = np.zeros((len(x), m * CODES * SUB), dtype=np.float32)
             np.put_along_axis(u, slot.reshape(len(x), -1), x, axis=1)
             held = np.bincount((np.arange(m) * CODES + codes).ravel(), minlength=m * CODES).repeat(SUB)
-            a = (out.eta - 1) * (u.T @ u).astype(np.float64)
-            a[np.diag_indices_from(a)] += held + 1e-3
-            solved = np.linalg.solve(a, out.eta * u.sum(axis=0, dtype=np.float64) + 1e-3 * out.books.ravel())
+            solved = _solve(u, out.eta - 1, held + 1e-3, out.eta * u.sum(axis=0, dtype=np.float64) + 1e-3 * out.books.ravel(), out.books.ravel())
             out = cls(solved.reshape(m, CODES, SUB), out.eta)
         return out
 

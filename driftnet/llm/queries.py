@@ -13,14 +13,18 @@ from driftnet.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _neighbours(spark: SparkSession, d: str, least_cosine: float) -> DataFrame:
+    texts = similar.paper_texts(table(spark, d, "abstracts"), table(spark, d, "descriptions"))
+    return similar.most_similar(texts, k=5, least=4, least_cosine=least_cosine)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    near = p1_neighbours(spark, d).filter("cosine >= 0.53")
+    near = _neighbours(spark, d, 0.53)
     return near.select(F.least("work", "neighbour").alias("work_a"), F.greatest("work", "neighbour").alias("work_b")).distinct()
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    texts = similar.paper_texts(table(spark, d, "abstracts"), table(spark, d, "descriptions"))
-    return similar.most_similar(texts, k=5, least=4, least_cosine=0.5)
+    return _neighbours(spark, d, 0.5)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -16,9 +16,17 @@ from driftnet import session
 from driftnet.llm.quantiser import Quantiser, lists
 from driftnet.plans import skew
 
-DIMS = 192
+#: Dimensions of the sketches that are scored, and of those that lists are made and chosen by.
+DIMS = 384
+ROUTE_DIMS = 192
 BUCKETS = 1 << 20
 SPREAD = 8
+#: Most weight of a word in routing: rare words mustn't part near copies that differ in them.
+MOST_IDF = 3.0
+#: A sketch's score errs from the cosine c by (1 - c^2) / sqrt(DIMS), one sigma; a floor is set so many below.
+SIGMAS = 3.5
+#: What four-bit codes of index rows may err beyond that.
+SLACK = 0.04
 #: Vectors the partition and the codebooks are fitted on; every vector is indexed.
 SAMPLE = 20_000
 SPILL = 2
@@ -118,12 +126,17 @@ def _mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def project(words: pa.ListArray, idf: np.ndarray, dims: int = DIMS) -> np.ndarray:
-    """Unit rows: each word adds its idf, with signs, to SPREAD pseudo-random coordinates."""
+def least_score(least_cosine: float, dims: int = DIMS) -> float:
+    """The sketch score that a pair of least_cosine or more falls below in less than one case of a thousand."""
+    return least_cosine - SIGMAS * (1 - least_cosine**2) / dims**0.5
+
+
+def project(words: pa.ListArray, idf: np.ndarray | None = None, dims: int = DIMS) -> np.ndarray:
+    """Unit rows: each word adds 1, or its idf, with signs, to SPREAD pseudo-random coordinates."""
     flat, sizes = np.asarray(words.flatten()), np.asarray(words.value_lengths())
     out = np.zeros(len(sizes) * dims)
     row = np.repeat(np.arange(len(sizes)) * dims, sizes)
-    weight = idf[flat & (BUCKETS - 1)]
+    weight = 1 if idf is None else idf[flat & (BUCKETS - 1)]
     stripe = dims // SPREAD
     bits = _mix64(flat.view(np.uint64))
     for s in range(SPREAD):
@@ -137,11 +150,11 @@ def project(words: pa.ListArray, idf: np.ndarray, dims: int = DIMS) -> np.ndarra
 class _Index:
     """What tasks need to encode and route rows; its size depends on SAMPLE alone."""
 
-    def __init__(self, idf: np.ndarray, sample: np.ndarray, rows: int, parallel: int):
+    def __init__(self, idf: np.ndarray, sample: np.ndarray, sketches: np.ndarray, rows: int, parallel: int):
         self.idf = idf
         wanted = int(2 ** round(np.log2(max(4.0, 2 * rows**0.5))))
         self.centroids = lists(sample, max(1, min(wanted, SAMPLE // 8, len(sample) // 8)))
-        self.quantiser = Quantiser.fit(sample)
+        self.quantiser = Quantiser.fit(sketches)
         count = len(self.centroids)
         self.probes = max(1, min(count, int(np.ceil(2.0 * count**0.5))))
         near = np.argsort(-(sample @ self.centroids.T), axis=1)[:, : min(SPILL, count)]
@@ -172,10 +185,10 @@ def _route(shared, dims: int):
             if not batch.num_rows:
                 continue
             works = batch.column(0)
-            x = project(batch.column(1), index.idf, dims)
-            near = np.argsort(-(x @ index.centroids.T), axis=1)[:, : index.probes]
+            x = project(batch.column(1), None, dims)
+            near = np.argsort(-(project(batch.column(1), index.idf, ROUTE_DIMS) @ index.centroids.T), axis=1)[:, : index.probes]
             codes = Quantiser.pack(index.quantiser.encode(x))
-            scaled = np.round(x * (127 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-9))).astype(np.int8)
+            scaled = Quantiser.pack((np.round(x * (7 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-9))) + 8).astype(np.uint8))
             n = batch.num_rows
             salt = _mix64(np.arange(n) + int.from_bytes(hashlib.blake2b(str(works[0]).encode(), digest_size=4).digest(), "big"))
             spill = near[:, : min(SPILL, near.shape[1])]
@@ -215,7 +228,7 @@ def _scan(shared, dims: int, depth: int, coarse: float, fine: float):
         return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
 
     def unit(v: np.ndarray) -> np.ndarray:
-        v = v.astype(np.float32)
+        v = Quantiser.unpack(v).astype(np.float32) - 8
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +242,7 @@ def _scan(shared, dims: int, depth: int, coarse: float, fine: float):
                 if blocks[a] != block:
                     block, built, store = blocks[a], None, []
                 if kinds[a] == 0:
-                    store.append((np.asarray(part.column(3).flatten()), unfixed(part.column(4), dims, np.int8), unfixed(part.column(5), dims // 8, np.uint8), part.column(2)))
+                    store.append((np.asarray(part.column(3).flatten()), unfixed(part.column(4), dims // 2, np.uint8), unfixed(part.column(5), dims // 8, np.uint8), part.column(2)))
                     continue
                 if not store:
                     continue
@@ -239,11 +252,11 @@ def _scan(shared, dims: int, depth: int, coarse: float, fine: float):
                     names = pa.concat_arrays([s[3] for s in store]).take(pa.array(order))
                     cell = cell[order]
                     table = quantiser.table(Quantiser.unpack(np.concatenate([s[2] for s in store])[order]))
-                    vectors = np.concatenate([s[1] for s in store])[order]
+                    vectors = unit(np.concatenate([s[1] for s in store])[order])
                     starts = {int(c): (int(x), int(y)) for c, x, y in zip(*(lambda u, f, n: (u, f, f + n))(*np.unique(cell, return_index=True, return_counts=True)))}
                     built, store = (names, table, vectors, starts), store[:1]
                 names, table, vectors, starts = built
-                q = unit(unfixed(part.column(4), dims, np.int8))
+                q = unit(unfixed(part.column(4), dims // 2, np.uint8))
                 sizes = np.asarray(part.column(3).value_lengths())
                 asked, who = np.asarray(part.column(3).flatten()), np.repeat(np.arange(len(sizes)), sizes)
                 found = []
@@ -257,7 +270,7 @@ def _scan(shared, dims: int, depth: int, coarse: float, fine: float):
                         i, j = np.nonzero(q[own] @ table[lo:hi].T >= coarse)
                         if len(i):
                             i, j = own[i], j + lo
-                            s = np.einsum("nd,nd->n", q[i], unit(vectors[j]))
+                            s = np.einsum("nd,nd->n", q[i], vectors[j])
                             keep = s >= fine
                             found.append((i[keep], j[keep], s[keep]))
                 if not found:
@@ -275,36 +288,41 @@ def _scan(shared, dims: int, depth: int, coarse: float, fine: float):
     return run
 
 
-def candidates(sets: DataFrame, rows: int, depth: int = DEPTH, least_score: float = 0.34, slack: float = 0.05, dims: int = DIMS) -> DataFrame:
-    """(a, b), a < b: pairs of rows of sets (work, words) whose sketches score at least least_score.
+def candidates(sets: DataFrame, rows: int, least: float, depth: int = DEPTH, dims: int = DIMS) -> DataFrame:
+    """(a, b), a < b: pairs of rows of sets (work, words) whose sketches score at least `least`.
 
-    Four-bit scores pass with `slack` less, since they err more than the sketches they stand for.
+    Four-bit scores pass with SLACK less, since they err more than the sketches they stand for.
     Each query keeps its `depth` best candidates a block.
     """
     spark = sets.sparkSession
     counted = sets.select("words").mapInArrow(_frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
     idf = np.zeros(BUCKETS)
-    idf[counted["bucket"].to_numpy()] = np.log(1 + rows / counted["n"].to_numpy())
+    idf[counted["bucket"].to_numpy()] = np.minimum(MOST_IDF, np.log(1 + rows / counted["n"].to_numpy()))
     every = max(1, rows // SAMPLE)
     drawn = sets.filter(F.pmod(F.xxhash64("work"), F.lit(every)) == 0).select("words").limit(SAMPLE + SAMPLE // 4)
     shared_idf = spark.sparkContext.broadcast(idf)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in project(batch.column(0), shared_idf.value, dims)], pa.binary())], names=["v"])
+            both = [[r.tobytes() for r in project(batch.column(0), *how)] for how in ((shared_idf.value, ROUTE_DIMS), (None, dims))]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in both], names=["v", "u"])
 
-    sample = drawn.mapInArrow(vectors, "v binary").toPandas()["v"]
+    # the quantiser is fitted on fewer
+    sampled = drawn.mapInArrow(vectors, "v binary, u binary").withColumn("u", F.when((F.pmod(F.xxhash64("v"), F.lit(4)) == 0) | F.lit(rows <= 4096), F.col("u"))).toPandas()
+    sample = sampled["v"]
     if not len(sample):
         return spark.createDataFrame([], "a string, b string")
-    index = _Index(idf, np.frombuffer(b"".join(sample), dtype=np.float32).reshape(-1, dims), rows, spark.sparkContext.defaultParallelism)
+    sketches = sampled["u"].dropna()
+    read = lambda v, width: np.frombuffer(b"".join(v), dtype=np.float32).reshape(-1, width)
+    index = _Index(idf, read(sample, ROUTE_DIMS), read(sketches, dims), rows, spark.sparkContext.defaultParallelism)
     shared = spark.sparkContext.broadcast(index)
     routed = sets.select("work", "words").mapInArrow(_route(shared, dims), "block int, kind tinyint, work string, cells array<smallint>, vector binary, codes binary")
     ordered = routed.repartition("block").sortWithinPartitions("block", "kind")
-    pairs = ordered.mapInArrow(_scan(shared, dims, depth, least_score - slack, least_score), "a string, b string, score float")
+    pairs = ordered.mapInArrow(_scan(shared, dims, depth, least - SLACK, least), "a string, b string, score float")
     return session.stage(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
 
-def most_similar(texts: DataFrame, k: int = 5, least: int = 4, least_cosine: float = 0.0, depth: int = DEPTH, least_score: float = 0.34) -> DataFrame:
+def most_similar(texts: DataFrame, k: int = 5, least: int = 4, least_cosine: float = 0.0, depth: int = DEPTH) -> DataFrame:
     """(work, neighbour, cosine, rank): each work's k works of highest cosine, ties to the smaller work.
 
     texts (work, text) may have many rows a work. A work's vector has a 1 for each distinct word of
@@ -314,7 +332,7 @@ def most_similar(texts: DataFrame, k: int = 5, least: int = 4, least_cosine: flo
     recall is measured in the tests), aren't given.
 
     Works of equal vectors form a class, which is searched for once; its k + 1 smallest works stand for
-    it, since no answer needs more. Classes are sketched (idf-weighted signed projection), partitioned
+    it, since no answer needs more. Classes are sketched (signed projection of the vectors compared; for routing, weighted by idf up to MOST_IDF), partitioned
     around centroids, quantised to four bits with residuals along a vector penalised, and scanned by
     block; a list beyond a block's size is split. What passes is reranked by the exact cosine.
     """
@@ -331,7 +349,7 @@ def most_similar(texts: DataFrame, k: int = 5, least: int = 4, least_cosine: flo
         unique = session.stage(unique.select("work", "words"), "unique")
     else:
         named, unique = members.select("work", F.col("work").alias("rep")), sets.select("work", "words")
-    pairs = candidates(unique, rows, depth, least_score)
+    pairs = candidates(unique, rows, least_score(least_cosine), depth)
     left = unique.select(F.col("work").alias("a"), F.col("words").alias("wa"))
     right = unique.select(F.col("work").alias("b"), F.col("words").alias("wb"))
     both = skew.lookup_join(skew.lookup_join(pairs, left, "a"), right, "b", hot=skew.hot_keys(pairs, "b"))

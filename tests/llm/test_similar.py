@@ -56,6 +56,22 @@ def test_recall_of_alike_pairs(spark):
     assert all(abs(exact[p] - c) < 1e-12 for p, c in got.items())
 
 
+def near_copies(seed, copies=250, others=500):
+    """A third of the papers near copies of one text, alike but for a few rare words."""
+    rnd = random.Random(seed)
+    say = lambda n: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(n)]
+    base = say(80)
+    texts = [rnd.sample(base, 64) + say(rnd.randint(10, 24)) for _ in range(copies)] + [say(80) for _ in range(others)]
+    return [(f"W{i:05d}", " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_recall_where_a_third_are_near_copies_of_one_text(spark):
+    rows = near_copies(3)
+    want = {(a, b) for a, near in brute(rows, 5).items() for b, c in near if c >= 0.53}
+    got = {(a, b) for a, near in got_of(spark, rows, k=5, least_cosine=0.53, depth=1000).items() for b, _ in near}
+    assert len(want) == 5 * 250 and len(want & got) >= 0.9 * len(want)
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_copies_ties_and_a_hot_class(spark, monkeypatch, hot):
     if hot:
