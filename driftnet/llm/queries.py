@@ -13,9 +13,9 @@ from driftnet.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _neighbours(spark: SparkSession, d: str, least_cosine: float) -> DataFrame:
+def _neighbours(spark: SparkSession, d: str, least_cosine: float, exact: bool = False) -> DataFrame:
     texts = similar.paper_texts(table(spark, d, "abstracts"), table(spark, d, "descriptions"))
-    return similar.most_similar(texts, k=5, least=4, least_cosine=least_cosine)
+    return similar.most_similar(texts, k=5, least=4, least_cosine=least_cosine, exact=exact)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _neighbours(spark, d, 0.5)
+    return _neighbours(spark, d, 0.0, exact=True)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

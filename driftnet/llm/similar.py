@@ -33,6 +33,8 @@ SPILL = 2
 #: Index rows in a block, about; a block is what one task holds while queries stream by.
 BLOCK_ROWS = 20_000
 DEPTH = 64
+#: Rows in a block of best_of_all.
+EXACT_ROWS = 10_000
 SALTS = 16
 
 
@@ -322,14 +324,98 @@ def candidates(sets: DataFrame, rows: int, least: float, depth: int = DEPTH, dim
     return session.stage(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
 
-def most_similar(texts: DataFrame, k: int = 5, least: int = 4, least_cosine: float = 0.0, depth: int = DEPTH) -> DataFrame:
+def _overlaps(left: tuple, right: tuple, vocabulary: int, common: np.ndarray, at: int, to: int) -> np.ndarray:
+    """Shared words of left's rows at..to with all of right's: common words by a matrix product, others by postings."""
+    (ends, ids), (r_ends, r_ids) = left, right
+    column = np.full(vocabulary, -1)
+    column[common] = np.arange(len(common))
+
+    def dense(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out, c = np.zeros((len(ends) - 1, len(common)), dtype=np.float32), column[ids]
+        out[np.repeat(np.arange(len(ends) - 1), np.diff(ends))[c >= 0], c[c >= 0]] = 1
+        return out
+
+    mine = ids[ends[at] : ends[to]]
+    out = dense(mine, ends[at : to + 1] - ends[at]) @ dense(r_ids, r_ends).T
+    order = np.argsort(r_ids, kind="stable")
+    post = np.repeat(np.arange(len(r_ends) - 1), np.diff(r_ends))[order]
+    start = np.concatenate([[0], np.cumsum(np.bincount(r_ids, minlength=vocabulary))])
+    for i in range(at, to):
+        some = ids[ends[i] : ends[i + 1]]
+        some = some[column[some] < 0]
+        if len(some):
+            out[i - at] += np.bincount(np.concatenate([post[start[w] : start[w + 1]] for w in some]), minlength=len(r_ends) - 1)
+    return out
+
+
+def _best_of_blocks(k: int, chunk: int = 500):
+    """Of a pair of blocks: each row's k best of the other block, both ways; ties to the smaller work."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("work").combine_chunks()
+        own, (x, y) = table["own"].to_numpy(), (table["x"][0].as_py(), table["y"][0].as_py())
+        sides = [table.filter(pa.array(own == z)) for z in (x, y)]
+        a, b, c = [], [], []
+        if all(len(t) for t in sides):
+            read = lambda t: t["words"].combine_chunks()
+            sizes = [np.asarray(read(t).value_lengths()) for t in sides]
+            words, ids = np.unique(np.concatenate([np.asarray(read(t).flatten()) for t in sides]), return_inverse=True)
+            ids = np.split(ids, [sizes[0].sum()])
+            left, right = ((np.concatenate([[0], np.cumsum(n)]), i) for n, i in zip(sizes, ids))
+            common = np.flatnonzero(np.bincount(right[1], minlength=len(words)) * 50 > len(sides[1]))
+            for at in range(0, len(sides[0]), chunk):
+                to = min(at + chunk, len(sides[0]))
+                s = _overlaps(left, right, len(words), common, at, to) / np.sqrt(sizes[0][at:to, None].astype(float) * sizes[1])
+                if x == y:
+                    s[np.arange(to - at), np.arange(at, to)] = 0
+                for axis in (1, 0) if x != y else (1,):
+                    n = s.shape[axis]
+                    least = np.partition(s, max(0, n - k), axis=axis).take([max(0, n - k)], axis=axis)
+                    i, j = np.nonzero((s >= least) & (s > 0))
+                    v, i = s[i, j], i + at
+                    one, two = (i, j + len(sides[0])) if axis else (j + len(sides[0]), i)
+                    a.append(one), b.append(two), c.append(v)
+                    # rows of ties beyond k, and those of earlier chunks, are dropped as they come
+                    if not axis or len(v) > 2 * k * (to - at):
+                        a, b, c = ([z] for z in _first(np.concatenate(a), np.concatenate(b), np.concatenate(c), k))
+        names = pa.concat_arrays([t["work"].combine_chunks() for t in sides])
+        a, b, c = _first(*(np.concatenate(z) if z else np.zeros(0, dtype=t) for z, t in ((a, int), (b, int), (c, float))), k)
+        return pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b)), "cosine": pa.array(c)})
+
+    return run
+
+
+def _first(a: np.ndarray, b: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k rows of highest c, ties to the smaller b, of each a."""
+    order = np.lexsort((b, -c, a))
+    a, b, c = a[order], b[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, int)
+    rank = np.arange(len(a)) - np.repeat(first, np.diff(np.concatenate([first, [len(a)]])))
+    return a[rank < k], b[rank < k], c[rank < k]
+
+
+def best_of_all(sets: DataFrame, rows: int, k: int, block_rows: int = EXACT_ROWS) -> DataFrame:
+    """(a, b, cosine) with each row's k best, exactly: blocks of sets (work, words) are compared with all blocks.
+
+    The work is quadratic; only k rows a row and block leave a task.
+    """
+    blocks = max(1, -(-rows // block_rows))
+    own = F.pmod(F.xxhash64("work"), F.lit(blocks)).cast("int").alias("own")
+    cells = sets.select("work", "words", own, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("to"))
+    cells = cells.withColumns({"x": F.least("own", "to"), "y": F.greatest("own", "to")}).drop("to")
+    return cells.groupBy("x", "y").applyInArrow(_best_of_blocks(k), "a string, b string, cosine double")
+
+
+def most_similar(texts: DataFrame, k: int = 5, least: int = 4, least_cosine: float = 0.0, depth: int = DEPTH, exact: bool = False) -> DataFrame:
     """(work, neighbour, cosine, rank): each work's k works of highest cosine, ties to the smaller work.
 
     texts (work, text) may have many rows a work. A work's vector has a 1 for each distinct word of
     `least` or more letters in all its texts together; the cosine is exact. Works without such words
     have no rows and are nobody's neighbours; rows with a null work or text don't count, an empty
-    table gives an empty one. Neighbours below least_cosine, and those that the index misses (its
-    recall is measured in the tests), aren't given.
+    table gives an empty one. Neighbours below least_cosine, those that share no word and those that the
+    index misses (its recall is measured in the tests), aren't given. The index is for the alike: sketches
+    can't tell the best of many cosines that are low. With `exact`, all classes are compared with all
+    instead, and nothing is missed.
 
     Works of equal vectors form a class, which is searched for once; its k + 1 smallest works stand for
     it, since no answer needs more. Classes are sketched (signed projection of the vectors compared; for routing, weighted by idf up to MOST_IDF), partitioned
@@ -349,13 +435,16 @@ def most_similar(texts: DataFrame, k: int = 5, least: int = 4, least_cosine: flo
         unique = session.stage(unique.select("work", "words"), "unique")
     else:
         named, unique = members.select("work", F.col("work").alias("rep")), sets.select("work", "words")
-    pairs = candidates(unique, rows, least_score(least_cosine), depth)
-    left = unique.select(F.col("work").alias("a"), F.col("words").alias("wa"))
-    right = unique.select(F.col("work").alias("b"), F.col("words").alias("wb"))
-    both = skew.lookup_join(skew.lookup_join(pairs, left, "a"), right, "b", hot=skew.hot_keys(pairs, "b"))
-    cosine = F.size(F.array_intersect("wa", "wb")) / F.sqrt(F.size("wa").cast("double") * F.size("wb"))
-    scored = session.stage(both.select("a", "b", cosine.alias("cosine")).filter(F.col("cosine") >= least_cosine), "scored")
-    near = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    if exact:
+        near = session.stage(best_of_all(unique, rows, k + 1).filter(F.col("cosine") >= least_cosine), "scored")
+    else:
+        pairs = candidates(unique, rows, least_score(least_cosine), depth)
+        left = unique.select(F.col("work").alias("a"), F.col("words").alias("wa"))
+        right = unique.select(F.col("work").alias("b"), F.col("words").alias("wb"))
+        both = skew.lookup_join(skew.lookup_join(pairs, left, "a"), right, "b", hot=skew.hot_keys(pairs, "b"))
+        cosine = F.size(F.array_intersect("wa", "wb")) / F.sqrt(F.size("wa").cast("double") * F.size("wb"))
+        scored = session.stage(both.select("a", "b", cosine.alias("cosine")).filter((F.col("cosine") >= least_cosine) & (F.col("cosine") > 0)), "scored")
+        near = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     if has_copies:
         # the k + 1 smallest works of each class of several; the rank limit runs before the shuffle too
         r = F.row_number().over(W.partitionBy("rep").orderBy("work"))

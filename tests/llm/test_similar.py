@@ -88,6 +88,26 @@ def test_copies_ties_and_a_hot_class(spark, monkeypatch, hot):
     assert not {"none", "none2", "none3", None} & set(got)
 
 
+@pytest.mark.parametrize("block_rows", [10_000, 97])
+def test_every_paper_has_its_nearest_without_a_floor(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(similar.best_of_all, "__defaults__", (block_rows,))
+    rows = corpus(4, 300) + [(f"C{i:03d}", "exactly these words again") for i in range(9)]
+    want = {a: [(b, c) for b, c in near if c > 0] for a, near in brute(rows, 5).items()}
+    got = got_of(spark, rows, k=5, exact=True)
+    assert {a: [b for b, _ in n] for a, n in got.items()} == {a: [b for b, _ in n] for a, n in want.items() if n}
+    assert min(c for n in want.values() for _, c in n) < 0.3
+
+
+def test_the_query_has_no_floor(spark, tmp_path):
+    from driftnet.llm import queries
+
+    rows = corpus(5, 60)
+    spark.createDataFrame(rows, "work string, abstract string").write.parquet(str(tmp_path / "abstracts.parquet"))
+    spark.createDataFrame([], "work string, problem string, approach string").write.parquet(str(tmp_path / "descriptions.parquet"))
+    got = {(r["work"], r["neighbour"]) for r in queries.p1_neighbours(spark, str(tmp_path)).collect()}
+    assert got == {(a, b) for a, near in brute(rows, 5).items() for b, c in near if c > 0}
+
+
 def test_few_rows_and_none(spark):
     assert got_of(spark, []) == {}
     assert got_of(spark, [("a", "lonely words here")]) == {}
