@@ -51,14 +51,10 @@ def field_of(papers: DataFrame) -> DataFrame:
 
 
 def agreements(rows: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(work, x, y, model_x, model_y, agreement) of pairs of a paper's descriptions by different models.
-
-    A work's repeated texts by one model count once (the first row), so pairs are of models.
-    """
-    one = rows.groupBy("work", "model").agg(F.min("desc_id").alias("desc_id"))
-    x = one.select("work", F.col("desc_id").alias("x"), F.col("model").alias("model_x"))
-    y = one.select("work", F.col("desc_id").alias("y"), F.col("model").alias("model_y"))
-    pairs = x.join(y, "work").filter("x < y").withColumn("pair", F.concat_ws("-", "x", "y"))
+    """(work, x, y, model_x, model_y, agreement) of all pairs of a paper's descriptions by different models."""
+    x = rows.select("work", F.col("desc_id").alias("x"), F.col("model").alias("model_x"))
+    y = rows.select("work", F.col("desc_id").alias("y"), F.col("model").alias("model_y"))
+    pairs = x.join(y, "work").filter("x < y and model_x <> model_y").withColumn("pair", F.concat_ws("-", "x", "y"))
     slim = vectors.select("doc", "term", "w")
     return V.dots(pairs, slim, "x", "y").select("work", "x", "y", "model_x", "model_y", F.round("dot", 6).alias("agreement"))
 

@@ -89,6 +89,15 @@ def test_mean_likeness_equals_all_pairs(spark):
     assert [got[w] for w in works] == pytest.approx(want, abs=1e-8)
 
 
+def test_all_descriptions_by_different_models_are_paired(spark):
+    said = [(1, "W1", "A", "red fish"), (2, "W1", "A", "blue fish"), (3, "W1", "B", "red fish"), (4, "W1", "B", "blue bird"), (5, "W1", "A", "red fish"), (6, "W2", "A", "red bird")]
+    rows = TW.described(spark.createDataFrame([(i, w, ("local", m), t, "") for i, w, m, t in said], DESC))
+    got = TW.agreements(rows, TW.description_vectors(rows, RULES))
+    assert {(r["x"], r["y"]) for r in got.collect()} == {(1, 3), (1, 4), (2, 3), (2, 4), (3, 5), (4, 5)}
+    pairs = {r["model"]: r["pairs"] for r in TW.model_report(rows, got).collect()}
+    assert pairs == {"local/A": 6, "local/B": 6}
+
+
 def test_missing_fields(spark):
     rows = [("W1", "a", "D", None, None), ("W2", "", "D", None, None), ("W3", None, None, None, None), (None, "x", "D", None, None), ("W1", "a", "D", None, None)]
     assert {tuple(r) for r in TW.field_of(spark.createDataFrame(rows, PAPERS)).collect()} == {("W1", "a"), ("W2", "D"), ("W3", "W3")}
