@@ -26,8 +26,8 @@ class TwinRules:
     neighbours: int = 5
     why: int = 6
     least_df: int = 2
-    #: Words in more than this share of the descriptions are left out of the similarity join.
-    most_share: float = 0.25
+    #: Words in more than this share of the descriptions are left out of their vectors; 1 keeps all.
+    most_share: float = 1.0
 
 
 def described(descriptions: DataFrame) -> DataFrame:

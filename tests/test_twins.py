@@ -98,6 +98,13 @@ def test_all_descriptions_by_different_models_are_paired(spark):
     assert pairs == {"local/A": 6, "local/B": 6}
 
 
+def test_papers_described_by_common_words_alone_keep_their_vectors(spark):
+    said = [(i, f"W{i}", "the same common words" if i < 4 else f"rare{'ab'[i % 2]} lone{'ab'[i % 2]}") for i in range(8)]
+    rows = TW.described(spark.createDataFrame([(i, w, ("local", "A"), t, "") for i, w, t in said], DESC))
+    docs = {r["doc"] for r in TW.paper_vectors(TW.description_vectors(rows)).select("doc").distinct().collect()}
+    assert docs == {f"W{i}" for i in range(8)}
+
+
 def test_missing_fields(spark):
     rows = [("W1", "a", "D", None, None), ("W2", "", "D", None, None), ("W3", None, None, None, None), (None, "x", "D", None, None), ("W1", "a", "D", None, None)]
     assert {tuple(r) for r in TW.field_of(spark.createDataFrame(rows, PAPERS)).collect()} == {("W1", "a"), ("W2", "D"), ("W3", "W3")}
