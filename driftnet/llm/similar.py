@@ -33,6 +33,8 @@ SPILL = 2
 #: Index rows in a block, about; a block is what one task holds while queries stream by.
 BLOCK_ROWS = 20_000
 DEPTH = 64
+#: Sigmas of the difference of two sketch scores within which candidates of the k-th's score are kept beyond DEPTH.
+REACH = 3.0
 #: Rows in a block of best_of_all.
 EXACT_ROWS = 10_000
 SALTS = 16
@@ -223,7 +225,18 @@ def _rows(block: np.ndarray, kind: int, works: pa.Array, cells: pa.ListArray, ve
     return pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(np.full(n, kind, dtype=np.int8)), works, cells, fixed(vectors), packed], names=["block", "kind", "work", "cells", "vector", "codes"])
 
 
-def _scan(shared, dims: int, depth: int, coarse: float, fine: float):
+def _kept(i: np.ndarray, s: np.ndarray, k: int, depth: int, dims: int) -> np.ndarray:
+    """Of candidates in order of query i and falling score s: each query's `depth` best, and all that the sketch's error may place before its k-th."""
+    if not len(i):
+        return np.zeros(0, dtype=bool)
+    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+    size = np.diff(np.concatenate([first, [len(i)]]))
+    kth = s[np.minimum(first + k - 1, first + size - 1)]
+    least = kth - REACH * 2**0.5 * (1 - np.minimum(kth, 1) ** 2) / dims**0.5
+    return (np.arange(len(i)) - np.repeat(first, size) < depth) | (s >= np.repeat(least, size))
+
+
+def _scan(shared, dims: int, k: int, depth: int, coarse: float, fine: float):
     """Per block: its index rows, which come first, are held; queries stream by and leave their candidates."""
 
     def unfixed(column: pa.Array, width: int, kind) -> np.ndarray:
@@ -256,8 +269,9 @@ def _scan(shared, dims: int, depth: int, coarse: float, fine: float):
                     table = quantiser.table(Quantiser.unpack(np.concatenate([s[2] for s in store])[order]))
                     vectors = unit(np.concatenate([s[1] for s in store])[order])
                     starts = {int(c): (int(x), int(y)) for c, x, y in zip(*(lambda u, f, n: (u, f, f + n))(*np.unique(cell, return_index=True, return_counts=True)))}
-                    built, store = (names, table, vectors, starts), store[:1]
-                names, table, vectors, starts = built
+                    ids = np.asarray(names.dictionary_encode().indices)  # a row in two lists of the block is one candidate
+                    built, store = (names, ids, table, vectors, starts), store[:1]
+                names, ids, table, vectors, starts = built
                 q = unit(unfixed(part.column(4), dims // 2, np.uint8))
                 sizes = np.asarray(part.column(3).value_lengths())
                 asked, who = np.asarray(part.column(3).flatten()), np.repeat(np.arange(len(sizes)), sizes)
@@ -278,11 +292,11 @@ def _scan(shared, dims: int, depth: int, coarse: float, fine: float):
                 if not found:
                     continue
                 i, j, s = (np.concatenate(z) for z in zip(*found))
+                once = np.unique(i * len(ids) + ids[j], return_index=True)[1]
+                i, j, s = i[once], j[once], s[once]
                 order = np.lexsort((-s, i))
                 i, j, s = i[order], j[order], s[order]
-                first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, int)
-                rank = np.arange(len(i)) - np.repeat(first, np.diff(np.concatenate([first, [len(i)]])))
-                keep = rank < depth
+                keep = _kept(i, s, k, depth, dims)
                 left, right = part.column(2).take(pa.array(i[keep])), names.take(pa.array(j[keep]))
                 if keep.any():
                     yield pa.RecordBatch.from_arrays([left, right, pa.array(s[keep].astype(np.float32))], names=["a", "b", "score"])
@@ -290,11 +304,12 @@ def _scan(shared, dims: int, depth: int, coarse: float, fine: float):
     return run
 
 
-def candidates(sets: DataFrame, rows: int, least: float, depth: int = DEPTH, dims: int = DIMS) -> DataFrame:
+def candidates(sets: DataFrame, rows: int, least: float, k: int, depth: int = DEPTH, dims: int = DIMS) -> DataFrame:
     """(a, b), a < b: pairs of rows of sets (work, words) whose sketches score at least `least`.
 
     Four-bit scores pass with SLACK less, since they err more than the sketches they stand for.
-    Each query keeps its `depth` best candidates a block.
+    Each query keeps its `depth` best candidates a block, and all those within the sketch's error of its
+    k-th, so that dense groups are decided by the exact cosine.
     """
     spark = sets.sparkSession
     counted = sets.select("words").mapInArrow(_frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
@@ -320,7 +335,7 @@ def candidates(sets: DataFrame, rows: int, least: float, depth: int = DEPTH, dim
     shared = spark.sparkContext.broadcast(index)
     routed = sets.select("work", "words").mapInArrow(_route(shared, dims), "block int, kind tinyint, work string, cells array<smallint>, vector binary, codes binary")
     ordered = routed.repartition("block").sortWithinPartitions("block", "kind")
-    pairs = ordered.mapInArrow(_scan(shared, dims, depth, least - SLACK, least), "a string, b string, score float")
+    pairs = ordered.mapInArrow(_scan(shared, dims, k, depth, least - SLACK, least), "a string, b string, score float")
     return session.stage(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
 
@@ -438,7 +453,7 @@ def most_similar(texts: DataFrame, k: int = 5, least: int = 4, least_cosine: flo
     if exact:
         near = session.stage(best_of_all(unique, rows, k + 1).filter(F.col("cosine") >= least_cosine), "scored")
     else:
-        pairs = candidates(unique, rows, least_score(least_cosine), depth)
+        pairs = candidates(unique, rows, least_score(least_cosine), k + 1, depth)
         left = unique.select(F.col("work").alias("a"), F.col("words").alias("wa"))
         right = unique.select(F.col("work").alias("b"), F.col("words").alias("wb"))
         both = skew.lookup_join(skew.lookup_join(pairs, left, "a"), right, "b", hot=skew.hot_keys(pairs, "b"))

@@ -88,6 +88,13 @@ def test_copies_ties_and_a_hot_class(spark, monkeypatch, hot):
     assert not {"none", "none2", "none3", None} & set(got)
 
 
+def test_a_dense_group_is_not_cut_by_rank(spark):
+    rows = near_copies(3)
+    want = {(a, b) for a, near in brute(rows, 5).items() for b, c in near if c >= 0.53}
+    got = {(a, b) for a, near in got_of(spark, rows, k=5, least_cosine=0.53, depth=8).items() for b, _ in near}
+    assert len(want & got) >= 0.99 * len(want)
+
+
 @pytest.mark.parametrize("block_rows", [10_000, 97])
 def test_every_paper_has_its_nearest_without_a_floor(spark, monkeypatch, block_rows):
     monkeypatch.setattr(similar.best_of_all, "__defaults__", (block_rows,))
