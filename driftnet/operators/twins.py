@@ -51,12 +51,15 @@ def field_of(papers: DataFrame) -> DataFrame:
 
 
 def agreements(rows: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(work, x, y, model_x, model_y, agreement) of all pairs of a paper's descriptions by different models."""
+    """(work, x, y, model_x, model_y, agreement) of all pairs of a paper's descriptions by different models.
+
+    Agreements aren't rounded: means are taken of them, and rounded once.
+    """
     x = rows.select("work", F.col("desc_id").alias("x"), F.col("model").alias("model_x"))
     y = rows.select("work", F.col("desc_id").alias("y"), F.col("model").alias("model_y"))
     pairs = x.join(y, "work").filter("x < y and model_x <> model_y").withColumn("pair", F.concat_ws("-", "x", "y"))
     slim = vectors.select("doc", "term", "w")
-    return V.dots(pairs, slim, "x", "y").select("work", "x", "y", "model_x", "model_y", F.round("dot", 6).alias("agreement"))
+    return V.dots(pairs, slim, "x", "y").select("work", "x", "y", "model_x", "model_y", F.col("dot").alias("agreement"))
 
 
 def model_report(rows: DataFrame, agreed: DataFrame) -> DataFrame:

@@ -47,8 +47,9 @@ def near_papers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def twin_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs among either side's three best by score that reach 0.2; known tells those of one family."""
-    found = twins.candidates(_near(spark, d, 3)[1], 3).filter("score >= 0.2")
+    """The pairs among either side's forty best by score; known tells those of one family."""
+    k = twins.TwinRules.candidates
+    found = twins.candidates(_near(spark, d, k)[1], k)
     known = twins.families(table(spark, d, "papers"))
     for s in "ab":
         found = found.join(known.select(F.col("work").alias(s), F.col("family").alias(f"k{s}")), s, "left")
@@ -168,12 +169,11 @@ rws AS MATERIALIZED (SELECT desc_id, work, concat_ws('/', model.provider, model.
   WHERE work IS NOT NULL AND model IS NOT NULL AND desc_id IS NOT NULL AND trim(concat_ws(' ', problem, approach)) <> ''),
 dflat AS (SELECT desc_id AS doc, work, unnest({Q.plain_tokens('text')}) AS term FROM rws),
 dtf AS (SELECT doc, work, term, count(*) AS tf FROM dflat GROUP BY ALL),
-{Q.tfidf('v', 'dtf', '(SELECT count(*) FROM rws)', 2, 0.25, 'work')}"""
+{Q.tfidf('v', 'dtf', '(SELECT count(*) FROM rws)', 2, 1.0, 'work')}"""
 _AGREE = """
-o AS (SELECT work, model, min(desc_id) AS id FROM rws GROUP BY ALL),
-pr AS (SELECT x.work, x.id AS x, y.id AS y, x.model AS mx, y.model AS my FROM o x JOIN o y ON x.work = y.work AND x.id < y.id),
+pr AS (SELECT x.work, x.desc_id AS x, y.desc_id AS y, x.model AS mx, y.model AS my FROM rws x JOIN rws y ON x.work = y.work AND x.desc_id < y.desc_id AND x.model <> y.model),
 dt AS (SELECT pr.x, pr.y, sum(a.w * b.w) AS dot FROM pr JOIN v a ON a.doc = pr.x JOIN v b ON b.doc = pr.y AND b.term = a.term GROUP BY ALL),
-ag AS MATERIALIZED (SELECT pr.*, round(coalesce(dot, 0), 6) AS agreement FROM pr LEFT JOIN dt ON dt.x = pr.x AND dt.y = pr.y)"""
+ag AS MATERIALIZED (SELECT pr.*, coalesce(dot, 0) AS agreement FROM pr LEFT JOIN dt ON dt.x = pr.x AND dt.y = pr.y)"""
 _PV = Q.mean("pv", "v", "work")
 _SIM = f"""{field_vectors_sql().strip()},
 fam AS (SELECT work, min(family) AS family FROM papers WHERE family IS NOT NULL AND role = 'member' AND work IS NOT NULL GROUP BY work),
@@ -201,8 +201,8 @@ SELECT model, descriptions, papers, coalesce(pairs, 0) AS pairs, agreement FROM
     "mean_likeness": f"""WITH {_DESCRIBED}, {_PV}, t AS (SELECT term, sum(w) AS t FROM pv GROUP BY term), n AS (SELECT count(DISTINCT work) AS n FROM pv)
 SELECT work, round(round((sum(w * t) - sum(w * w)) / greatest(any_value(n) - 1, 1), 9), 6) AS likeness FROM pv JOIN t USING (term), n GROUP BY work""",
     "near_papers": f"{_ALL} SELECT work, other, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY work ORDER BY similarity DESC, other) AS rank FROM sides) WHERE rank <= 5",
-    "twin_candidates": f"""{_ALL}, t AS (SELECT DISTINCT least(work, other) AS a, greatest(work, other) AS b FROM (SELECT *, row_number() OVER (PARTITION BY work ORDER BY score DESC, other) AS r FROM sides) WHERE r <= 3)
-SELECT sp.* FROM sp JOIN t USING (a, b) WHERE score >= 0.2""",
+    "twin_candidates": f"""{_ALL}, t AS (SELECT DISTINCT least(work, other) AS a, greatest(work, other) AS b FROM (SELECT *, row_number() OVER (PARTITION BY work ORDER BY score DESC, other) AS r FROM sides) WHERE r <= 40)
+SELECT a, b, similarity, distance, score, known FROM sp JOIN t USING (a, b)""",
     "why_words": f"""{_ALL}, t AS (SELECT DISTINCT least(work, other) AS a, greatest(work, other) AS b FROM (SELECT *, row_number() OVER (PARTITION BY work ORDER BY similarity DESC, other) AS r FROM sides) WHERE r = 1),
 w AS (SELECT a, b, x.term, round(x.w * y.w, 6) AS share FROM t JOIN pv x ON x.work = a JOIN pv y ON y.work = b AND y.term = x.term)
 SELECT a, b, term, share, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY share DESC, term) AS rank FROM w WHERE share > 0) WHERE rank <= 6""",
