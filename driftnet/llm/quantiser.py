@@ -55,32 +55,32 @@ def lists(x: np.ndarray, count: int, rounds: int = 8, seed: int = 3) -> np.ndarr
 
 
 class Quantiser:
-    """Codebooks (subspaces, 16, SUB) for unit vectors of a number of dimensions divisible by SUB."""
+    """Codebooks (subspaces, 16, dimensions of a subspace) for vectors of a number of dimensions divisible by the last."""
 
     def __init__(self, books: np.ndarray, eta: float):
         self.books, self.eta = books.astype(np.float32), eta
 
     @classmethod
-    def fit(cls, x: np.ndarray, rounds: int = 2, most: int = 4096, seed: int = 4) -> Quantiser:
+    def fit(cls, x: np.ndarray, rounds: int = 2, most: int = 4096, seed: int = 4, sub: int = SUB) -> Quantiser:
         """Alternate anisotropic assignment and the least-squares optimal codebooks for it, on at most `most` vectors."""
         rng = np.random.default_rng(seed)
         x = x[rng.choice(len(x), min(most, len(x)), replace=False)].astype(np.float32)
         dims = x.shape[1]
-        m = dims // SUB
-        parts = x.reshape(len(x), m, SUB)
-        books = np.zeros((m, CODES, SUB), dtype=np.float32)
+        m = dims // sub
+        parts = x.reshape(len(x), m, sub)
+        books = np.zeros((m, CODES, sub), dtype=np.float32)
         for i in range(m):
             c = _kmeans(parts[:, i], CODES, 6, rng)
             books[i, : len(c)] = c
         out = cls(books, along_weight(dims))
         for _ in range(rounds):
             codes = out.encode(x)
-            slot = (np.arange(m) * CODES + codes)[:, :, None] * SUB + np.arange(SUB)
-            u = np.zeros((len(x), m * CODES * SUB), dtype=np.float32)
+            slot = (np.arange(m) * CODES + codes)[:, :, None] * sub + np.arange(sub)
+            u = np.zeros((len(x), m * CODES * sub), dtype=np.float32)
             np.put_along_axis(u, slot.reshape(len(x), -1), x, axis=1)
-            held = np.bincount((np.arange(m) * CODES + codes).ravel(), minlength=m * CODES).repeat(SUB)
+            held = np.bincount((np.arange(m) * CODES + codes).ravel(), minlength=m * CODES).repeat(sub)
             solved = _solve(u, out.eta - 1, held + 1e-3, out.eta * u.sum(axis=0, dtype=np.float64) + 1e-3 * out.books.ravel(), out.books.ravel())
-            out = cls(solved.reshape(m, CODES, SUB), out.eta)
+            out = cls(solved.reshape(m, CODES, sub), out.eta)
         return out
 
     def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
@@ -91,7 +91,7 @@ class Quantiser:
         return out
 
     def _encode(self, x: np.ndarray, sweeps: int) -> np.ndarray:
-        parts = x.reshape(len(x), -1, SUB)
+        parts = x.reshape(len(x), -1, self.books.shape[2])
         dots = np.einsum("nms,mcs->nmc", parts, self.books, optimize=True)
         own = (parts * parts).sum(axis=2)[:, :, None]
         square = own - 2 * dots + (self.books**2).sum(axis=2)[None]

@@ -13,18 +13,24 @@ from driftnet.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _neighbours(spark: SparkSession, d: str, least_cosine: float, exact: bool = False) -> DataFrame:
+def _neighbours(spark: SparkSession, d: str, **how) -> DataFrame:
     texts = similar.paper_texts(table(spark, d, "abstracts"), table(spark, d, "descriptions"))
-    return similar.most_similar(texts, k=5, least=4, least_cosine=least_cosine, exact=exact)
+    return similar.most_similar(texts, k=5, least=4, **how)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    near = _neighbours(spark, d, 0.53)
+    near = _neighbours(spark, d, least_cosine=0.53)
     return near.select(F.least("work", "neighbour").alias("work_a"), F.greatest("work", "neighbour").alias("work_b")).distinct()
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _neighbours(spark, d, 0.0, exact=True)
+    """Every paper's five nearest, whatever their cosine, by the index."""
+    return _neighbours(spark, d)
+
+
+def p1_searched(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest among all papers of every paper whose id is divisible by 50, exactly."""
+    return _neighbours(spark, d, exact=True, asked=F.substring("work", 2, 20).cast("bigint") % 50 == 0)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +112,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [p1_found, p1_neighbours, p2_found, p3_found, p3_counts, p4_found, p4_classes, p5_found, p5_models, p5_agreement, p6_found, p7_found, p8_found, p8_mix, p8_shares, p9_found, p9_pieces]
+    named = [p1_found, p1_neighbours, p1_searched, p2_found, p3_found, p3_counts, p4_found, p4_classes, p5_found, p5_models, p5_agreement, p6_found, p7_found, p8_found, p8_mix, p8_shares, p9_found, p9_pieces]
     return {f.__name__: f for f in named}
 
 
@@ -137,7 +143,7 @@ g AS (SELECT desc_id, min(desc_id) OVER (PARTITION BY key) AS keep_id FROM k)
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT DISTINCT least(a, b) AS work_a, greatest(a, b) AS work_b FROM r WHERE rank <= 5 AND cosine >= 0.53",
-        "p1_neighbours": _P1 + "SELECT a AS work, b AS neighbour, cosine, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5 AND cosine >= 0.5",
+        "p1_searched": _P1 + "SELECT a AS work, b AS neighbour, cosine, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5 AND CAST(substr(a, 2) AS BIGINT) % 50 = 0",
         "p2_found": """
 WITH n AS (SELECT work AS g, unnest(neighbours) AS c FROM neighbours),
 z AS (SELECT topic || ':' || "freeze" AS g, unnest(instrument) AS item, unnest(instrument_cites) AS v FROM records),

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftnet import session
+from driftnet.llm.nearest import nearest, partition_keys
 from driftnet.llm.quantiser import Quantiser, lists
 from driftnet.plans import skew
 
@@ -184,7 +185,7 @@ def _route(shared, dims: int):
     """Each class's index rows (kind 0, one per list it lies in) and query rows (kind 1, one per block it probes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: _Index = shared.value
+        index, keys = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -200,7 +201,7 @@ def _route(shared, dims: int):
             at = spill.ravel()
             block = index.first[at] + (salt[own] % index.parts[at].astype(np.uint64)).astype(np.int64)
             cells = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32)), pa.array(at.astype(np.int16)))
-            yield _rows(block, 0, works.take(pa.array(own)), cells, scaled[own], codes[own])
+            yield _rows(keys[block], 0, works.take(pa.array(own)), cells, scaled[own], codes[own])
             # queries: all parts of each probed list
             own, at = np.repeat(np.arange(n), near.shape[1]), near.ravel()
             times = index.parts[at]
@@ -210,7 +211,7 @@ def _route(shared, dims: int):
             own, block, at = own[order], block[order], at[order]
             new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (block[1:] != block[:-1])]))
             cells = pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(at)]]).astype(np.int32)), pa.array(at.astype(np.int16)))
-            yield _rows(block[new], 1, works.take(pa.array(own[new])), cells, scaled[own[new]], None)
+            yield _rows(keys[block[new]], 1, works.take(pa.array(own[new])), cells, scaled[own[new]], None)
 
     return run
 
@@ -247,7 +248,7 @@ def _scan(shared, dims: int, k: int, depth: int, coarse: float, fine: float):
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quantiser = shared.value.quantiser
+        quantiser = shared.value[0].quantiser
         block, built, store = None, None, []
         for batch in batches:
             blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -332,9 +333,9 @@ def candidates(sets: DataFrame, rows: int, least: float, k: int, depth: int = DE
     sketches = sampled["u"].dropna()
     read = lambda v, width: np.frombuffer(b"".join(v), dtype=np.float32).reshape(-1, width)
     index = _Index(idf, read(sample, ROUTE_DIMS), read(sketches, dims), rows, spark.sparkContext.defaultParallelism)
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast((index, partition_keys(spark, index.blocks)))
     routed = sets.select("work", "words").mapInArrow(_route(shared, dims), "block int, kind tinyint, work string, cells array<smallint>, vector binary, codes binary")
-    ordered = routed.repartition("block").sortWithinPartitions("block", "kind")
+    ordered = routed.repartition(index.blocks, "block").sortWithinPartitions("block", "kind")
     pairs = ordered.mapInArrow(_scan(shared, dims, k, depth, least - SLACK, least), "a string, b string, score float")
     return session.stage(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
@@ -421,16 +422,62 @@ def best_of_all(sets: DataFrame, rows: int, k: int, block_rows: int = EXACT_ROWS
     return cells.groupBy("x", "y").applyInArrow(_best_of_blocks(k), "a string, b string, cosine double")
 
 
-def most_similar(texts: DataFrame, k: int = 5, least: int = 4, least_cosine: float = 0.0, depth: int = DEPTH, exact: bool = False) -> DataFrame:
+def _best_of_asked(k: int, chunk: int = 250):
+    """Of a block of queries (side 0) and one of rows (side 1): each query's k best rows; ties to the smaller work."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("work").combine_chunks()
+        side = table["side"].to_numpy()
+        asked, pool = (table.filter(pa.array(side == z)) for z in (0, 1))
+        out = [[np.zeros(0, dtype=t)] for t in (int, int, float)]
+        if len(asked) and len(pool):
+            read = lambda t: t["words"].combine_chunks()
+            sizes = [np.asarray(read(t).value_lengths()) for t in (asked, pool)]
+            words, ids = np.unique(np.concatenate([np.asarray(read(t).flatten()) for t in (asked, pool)]), return_inverse=True)
+            ids = np.split(ids, [sizes[0].sum()])
+            left, right = ((np.concatenate([[0], np.cumsum(n)]), i) for n, i in zip(sizes, ids))
+            common = np.flatnonzero(np.bincount(right[1], minlength=len(words)) * 50 > len(pool))
+            at_own = np.searchsorted(np.array(pool["work"].to_pylist(), dtype=object), np.array(asked["work"].to_pylist(), dtype=object))
+            own = np.array([a < len(pool) and pool["work"][int(a)] == w for a, w in zip(at_own, asked["work"])])
+            for at in range(0, len(asked), chunk):
+                to = min(at + chunk, len(asked))
+                s = _overlaps(left, right, len(words), common, at, to) / np.sqrt(sizes[0][at:to, None].astype(float) * sizes[1])
+                mine = np.flatnonzero(own[at:to])
+                s[mine, at_own[at:to][mine]] = 0
+                least = np.partition(s, max(0, len(pool) - k), axis=1)[:, [max(0, len(pool) - k)]]
+                i, j = np.nonzero((s >= least) & (s > 0))
+                for z, v in zip(out, _first(i + at, j, s[i, j], k)):
+                    z.append(v)
+        a, b, c = (np.concatenate(z) for z in out)
+        return pa.table({"a": asked["work"].combine_chunks().take(pa.array(a)), "b": pool["work"].combine_chunks().take(pa.array(b)), "cosine": pa.array(c)})
+
+    return run
+
+
+def best_of_asked(asked: DataFrame, sets: DataFrame, rows: int, k: int, block_rows: int = EXACT_ROWS) -> DataFrame:
+    """(a, b, cosine) with the k best rows of sets of each row of asked (both work, words), exactly: blocks of
+    queries meet blocks of rows, and only k rows a query and block leave a task."""
+    across, down = max(1, -(-rows // block_rows)), max(1, -(-asked.count() // block_rows))
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("work"), F.lit(n)).cast("int")
+    left = asked.select("work", "words", F.lit(0).alias("side"), own(down).alias("x"), to(across).alias("y"))
+    right = sets.select("work", "words", F.lit(1).alias("side"), own(across).alias("y"), to(down).alias("x"))
+    return left.unionByName(right).groupBy("x", "y").applyInArrow(_best_of_asked(k), "a string, b string, cosine double")
+
+
+def most_similar(texts: DataFrame, k: int = 5, least: int = 4, least_cosine: float = 0.0, depth: int = DEPTH, exact: bool = False, asked: Column | None = None) -> DataFrame:
     """(work, neighbour, cosine, rank): each work's k works of highest cosine, ties to the smaller work.
 
     texts (work, text) may have many rows a work. A work's vector has a 1 for each distinct word of
     `least` or more letters in all its texts together; the cosine is exact. Works without such words
     have no rows and are nobody's neighbours; rows with a null work or text don't count, an empty
     table gives an empty one. Neighbours below least_cosine, those that share no word and those that the
-    index misses (its recall is measured in the tests), aren't given. The index is for the alike: sketches
-    can't tell the best of many cosines that are low. With `exact`, all classes are compared with all
-    instead, and nothing is missed.
+    index misses (its recall is measured in the tests), aren't given.
+
+    With a least_cosine, signed sketches rule out what can't reach it; without, no sketch of that kind can
+    tell the best of many low cosines, and learned ones rank (nearest()). With `exact`, all classes are
+    compared with all instead, and nothing is missed; `asked`, a condition on the column work, leaves
+    that to the works it holds for, against all.
 
     Works of equal vectors form a class, which is searched for once; its k + 1 smallest works stand for
     it, since no answer needs more. Classes are sketched (signed projection of the vectors compared; for routing, weighted by idf up to MOST_IDF), partitioned
@@ -450,8 +497,12 @@ def most_similar(texts: DataFrame, k: int = 5, least: int = 4, least_cosine: flo
         unique = session.stage(unique.select("work", "words"), "unique")
     else:
         named, unique = members.select("work", F.col("work").alias("rep")), sets.select("work", "words")
-    if exact:
-        near = session.stage(best_of_all(unique, rows, k + 1).filter(F.col("cosine") >= least_cosine), "scored")
+    if exact or not least_cosine > 0:
+        if asked is not None:
+            found = best_of_asked(unique.join(named.filter(asked).select(F.col("rep").alias("work")).distinct(), "work", "left_semi"), unique, rows, k + 1)
+        else:
+            found = best_of_all(unique, rows, k + 1) if exact else nearest(unique, rows, k + 1)
+        near = session.stage(found.filter(F.col("cosine") >= least_cosine), "scored")
     else:
         pairs = candidates(unique, rows, least_score(least_cosine), k + 1, depth)
         left = unique.select(F.col("work").alias("a"), F.col("words").alias("wa"))
@@ -471,9 +522,11 @@ def most_similar(texts: DataFrame, k: int = 5, least: int = 4, least_cosine: flo
         near = near.drop("b")
     else:
         near = near.withColumnRenamed("b", "item")
+    # a row in several lists or blocks can come more than once
+    near = near.groupBy("a", "item").agg(F.max("cosine").alias("cosine"))
     top = near.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("cosine"), "item"))).filter(F.col("r") <= k + 1)
     best = top.groupBy("a").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "item"))).alias("best"))  # at most k + 1
-    mine = skew.lookup_join(named, best.withColumnRenamed("a", "rep"), "rep", hot=None if has_copies else [])
+    mine = skew.lookup_join(named if asked is None else named.filter(asked), best.withColumnRenamed("a", "rep"), "rep", hot=None if has_copies else [])
     others = F.slice(F.filter("best", lambda x: x.item != F.col("work")), 1, k)
     return mine.select("work", F.posexplode(others).alias("i", "x")).select("work", F.col("x.item").alias("neighbour"), (-F.col("x.c")).alias("cosine"), (F.col("i") + 1).alias("rank"))
 
