@@ -17,12 +17,12 @@ DIMS = 256
 #: Vectors that directions, lists and codebooks are fitted on, of which LEARN give the directions; all are indexed.
 SAMPLE = 20_000
 LEARN = 8_000
-#: Lists that a vector stands in, and lists probed as a multiple of the root of their number.
-SPILL = 2
-PROBES = 4.0
+#: Lists are this multiple of the root of the rows, and this multiple of the root of the lists is probed. Low cosines are
+#: spread over many lists: these values reach 0.95 of the true nearest of 60,000 papers, half of which have none above 0.34.
+LISTS, PROBES = 4.0, 10.0
 BLOCK_ROWS = 20_000
 #: Candidates of a query in a block that the exact cosine decides.
-DEPTH = 64
+DEPTH = 128
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -103,14 +103,12 @@ class _Index:
         some = int(sizes[:LEARN].sum())
         self.projection = learn(flat[:some], sizes[:LEARN])
         x = sketch(flat, sizes, self.projection)
-        wanted = int(2 ** round(np.log2(max(4.0, 2 * rows**0.5))))
+        wanted = int(2 ** round(np.log2(max(4.0, LISTS * rows**0.5))))
         self.centroids = lists(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9), max(1, min(wanted, SAMPLE // 8, len(x) // 8)))
         self.quantiser = Quantiser.fit(x, sub=1)
         count = len(self.centroids)
-        self.spill = min(SPILL, count)
         self.probes = max(1, min(count, int(np.ceil(PROBES * count**0.5))))
-        near = np.argsort(-(x @ self.centroids.T), axis=1)[:, : self.spill]
-        size = np.bincount(near.ravel(), minlength=count) * (rows / max(1, len(x)))
+        size = np.bincount((x @ self.centroids.T).argmax(axis=1), minlength=count) * (rows / max(1, len(x)))
         self.blocks, self.first, self.parts = blocks_of(self.centroids, size, max(parallel, int(size.sum() // BLOCK_ROWS)), BLOCK_ROWS)
 
 
@@ -158,12 +156,11 @@ def _route(shared):
                 x = sketch(flat, sizes, index.projection)
                 near = np.argsort(-(x @ index.centroids.T), axis=1)[:, : index.probes]
                 codes = Quantiser.pack(index.quantiser.encode(x))
-                own = np.repeat(np.arange(len(sizes)), index.spill)
-                lists_ = near[:, : index.spill].ravel()
-                salt = (flat[np.cumsum(sizes) - 1].view(np.uint64) >> np.uint64(3))[own]
-                block = index.first[lists_] + (salt % index.parts[lists_].astype(np.uint64)).astype(np.int64)
-                one = pa.ListArray.from_arrays(pa.array(np.arange(len(lists_) + 1, dtype=np.int32)), pa.array(lists_.astype(np.int16)))
-                yield _rows(keys[block], 0, batch.take(pa.array(own)), one, codes[own])
+                mine = near[:, 0]
+                salt = flat[np.cumsum(sizes) - 1].view(np.uint64) >> np.uint64(3)
+                block = index.first[mine] + (salt % index.parts[mine].astype(np.uint64)).astype(np.int64)
+                one = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1, dtype=np.int32)), pa.array(mine.astype(np.int16)))
+                yield _rows(keys[block], 0, batch, one, codes)
                 own, lists_ = np.repeat(np.arange(len(sizes)), near.shape[1]), near.ravel()
                 times = index.parts[lists_]
                 part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -201,38 +198,27 @@ class _Block:
         self.known, self.ids = np.unique(np.asarray(words.flatten()), return_inverse=True)
         self.ids = self.ids.astype(np.int32)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        # equal rows are one candidate; ids of names are in the order of names
-        self.names, self.who = np.unique(np.array(names.to_pylist(), dtype=object), return_inverse=True)
+        self.names = np.array(names.to_pylist(), dtype=object)
+        self.place = np.argsort(np.argsort(self.names, kind="stable"), kind="stable")
         some, at, n = np.unique(self.cell, return_index=True, return_counts=True)
         self.spans = {int(c): (int(a), int(a + k)) for c, a, k in zip(some, at, n)}
 
     def best(self, q: np.ndarray, cells: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of each query's `depth` best scores in the lists it asks, a name once."""
-        who = np.repeat(np.arange(len(counts)), counts)
-        found = []
-        for c in np.unique(cells):
-            if int(c) not in self.spans:
-                continue
-            a, b = self.spans[int(c)]
-            own = who[cells == c]
-            for lo in range(a, b, 4096):
-                hi = min(b, lo + 4096)
-                s = q[own] @ self.table[lo:hi].T
-                if hi - lo > depth:
-                    j = np.argpartition(-s, depth - 1, axis=1)[:, :depth]
-                    found.append((np.repeat(own, depth), (j + lo).ravel(), np.take_along_axis(s, j, 1).ravel()))
-                else:
-                    found.append((np.repeat(own, hi - lo), np.tile(np.arange(lo, hi), len(own)), s.ravel()))
-        if not found:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        i, j, s = (np.concatenate(z) for z in zip(*found))
-        order = np.lexsort((-s, i))
-        i, j = i[order], j[order]
-        new = np.sort(np.unique(i * len(self.names) + self.who[j], return_index=True)[1])
-        i, j = i[new], j[new]
-        first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-        rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-        return i[rank < depth], j[rank < depth]
+        """(query, row) of each query's `depth` best scores in the lists it asks."""
+        score = np.full((len(q), len(self.cell)), -np.inf, dtype=np.float32)
+        order = np.argsort(cells, kind="stable")
+        who, some = np.repeat(np.arange(len(counts)), counts)[order], cells[order]
+        cuts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1], [True]]))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            a, b = self.spans.get(int(some[lo]), (0, 0))
+            if b > a:
+                score[who[lo:hi], a:b] = q[who[lo:hi]] @ self.table[a:b].T
+        if depth < score.shape[1]:
+            j = np.argpartition(-score, depth - 1, axis=1)[:, :depth]
+            i = np.repeat(np.arange(len(q)), depth)
+            ok = np.take_along_axis(score, j, 1).ravel() > -np.inf
+            return i[ok], j.ravel()[ok]
+        return np.nonzero(score > -np.inf)
 
     def overlaps(self, words: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Words in common of query i and row j, pair by pair."""
@@ -275,19 +261,19 @@ def _scan(shared, k: int, depth: int):
                     sizes = np.asarray(part.column(3).value_lengths())
                     c = block.overlaps(np.asarray(part.column(3).flatten()), sizes, i, j) / np.sqrt(sizes[i].astype(float) * block.sizes[j])
                     asking = np.array(part.column(2).to_pylist(), dtype=object)
-                    keep = (c > 0) & (block.names[block.who[j]] != asking[i])
+                    keep = (c > 0) & (block.names[j] != asking[i])
                     i, j, c = i[keep], j[keep], c[keep]
-                    order = np.lexsort((block.who[j], -c, i))
+                    order = np.lexsort((block.place[j], -c, i))
                     i, j, c = i[order], j[order], c[order]
                     first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, dtype=np.int64)
                     few = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < k
                     if few.any():
-                        yield pa.RecordBatch.from_arrays([part.column(2).take(pa.array(i[few])), pa.array(block.names[block.who[j[few]]].tolist(), pa.string()), pa.array(c[few])], names=["a", "b", "cosine"])
+                        yield pa.RecordBatch.from_arrays([part.column(2).take(pa.array(i[few])), pa.array(block.names[j[few]].tolist(), pa.string()), pa.array(c[few])], names=["a", "b", "cosine"])
 
     return run
 
 
-def nearest(sets: DataFrame, rows: int, k: int, depth: int = DEPTH) -> DataFrame:
+def nearest(sets: DataFrame, rows: int, k: int, depth: int | None = None) -> DataFrame:
     """(a, b, cosine): k or more of each row's nearest rows, as far as the index finds them; the cosine is exact.
 
     sets (work, words), no work twice, no empty words. Directions, lists and codebooks are fitted on at
@@ -305,4 +291,4 @@ def nearest(sets: DataFrame, rows: int, k: int, depth: int = DEPTH) -> DataFrame
     shared = spark.sparkContext.broadcast((index, partition_keys(spark, index.blocks)))
     routed = sets.select("work", "words").mapInArrow(_route(shared), "key int, kind tinyint, work string, words array<bigint>, cells array<smallint>, vector binary")
     ordered = routed.repartition(index.blocks, "key").sortWithinPartitions("key", "kind")
-    return ordered.mapInArrow(_scan(shared, k, depth), "a string, b string, cosine double")
+    return ordered.mapInArrow(_scan(shared, k, depth or DEPTH), "a string, b string, cosine double")

@@ -136,3 +136,32 @@ def test_quantiser_keeps_scores_of_alike_vectors():
     assert along(y) < along(z)  # less is lost along the vector, where high scores are made
     c = lists(x, 20)
     assert np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-5) and len(c) == 20
+
+
+def test_index_reaches_nine_tenths_of_the_nearest_at_any_cosine(spark, monkeypatch):
+    from driftnet.llm import nearest
+
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 150)
+    rows = corpus(6, 1200) + near_copies(7, 100, 0)
+    want, got = brute(rows, 5), got_of(spark, rows, k=5)
+    assert set(got) == set(want) and all(len(n) == 5 for n in got.values())
+    hit = sum(sum(c >= want[a][4][1] - 1e-12 for _, c in n) for a, n in got.items())
+    assert hit >= 0.9 * 5 * len(want) and min(n[0][1] for n in want.values()) < 0.34
+    exact = {a: dict(n) for a, n in brute(rows, 400).items()}
+    assert all(abs(exact[a].get(b, c) - c) < 1e-12 for a, n in got.items() for b, c in n)
+
+
+def test_long_texts_ties_and_copies_in_the_index(spark):
+    say = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}word" for i in range(9000))
+    rows = corpus(8, 40) + [("long1", say), ("long2", say + " other words"), ("same1", "one and the same text"), ("same2", "The same text and ONE"), ("same3", "same text"), (None, "x"), ("null", None)]
+    want, got = brute(rows, 5), got_of(spark, rows, k=5)
+    assert got == {a: [(b, c) for b, c in n if c > 0] for a, n in want.items() if n[0][1] > 0}
+
+
+def test_asked_works_are_searched_among_all(spark):
+    from pyspark.sql import functions as F
+
+    rows = corpus(9, 120) + [(f"C{i}", "exactly these words again") for i in range(8)]
+    want = brute(rows, 5)
+    got = got_of(spark, rows, k=5, exact=True, asked=F.col("work").rlike("[05]$"))
+    assert got == {a: [(b, c) for b, c in n if c > 0] for a, n in want.items() if a[-1] in "05"}
