@@ -20,9 +20,13 @@ RANK = 160
 OVERSAMPLE = 16
 POWER_ROUNDS = 2
 LEAST_COSINE = 0.55
-#: Evaluation texts are taken in blocks of at most so many characters, which bounds the vocabulary,
-#: the latent space and all else that is broadcast; further blocks are further passes.
+#: Evaluation texts are searched in blocks of about so many characters, which bounds the latent space and all else that is
+#: broadcast; further blocks are further passes over the stretches, not over the corpus.
 BLOCK_CHARS = 2_000_000
+#: The corpus is read and tokenised once for so many characters of evaluation text, which bounds the words told to tasks.
+SCAN_CHARS = 20_000_000
+#: Words not of the evaluation texts that may follow one another inside a passage: room for a paraphrase.
+GAP = 2
 
 
 def words(text: str) -> list[str]:
@@ -66,26 +70,69 @@ def longest_run(masks: dict[int, int], ids: list[int]) -> int:
 
 
 class _Space:
-    """What executors need of one block of evaluation texts: bounded by BLOCK_CHARS."""
+    """What executors need of one block of evaluation texts: bounded by BLOCK_CHARS.
 
-    def __init__(self, texts: list[tuple[str, str, str | None]]):
-        sequences = [words(t) for _, t, _ in texts]
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for s in sequences for w in s}))}
+    ids are those of `vocabulary`, of the texts of one scan; `local` turns them into the block's own, -1
+    for words that none of its texts holds.
+    """
+
+    def __init__(self, texts: list[tuple[str, str, str | None]], vocabulary: dict[str, int]):
+        sequences = [np.array([vocabulary[w] for w in words(t)], dtype=np.int64) for _, t, _ in texts]
+        own = np.unique(np.concatenate([*sequences, np.zeros(0, dtype=np.int64)])).astype(np.int64)
+        self.size = len(own)
+        self.local = np.full(len(vocabulary) + 1, -1, dtype=np.int32)  # the last place is for -1
+        self.local[own] = np.arange(self.size)
         self.keys = [k for k, _, _ in texts]
-        self.ids = [np.array([self.vocabulary[w] for w in s], dtype=np.int32) for s in sequences]
-        self.answers = [tuple(self.vocabulary.get(w, -1) for w in words(a)) if a else () for _, _, a in texts]
-        self.projection = self.latent = self.of = None
+        self.ids = [self.local[s] for s in sequences]
+        self.answers = [tuple(int(self.local[vocabulary.get(w, -1)]) for w in words(a)) if a else () for _, _, a in texts]
+        self.projection = self.latent = self.of = self.lists = None
         self.masks: list[dict[int, int]] = []
         for ids in self.ids:
             m: dict[int, int] = {}
             for p, x in enumerate(ids.tolist()):
                 m[x] = m.get(x, 0) | (1 << p)
             self.masks.append(m)
-        held = np.zeros((len(self.ids), len(self.vocabulary) + 1), dtype=bool)  # the last column is for unknown words
-        for i, ids in enumerate(self.ids):
-            held[i, ids] = True
-        #: Which words each text holds, eight to a byte.
-        self.held = np.packbits(held, axis=1, bitorder="little")
+        #: Which words each text holds, as sorted numbers text * (size + 1) + word; word `size` is held by none.
+        self.held = np.unique(np.concatenate([np.unique(ids).astype(np.int64) + i * (self.size + 1) for i, ids in enumerate(self.ids)] or [np.zeros(0, dtype=np.int64)]))
+
+    def holds(self, text: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether text[i] holds the words ids[i, :], of the block."""
+        want = text[:, None] * np.int64(self.size + 1) + ids
+        return self.held[np.minimum(np.searchsorted(self.held, want), len(self.held) - 1)] == want
+
+
+class _Lists:
+    """Passages in lists around centroids. A list is left out for a vector only if no vector within the list's
+    widest angle can reach the cosine wanted, so nothing is lost."""
+
+    def __init__(self, x: np.ndarray, seed: int = 8):
+        rng = np.random.default_rng(seed)
+        c = x[rng.choice(len(x), max(1, int(len(x) ** 0.5)), replace=False)]
+        for _ in range(6):
+            near = (x @ c.T).argmax(axis=1)
+            c = np.stack([x[near == i].sum(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+        s = x @ c.T
+        near = s.argmax(axis=1)
+        self.order = np.argsort(near, kind="stable")
+        self.x = np.ascontiguousarray(x[self.order].T)
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(near, minlength=len(c)))])
+        self.centres = np.ascontiguousarray(c.T)
+        self.angle = np.array([np.arccos(np.clip(s[near == i, i].min() if (near == i).any() else 1.0, -1, 1)) for i in range(len(c))])
+
+    def search(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of q, passage, cosine) of all pairs of unit vectors of cosine `least` or more; a zero vector has none."""
+        reach = np.arccos(np.clip(q @ self.centres, -1, 1)) - self.angle <= np.arccos(least) + 1e-3
+        out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))]
+        full = reach.mean() > 0.5
+        for i in [None] if full else np.flatnonzero(reach.any(axis=0)):
+            a, b = (0, self.x.shape[1]) if full else self.ends[i : i + 2]
+            rows = np.arange(len(q)) if full else np.flatnonzero(reach[:, i])
+            s = q[rows] @ self.x[:, a:b]
+            hit, col = np.nonzero(s >= least)
+            if len(hit):
+                out.append((rows[hit], self.order[col + a], s[hit, col]))
+        return tuple(np.concatenate(z) for z in zip(*out))
 
 
 def _scan(vocabulary, least: int, gap: int):
@@ -177,32 +224,30 @@ def _search(shared, least_run: int, least_ratio: float, least_cosine: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space: _Space = shared.value
-        latent = space.latent.T.copy()
         for batch in batches:
             docs = batch.column(0).to_numpy()
             lists = batch.column(1)
-            flat, ends = np.asarray(lists.flatten()), np.asarray(lists.value_lengths())
+            flat, ends = space.local[np.asarray(lists.flatten())], np.asarray(lists.value_lengths())
             ends = np.concatenate([[0], np.cumsum(ends)])
             found = []
             row = 0
             while row < len(docs):  # some 40,000 words at a time
                 stop = max(row + 1, int(np.searchsorted(ends, ends[row] + 40_000, "right")) - 1)
-                found += _chunk(space, latent, docs[row:stop], flat[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row])
+                found += _chunk(space, docs[row:stop], flat[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row])
                 row = stop
             if found:
                 cols = list(zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.bool_()), pa.array(cols[5], pa.float64())], names=["doc_id", "work", "run", "lcs", "answer", "cosine"])
 
-    def _chunk(space: _Space, latent: np.ndarray, docs: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> list[tuple]:
+    def _chunk(space: _Space, docs: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> list[tuple]:
         # sums over blocks of one stride; a passage is two blocks
-        firsts, owner, single = [], [], []
+        firsts, owner = [], []
         for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
             blocks = np.arange(a, b, STRIDE)
             firsts.append(blocks)
             owner.append(np.full(len(blocks), i))
         firsts, owner = np.concatenate(firsts), np.concatenate(owner)
-        rows = np.where((flat >= 0)[:, None], space.projection[flat], 0) if (flat < 0).any() else space.projection[flat]
-        sums = np.add.reduceat(rows, firsts, axis=0)
+        sums = np.add.reduceat(space.projection[flat], firsts, axis=0)  # the last row, of -1, is zero
         follows = np.zeros(len(firsts), dtype=bool)
         follows[:-1] = owner[1:] == owner[:-1]
         leads = np.ones(len(firsts), dtype=bool)
@@ -212,22 +257,20 @@ def _search(shared, least_run: int, least_ratio: float, least_cosine: float):
         two = follows[passage]
         x[two] += sums[passage[two] + 1]
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        out = []
+        out, longest = [], {}
         for at in range(0, len(passage), 2048):
-            cosines = x[at : at + 2048] @ latent
-            hit, col = np.nonzero(cosines >= least_cosine)
+            hit, col, cosine = space.lists.search(x[at : at + 2048], least_cosine)
             if not len(hit):
                 continue
             pair = hit.astype(np.int64) * len(space.keys) + space.of[col]
-            order = np.lexsort((-cosines[hit, col], pair))
+            order = np.lexsort((-cosine, pair))
             _, first = np.unique(pair[order], return_index=True)
             chosen = order[first]
             # a common subsequence is no longer than the number of words that the text has at all
             at_ = firsts[passage[at + hit[chosen]]][:, None] + np.arange(2 * STRIDE)
             last = ends[owner[passage[at + hit[chosen]]] + 1][:, None]
             ids = np.where(at_ < last, flat[np.minimum(at_, len(flat) - 1)], -1)
-            ids = np.where(ids < 0, len(space.vocabulary), ids)
-            known = (space.held[space.of[col[chosen]][:, None], ids >> 3] >> (ids & 7).astype(np.uint8)) & 1
+            known = space.holds(space.of[col[chosen]], np.where(ids < 0, space.size, ids))
             enough = known.sum(axis=1) >= np.minimum(least_run, least_ratio * np.minimum(2 * STRIDE, last[:, 0] - at_[:, 0]))
             for k in chosen[enough]:
                 p = passage[at + hit[k]]
@@ -240,11 +283,14 @@ def _search(shared, least_run: int, least_ratio: float, least_cosine: float):
                 run = longest_run(space.masks[text], ids)
                 if run < least_run and lcs < least_ratio * 2 * STRIDE:
                     continue
-                if run == b - a:  # the run may go on beyond the passage
-                    run = longest_run(space.masks[text], flat[ends[i] : ends[i + 1]][max(0, a - int(ends[i]) - 2000) : b - int(ends[i]) + 2000].tolist())
+                whole = flat[int(ends[i]) : int(ends[i + 1])]
+                if run >= least_run:  # it may go on beyond the passage
+                    if (i, text) not in longest:
+                        longest[i, text] = longest_run(space.masks[text], whole.tolist())
+                    run = longest[i, text]
                 answer = space.answers[text]
-                said = bool(answer) and -1 not in answer and _holds(flat[int(ends[i]) : int(ends[i + 1])], answer)
-                out.append((int(docs[i]), space.keys[text], run, lcs, said, float(cosines[hit[k], col[k]])))
+                said = bool(answer) and -1 not in answer and _holds(whole, answer)
+                out.append((int(docs[i]), space.keys[text], run, lcs, said, float(cosine[k])))
         return out
 
     return run
@@ -256,7 +302,7 @@ def _holds(ids: np.ndarray, answer: tuple[int, ...]) -> bool:
     return any(tuple(ids[p : p + n].tolist()) == answer for p in at)
 
 
-def leaks(documents: DataFrame, gold: DataFrame, least_run: int = 12, least_ratio: float = 0.75, gap: int = 0, rank: int = RANK, least_cosine: float = LEAST_COSINE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(documents: DataFrame, gold: DataFrame, least_run: int = 12, least_ratio: float = 0.75, gap: int = GAP, rank: int = RANK, least_cosine: float = LEAST_COSINE, block_chars: int = BLOCK_CHARS, scan_chars: int = SCAN_CHARS) -> DataFrame:
     """Which documents hold which evaluation texts: (doc_id, work, run, lcs, answer, cosine).
 
     documents (doc_id, text), gold (work, text, method_named). run is the longest run of consecutive
@@ -269,48 +315,63 @@ def leaks(documents: DataFrame, gold: DataFrame, least_run: int = 12, least_rati
     Words outside the evaluation texts can't be part of a match, so a document is cut into stretches
     of known words, tolerating up to `gap` unknown ones in a row (0 is enough for verbatim runs, more
     finds paraphrases with other words put in). Document frequencies are of all documents. The latent
-    space is that of the evaluation passages. Documents are read and tokenised once per block of
-    evaluation texts; nothing but the few hits is shuffled. Recall at LEAST_COSINE is measured in the
-    tests against a search for the word runs themselves.
+    space is that of the evaluation passages. Documents are read and tokenised once per scan_chars of
+    evaluation texts; each block of block_chars passes over the stretches, which are a part of the
+    words, and nothing but the few hits is shuffled. Recall at LEAST_COSINE is measured in the tests
+    against a search for the word runs themselves.
     """
     spark = documents.sparkSession
-    texts = gold.filter("text is not null").select(F.coalesce("work", F.lit("")).alias("work"), "text", "method_named").distinct()
+    texts = session.stage(gold.filter("text is not null").select(F.coalesce("work", F.lit("")).alias("work"), "text", "method_named").distinct(), "evaluation")
     size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-int(size) // block_chars))
+    scans = max(1, -(-int(size) // scan_chars))
+    per = max(1, -(-int(size) // (scans * block_chars)))
+    own = lambda b: texts.filter(F.pmod(F.xxhash64("work", "text"), F.lit(scans * per)) == b) if scans * per > 1 else texts
+    read = lambda b: sorted((r["work"], r["text"], r["method_named"] or "") for r in own(b).toLocalIterator())  # noqa: E731  # about block_chars
     parts = []
-    for b in range(blocks):
-        own = texts.filter(F.pmod(F.xxhash64("work", "text"), F.lit(blocks)) == b) if blocks > 1 else texts
-        some = sorted((r["work"], r["text"], r["method_named"] or "") for r in own.toLocalIterator())  # about block_chars
-        parts.append(_block(spark, documents, _Space(some), least_run, least_ratio, gap, rank, least_cosine))
+    for scan in range(scans):
+        blocks = range(scan * per, (scan + 1) * per)
+        vocabulary = {w: i for i, w in enumerate(sorted({w for b in blocks for _, t, _ in read(b) for w in words(t)}))}
+        if vocabulary:
+            scanned, idf = _stretches(spark, documents, vocabulary, min(least_run, int(least_ratio * 2 * STRIDE)), gap)
+            for b in blocks:
+                space = _Space(read(b), vocabulary)
+                if space.size:
+                    parts.append(_block(spark, scanned, idf, space, least_run, least_ratio, rank, least_cosine))
+    if not parts:
+        return spark.createDataFrame([], FOUND)
     found = reduce(DataFrame.unionByName, parts)
     return found.groupBy("doc_id", "work").agg(F.max("run").alias("run"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"), F.max("cosine").alias("cosine"))
 
 
-def _block(spark: SparkSession, documents: DataFrame, space: _Space, least_run: int, least_ratio: float, gap: int, rank: int, least_cosine: float) -> DataFrame:
-    empty = "doc_id bigint, work string, run int, lcs int, answer boolean, cosine double"
-    if not space.vocabulary:
-        return spark.createDataFrame([], empty)
-    vocabulary = spark.sparkContext.broadcast(space.vocabulary)
-    least = min(least_run, int(least_ratio * 2 * STRIDE))
-    scanned = documents.select("doc_id", "text").mapInArrow(_scan(vocabulary, least, gap), "doc_id bigint, start int, ids array<int>, counts array<int>")
+FOUND = "doc_id bigint, work string, run int, lcs int, answer boolean, cosine double"
+
+
+def _stretches(spark: SparkSession, documents: DataFrame, vocabulary: dict[str, int], least: int, gap: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, ids) of the stretches of known words of all documents, staged, and each word's idf over all documents."""
+    shared = spark.sparkContext.broadcast(vocabulary)
+    scanned = documents.select("doc_id", "text").mapInArrow(_scan(shared, least, gap), "doc_id bigint, start int, ids array<int>, counts array<int>")
     scanned = session.stage(scanned, "stretches")
     tallies = scanned.filter("doc_id is null")
     n = tallies.agg(F.coalesce(F.sum("start"), F.lit(0)).alias("n")).first()["n"]
-    df = np.zeros(len(space.vocabulary))
+    df = np.zeros(len(vocabulary))
     pairs = tallies.select(F.explode(F.arrays_zip("ids", "counts")).alias("x")).groupBy("x.ids").agg(F.sum("x.counts").alias("n"))
-    for r in pairs.toLocalIterator():  # at most one row per word of the block
+    for r in pairs.toLocalIterator():  # at most one row per word of the evaluation texts of one scan
         df[r["ids"]] = r["n"]
-    idf = np.log((1 + n) / (1 + df)) + 1
+    return scanned.filter("doc_id is not null").select("doc_id", "ids"), np.log((1 + n) / (1 + df)) + 1
+
+
+def _block(spark: SparkSession, stretches: DataFrame, every_idf: np.ndarray, space: _Space, least_run: int, least_ratio: float, rank: int, least_cosine: float) -> DataFrame:
+    idf = np.zeros(space.size)
+    idf[space.local[space.local >= 0]] = every_idf[np.flatnonzero(space.local[:-1] >= 0)]
     passages, of = [], []
     for i, ids in enumerate(space.ids):
         for w in windows(ids):
             passages.append(w)
             of.append(i)
     vectors = randomised_svd(spark, passages, idf, rank)
-    space.projection = (idf[:, None] * vectors).astype(np.float32)
+    space.projection = np.vstack([idf[:, None] * vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
     space.of = np.array(of, dtype=np.int64)
     latent = np.stack([space.projection[p].sum(axis=0) for p in passages])
-    space.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    space.lists = _Lists((latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32))
     shared = spark.sparkContext.broadcast(space)
-    stretches = scanned.filter("doc_id is not null").select("doc_id", "ids")
-    return stretches.mapInArrow(_search(shared, least_run, least_ratio, least_cosine), empty)
+    return stretches.mapInArrow(_search(shared, least_run, least_ratio, least_cosine), FOUND)

@@ -82,8 +82,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "gold"), least_run=12)
-    return found.filter("run >= 12").select("doc_id", "work")
+    return p7_runs(spark, d).select("doc_id", "work")
+
+
+def p7_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The longest run of words that a document has in common with an evaluation text, from 12 words on.
+
+    A run has no other words in it, so no gap is needed.
+    """
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "gold"), least_run=12, gap=0)
+    return found.filter("run >= 12").select("doc_id", "work", "run")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """All leaks, paraphrases included, with what was found of each."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "gold"))
+    return found.select("doc_id", "work", "run", "lcs", "answer", F.round("cosine", 3).alias("cosine"))
 
 
 def _mix(spark: SparkSession, d: str) -> mixing.Mix:
@@ -112,7 +126,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [p1_found, p1_neighbours, p1_searched, p2_found, p3_found, p3_counts, p4_found, p4_classes, p5_found, p5_models, p5_agreement, p6_found, p7_found, p8_found, p8_mix, p8_shares, p9_found, p9_pieces]
+    named = [p1_found, p1_neighbours, p1_searched, p2_found, p3_found, p3_counts, p4_found, p4_classes, p5_found, p5_models, p5_agreement, p6_found, p7_found, p7_runs, p7_leaks, p8_found, p8_mix, p8_shares, p9_found, p9_pieces]
     return {f.__name__: f for f in named}
 
 
@@ -140,6 +154,14 @@ g AS (SELECT desc_id, min(desc_id) OVER (PARTITION BY key) AS keep_id FROM k)
 """
 
 
+_P7 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT work, row_number() OVER () AS g, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT coalesce(work, '') AS work, text FROM gold WHERE text IS NOT NULL)),
+gg AS (SELECT work, g, i AS j, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT work, g, w, unnest(range(1, len(w) - 10)) AS i FROM g)),
+dd AS (SELECT doc_id, i, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+m AS (SELECT DISTINCT doc_id, work, g, i, j FROM dd JOIN gg USING (s))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT DISTINCT least(a, b) AS work_a, greatest(a, b) AS work_b FROM r WHERE rank <= 5 AND cosine >= 0.53",
@@ -163,10 +185,7 @@ e AS MATERIALIZED (SELECT DISTINCT a AS u, b AS v FROM p WHERE a <> b UNION SELE
 reach AS (SELECT u AS node, u AS seen FROM e UNION SELECT r.node, e.v FROM reach r JOIN e ON e.u = r.seen),
 g AS (SELECT node, min(seen) AS group_work FROM reach GROUP BY node)
 SELECT group_work, node AS work FROM g WHERE node <> group_work""",
-        "p7_found": r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-g AS (SELECT coalesce(work, '') AS work, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM gold WHERE text IS NOT NULL),
-gg AS (SELECT DISTINCT work, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT work, w, unnest(range(1, len(w) - 10)) AS i FROM g)),
-dd AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d))
-SELECT DISTINCT doc_id, work FROM dd JOIN gg USING (s)""",
+        "p7_found": _P7 + "SELECT DISTINCT doc_id, work FROM m",
+        "p7_runs": _P7 + """, k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, g, i - j ORDER BY i) AS island FROM m)
+SELECT doc_id, work, CAST(max(n) AS INT) AS run FROM (SELECT doc_id, work, count(*) + 11 AS n FROM k GROUP BY doc_id, g, work, i - j, island) GROUP BY doc_id, work""",
     }

@@ -62,8 +62,9 @@ def test_recall_against_all_word_runs(spark, seed):
 def test_blocks_of_evaluation_texts_give_the_same(spark):
     docs, gold = corpus(3, texts=20, docs=60)
     one = {(r["doc_id"], r["work"], r["run"]) for r in found(spark, docs, gold).collect()}
-    several = {(r["doc_id"], r["work"], r["run"]) for r in found(spark, docs, gold, block_chars=2000).collect()}
-    assert {x[:2] for x in one if x[2] >= 12} == {x[:2] for x in several if x[2] >= 12}
+    for how in ({"block_chars": 2000}, {"block_chars": 2000, "scan_chars": 5000}):
+        several = {(r["doc_id"], r["work"], r["run"]) for r in found(spark, docs, gold, **how).collect()}
+        assert {x for x in one if x[2] >= 12} == {x for x in several if x[2] >= 12}
 
 
 def test_paraphrase_and_answer(spark):
@@ -72,11 +73,58 @@ def test_paraphrase_and_answer(spark):
     docs = [(1, " ".join(changed)), (2, " ".join(g[::-1])), (3, None), (4, "")]
     gold = spark.createDataFrame([("W1", " ".join(g), "Term7 term9"), ("W2", "", None), (None, None, None)], GOLD)
     d = spark.createDataFrame([(i, t, "", 1, 1) for i, t in docs], DOCS)
-    rows = L.leaks(d, gold, gap=2, least_cosine=0.4).collect()
+    rows = L.leaks(d, gold).collect()
     assert [(r["doc_id"], r["work"], r["run"], r["answer"]) for r in rows] == [(1, "W1", 7, False)]
     assert rows[0]["lcs"] >= 20
 
 
+def test_planted_paraphrases_at_the_defaults(spark):
+    rnd = random.Random(11)
+    _, gold = corpus(5, texts=30, docs=1)
+    other = [f"zz{i}" for i in range(500)]
+    docs, want = [], set()
+    for d in range(60):
+        words = [rnd.choice(other) for _ in range(rnd.randrange(10, 200))]
+        if d % 2:
+            work, text = rnd.choice(gold)
+            own = text.split()[:30]
+            changed = [w if i % 8 else rnd.choice(other) for i, w in enumerate(own)]  # no run of 8 words is left
+            at = rnd.randrange(len(words))
+            words = words[:at] + changed + words[at:]
+            want |= {(d, work)} if len(own) == 30 else set()
+        docs.append((d, " ".join(words)))
+    rows = found(spark, docs, gold).collect()
+    got = {(r["doc_id"], r["work"]) for r in rows}
+    assert len(want) > 20 and want <= got and all(d % 2 for d, _ in got)
+    assert all(r["run"] < 12 and r["lcs"] >= 18 for r in rows if (r["doc_id"], r["work"]) in want)
+
+
+def test_shortest_runs_amid_other_evaluation_words(spark):
+    rnd = random.Random(12)
+    _, gold = corpus(6, texts=40, docs=1)
+    every = sorted({w for _, t in gold for w in t.split()})
+    docs = []
+    for d in range(400):
+        words, g = [rnd.choice(every) for _ in range(40)], rnd.choice(gold)[1].split()
+        a, at = rnd.randrange(len(g) - 11), rnd.randrange(41)
+        docs.append((d, " ".join(words[:at] + g[a : a + 12] + words[at:])))
+    want = brute(docs, gold)
+    got = {(r["doc_id"], r["work"]) for r in found(spark, docs, gold, gap=0).filter("run >= 12").collect()}
+    print("shortest runs", len(got), len(want))
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_lists_lose_nothing():
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((12, 40))
+    x = centres[rng.integers(0, 12, 900)] + 0.3 * rng.standard_normal((900, 40))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    q = np.vstack([x[::9], np.zeros((1, 40), dtype=np.float32)])
+    found_ = L._Lists(x).search(q, 0.8)
+    want = set(zip(*(z.tolist() for z in np.nonzero(q @ x.T >= 0.8))))
+    assert set(zip(found_[0].tolist(), found_[1].tolist())) == want
+
+
 def test_edges(spark):
     docs, gold = corpus(4, texts=5, docs=5)
     assert found(spark, [], gold).count() == 0
