@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+from driftnet import session
 from driftnet.llm import formatdups
 from driftnet.plans import skew
 
@@ -33,7 +34,7 @@ def rows_of(rnd, n):
     return out
 
 
-@pytest.mark.parametrize("bits,hot", [(1 << 27, False), (1 << 10, False), (1 << 27, True)])
+@pytest.mark.parametrize("bits,hot", [(1 << 27, False), (1 << 10, False), (1 << 11, True), (1 << 27, True)])
 def test_against_brute_force(spark, monkeypatch, bits, hot):
     if hot:
         monkeypatch.setattr(skew, "HOT_ROWS", 20)
@@ -46,13 +47,19 @@ def test_against_brute_force(spark, monkeypatch, bits, hot):
     assert {tuple(r) for r in members.collect()} == want[1] and members.count() == len(want[1])
 
 
-def test_filters_let_every_repeat_pass_and_few_others(spark):
+@pytest.mark.parametrize("max_bits", [1 << 27, 1 << 12])
+def test_filters_let_every_repeat_pass_and_few_others(spark, max_bits):
+    """The smaller filters hold 256 keys at their design load; here are a hundred times as many."""
     rnd = random.Random(5)
-    keys = [rnd.getrandbits(63) for _ in range(20_000)]
-    df = spark.createDataFrame([(k,) for k in keys + keys[:500] + keys[:100]], "h bigint").repartition(9)
-    passed = [r["h"] for r in formatdups.possible_repeats(df, "h").collect()]
-    assert set(keys[:500]) <= set(passed)
-    assert len(set(passed)) < 500 + 0.05 * len(keys)
+    keys = [rnd.getrandbits(64) - (1 << 63) for _ in range(25_600)]
+    rows = [(i, k.to_bytes(8, "big", signed=True), k) for i, k in enumerate(keys + keys[:500] + keys[:100])]
+    df = session.stage(spark.createDataFrame(rows, "id bigint, key binary, h bigint").repartition(9), "keys")
+    shards, bits = formatdups.shards_of(len(rows), max_bits)
+    assert shards == (128 if max_bits == 1 << 12 else 1) and bits <= max_bits
+    flagged = formatdups.flag_repeats(df, len(rows), max_bits).collect()
+    passed = {int.from_bytes(r["key"], "big", signed=True) for r in flagged if r["maybe"]}
+    assert len(flagged) == len(rows) and all(r["maybe"] or r["key"] is None for r in flagged)
+    assert set(keys[:500]) <= passed and len(passed) < 500 + 0.05 * len(keys)
 
 
 def test_empty_and_only_nulls(spark):
