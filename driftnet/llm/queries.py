@@ -49,6 +49,19 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d).select("term", "occurrences", "records", "mark")
 
 
+def p3_updated(spark: SparkSession, d: str) -> DataFrame:
+    """Counts kept through updates: abstracts and approaches are loaded, each approach is changed to its row's
+    problem, and abstracts without a year, or of one before 2010, are deleted. Only differences are counted."""
+    abstracts, said = table(spark, d, "abstracts"), table(spark, d, "descriptions")
+    kept = abstracts.filter("year >= 2010")
+    text = lambda df, c: df.select(F.col(c).alias("text"))
+    state = termcount.TermCounts(spark, least=3)
+    state.apply(text(abstracts, "abstract").unionByName(text(said, "approach")))
+    state.apply(text(said, "problem"), text(said, "approach"))
+    state.apply(text(kept, "abstract"), text(abstracts, "abstract"))
+    return state.marked(3, 0.12)
+
+
 def _copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return formatdups.collapse(table(spark, d, "descriptions"), "desc_id", ["problem", "approach"])
 
@@ -126,7 +139,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [p1_found, p1_neighbours, p1_searched, p2_found, p3_found, p3_counts, p4_found, p4_classes, p5_found, p5_models, p5_agreement, p6_found, p7_found, p7_runs, p7_leaks, p8_found, p8_mix, p8_shares, p9_found, p9_pieces]
+    named = [p1_found, p1_neighbours, p1_searched, p2_found, p3_found, p3_counts, p3_updated, p4_found, p4_classes, p5_found, p5_models, p5_agreement, p6_found, p7_found, p7_runs, p7_leaks, p8_found, p8_mix, p8_shares, p9_found, p9_pieces]
     return {f.__name__: f for f in named}
 
 
@@ -176,6 +189,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY scope, g ORDER BY v DESC, item)
 SELECT scope, g AS group_key, CAST(pos AS INT) AS pos, item FROM r WHERE pos <= k""",
         "p3_found": _P3 + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
         "p3_counts": _P3 + "SELECT term, occurrences, records, mark FROM m",
+        "p3_updated": _P3.replace("WHERE abstract IS NOT NULL", "WHERE abstract IS NOT NULL AND year >= 2010") + "SELECT term, occurrences, records, mark FROM m",
         "p4_found": _P4 + "SELECT keep_id, desc_id AS copy_id FROM g WHERE desc_id <> keep_id",
         "p4_classes": _P4 + "SELECT keep_id, count(*) AS copies FROM g GROUP BY keep_id",
         "p6_found": r"""

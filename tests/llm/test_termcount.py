@@ -50,6 +50,20 @@ def test_another_session_goes_on(spark, tmp_path):
     assert read(TermCounts(spark, path)) == {"a": (1, 1), "b": (1, 1), "c": (1, 1)}
 
 
+def test_only_touched_buckets_are_rewritten_and_old_files_go(spark, tmp_path):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    path = tmp_path / "terms"
+    state = TermCounts(spark, str(path), bucket_terms=10).apply(frame(spark, words))
+    assert state.buckets == 64 and len(state.at) == 64
+    state.apply_changes(spark.createDataFrame([(words[0], 1), (words[1], -1)], "text string, sign int"))
+    assert len({b for b, v in state.at.items() if v == 2}) <= 2 and read(state) == brute(words[2:] + [words[0]] * 2, 1)
+    state.apply_changes(spark.createDataFrame([("a" * 3 + f"x{chr(97 + i % 26)}" * (i // 26 + 1), 1) for i in range(3000)], "text string, sign int"))
+    assert state.buckets == 512 and len(read(state)) == 3599 and set(state.at.values()) == {3}
+    state.apply_changes(spark.createDataFrame([(words[5], 1)], "text string, sign int"))
+    assert sorted(p.name for p in path.iterdir() if not p.name.startswith(".")) == ["meta-3", "meta-4", "v3", "v4"]
+    assert TermCounts(spark, str(path), bucket_terms=10).n_records == 600 + 3000 + 1
+
+
 def test_unchanged_records_give_no_delta(spark):
     a = frame(spark, ["x", "x", "y", None])
     assert signed(a, a).count() == 0
