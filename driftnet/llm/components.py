@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     nobody points at themselves are no local minimum and drop out, leaving a forest edge to their
     smallest candidate, while their candidates are linked for the next round. What remains in the end
     are the seeds, one per group. Then seeds' names flow down the forest, last dropped first. All
-    steps are joins and aggregations with a map-side part; hubs are found and joined without being
-    gathered, and each round is cut in shared storage.
+    steps are joins and aggregations with a map-side part; hubs are found once a round and joined without
+    being gathered, each round is cut in shared storage, and names are only added, never written again.
     """
     clean = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
     edges = session.stage(clean.unionByName(clean.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
@@ -33,11 +35,12 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         if session.is_empty(edges):
             break
         smallest = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        pointed = skew.lookup_join(edges, smallest, "u").select(F.col("v").alias("u"), "m").unionByName(smallest)
+        hot = skew.hot_keys(edges, "u")
+        pointed = skew.lookup_join(edges, smallest, "u", hot=hot).select(F.col("v").alias("u"), "m").unionByName(smallest)
         pointed = session.stage(pointed.distinct(), "pointed")
         fate = pointed.groupBy("u").agg(F.min("m").alias("low"), F.max((F.col("m") == F.col("u")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("n"))
         fate = session.stage(fate, "fate")
-        linked = skew.lookup_join(pointed, fate.filter("n > 1").select("u", "low"), "u").filter("m <> low").select(F.col("m").alias("u"), F.col("low").alias("v"))
+        linked = skew.lookup_join(pointed, fate.filter("n > 1").select("u", "low"), "u", hot=hot).filter("m <> low").select(F.col("m").alias("u"), F.col("low").alias("v"))
         edges = session.stage(linked.unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
         forest.append(fate.filter("stays = 0").select("u", F.col("low").alias("parent")))
         # a vertex that points only at itself, and has no edge left, is done
@@ -47,19 +50,14 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         raise RuntimeError(f"no end after {MOST_ROUNDS} rounds")
     if not seeds:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("group"))
-    named = session.stage(_union(seeds), "named")
-    for fallen in reversed(forest):
-        parents = named.select(F.col("node").alias("parent"), "group")
-        fresh = skew.lookup_join(fallen, parents, "parent").select(F.col("u").alias("node"), "group")
-        named = session.stage(named.unionByName(fresh), "named")
-    return named
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    path = session.stage_path(pairs.sparkSession, "named")
+    kind = edges.schema["u"].dataType.simpleString()
+    named = lambda: pairs.sparkSession.read.schema(f"node {kind}, `group` {kind}").option("recursiveFileLookup", True).parquet(path)
+    reduce(DataFrame.unionByName, seeds).write.parquet(f"{path}/level-0")
+    for level, fallen in enumerate(reversed(forest), 1):
+        parents = named().withColumnRenamed("node", "parent")
+        skew.lookup_join(fallen, parents, "parent").select(F.col("u").alias("node"), "group").write.parquet(f"{path}/level-{level}")
+    return named()
 
 
 def twin_groups(twins: DataFrame) -> DataFrame:
