@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftnet.plans import skew
@@ -92,6 +92,21 @@ def _spread(slim: DataFrame, hot: list, n: int) -> DataFrame:
     return joined.mapInArrow(_stream(n, False), "g string, item string, v double").withColumn("g", F.substring_index("g", "\x1e", 1))
 
 
+def first_items(found: Column, n: int) -> Column:
+    """Of an array of struct(v, item): what may be among the n different items of highest v, ties to the smaller item.
+
+    Sorted within the row, cut to the first 4n and freed of repeated items, that is n at most where the
+    first 4n hold so many or are all there are; else the whole array is kept. Null and NaN values and
+    null items are left out.
+    """
+    usable = F.filter(found, lambda x: x.item.isNotNull() & x.v.isNotNull() & ~F.isnan(x.v))
+    ordered = F.array_sort(F.transform(usable, lambda x: F.struct((-x.v).alias("low"), x.item.alias("item"), x.v.alias("v"))))
+    few = F.slice(ordered, 1, 4 * n)
+    items = F.transform(few, lambda x: x.item)
+    once = F.filter(few, lambda x, i: F.array_position(items, x.item) == i + 1)
+    return F.when((F.size(once) >= n) | (F.size(ordered) <= 4 * n), F.slice(once, 1, n)).otherwise(ordered)
+
+
 def best_neighbours_and_references(neighbours: DataFrame, records: DataFrame, k_neighbours: int = 5, k_references: int = 10) -> DataFrame:
     """Each paper's best neighbours and each topic's reference papers as of a freeze, in order.
 
@@ -102,14 +117,14 @@ def best_neighbours_and_references(neighbours: DataFrame, records: DataFrame, k_
     ref_key = F.concat_ws("\x1f", F.lit("instrument"), F.concat(F.col("topic"), F.lit(":"), F.col("freeze")))
     hot = skew.hot_keys(neighbours.filter("work is not null"), near_key, F.greatest(F.size("neighbours"), F.lit(0)))
     hot += skew.hot_keys(records.filter("topic is not null and freeze is not null"), ref_key, F.greatest(F.size("instrument"), F.lit(0)))
-    near = neighbours.select(F.col("work").alias("group_key"), F.explode("neighbours").alias("c")).select(
-        F.lit("neighbours").alias("scope"), "group_key", F.col("c.work").alias("item"), F.col("c.similarity").alias("value")
-    )
-    near = near.filter("item <> group_key")
-    zipped = F.arrays_zip(F.col("instrument").alias("item"), F.col("instrument_cites").alias("cites"))
-    refs = records.select(F.concat(F.col("topic"), F.lit(":"), F.col("freeze")).alias("group_key"), F.explode(zipped).alias("c")).select(
-        F.lit("instrument").alias("scope"), "group_key", F.col("c.item").alias("item"), F.col("c.cites").cast("double").alias("value")
-    )
+    # a row's own list is cut to what may count before anything is shuffled
+    listed = F.transform("neighbours", lambda c: F.struct(c.similarity.alias("v"), c.work.alias("item")))
+    others = F.filter(listed, lambda x: x.item != F.col("work"))
+    near = neighbours.select(F.lit("neighbours").alias("scope"), F.col("work").alias("group_key"), F.explode(first_items(others, k_neighbours)).alias("c"))
+    zipped = F.arrays_zip(F.col("instrument").alias("item"), F.col("instrument_cites").alias("v"))
+    cited = F.transform(zipped, lambda x: F.struct(x.v.cast("double").alias("v"), x.item.alias("item")))
+    refs = records.select(F.lit("instrument").alias("scope"), F.concat(F.col("topic"), F.lit(":"), F.col("freeze")).alias("group_key"), F.explode(first_items(cited, k_references)).alias("c"))
+    near, refs = (df.select("scope", "group_key", "c.item", F.col("c.v").alias("value")) for df in (near, refs))
     most = max(k_neighbours, k_references)
     best = top_n(near.unionByName(refs), ["scope", "group_key"], "item", "value", most, hot)
     within = F.when(F.col("scope") == "neighbours", k_neighbours).otherwise(k_references)
