@@ -46,7 +46,7 @@ def sized(documents: DataFrame, folder: str = tokens.FOLDER) -> DataFrame:
 
 class Mix:
     """rows (doc_id, source, tokens, uses) and shares (source, weight, max_repeats, texts, held, target,
-    epochs, reached, share, capped)."""
+    epochs, reached, share, short, capped); short is how many tokens of the target were not reached."""
 
     def __init__(self, rows: DataFrame, shares: DataFrame):
         self.rows, self.shares = rows, shares
@@ -63,6 +63,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     documents of a source share are used through the one of smallest id; null and empty texts are
     never used. A source is `capped` if its documents, each text counted as often as it occurs, hold
     fewer tokens than its target even max_repeats times over, a source without texts included.
+    Texts that repeat within a source hold more than they can give, so a source may fall short without being
+    capped; `short` tells by how many tokens each source stays below its target, for whatever reason.
     Sources outside targets contribute nothing; repeated targets add up, null weights are 0.
 
     A document's key is a hash of its text and the seed, so any rerun draws the same rows. The order
@@ -104,5 +106,6 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     shares = plan.join(reached, "source", "left").fillna(0, ["reached"])
     everything = F.sum("reached").over(W.partitionBy(F.lit(0)))  # one row a source
     capped = F.col("held") * F.col("max_repeats") < F.col("target")
-    shares = shares.select("source", "weight", "max_repeats", "texts", "held", "target", "epochs", "reached", F.when(everything > 0, F.col("reached") / everything).alias("share"), capped.alias("capped"))
+    short = F.greatest(F.lit(0.0), F.col("target") - F.col("reached"))
+    shares = shares.select("source", "weight", "max_repeats", "texts", "held", "target", "epochs", "reached", F.when(everything > 0, F.col("reached") / everything).alias("share"), short.alias("short"), capped.alias("capped"))
     return Mix(rows, shares)

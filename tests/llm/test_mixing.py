@@ -77,3 +77,12 @@ def test_edges(spark):
     assert m.rows.count() == 0 and [(r["source"], r["weight"]) for r in m.shares.collect()] == [("big", 0.0)]
     m = run(spark, [(1, "one text here", "a", 1, 1)], [("a", 0.5, 3), ("a", 0.25, 3)], total=1000)
     assert m.rows.first()["uses"] == 3 and m.shares.first()["capped"] and math.isclose(m.shares.first()["target"], 750)
+
+
+def test_a_source_of_equal_texts_says_how_much_it_falls_short(spark):
+    docs = [(i, "the same eight tokens or so", "twice", 1, 1) for i in range(100)] + [(200 + i, f"text number {i} of its own", "own", 1, 1) for i in range(100)]
+    m = run(spark, docs, [("twice", 0.5, 1), ("own", 0.5, 1)])
+    got = {r["source"]: r for r in m.shares.collect()}
+    one = got["twice"]["held"] // 100
+    assert got["twice"]["texts"] == 1 and got["twice"]["reached"] == one and not got["twice"]["capped"]
+    assert got["twice"]["short"] == pytest.approx(got["twice"]["target"] - one) and got["own"]["short"] < 20
