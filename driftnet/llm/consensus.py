@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from driftnet import session
 from driftnet.plans import skew
 
-ROUNDS = 20
+#: Rounds at most; results tell whether the weights had become stable by then.
+ROUNDS = 40
 TOLERANCE = 1e-4
 #: Smoothing of an annotator's accuracy: so many agreements in twice as many ratings at the start.
 PRIOR = 1.0
@@ -51,15 +52,17 @@ def ratings_of(rows: DataFrame, item: list[str], annotator: Column, label: Colum
 
 class Consensus:
     """The outcome: labels (item, label, support, raters), annotators (annotator, rated, matched,
-    reliability, weight, kappa), agreement (scope, items, ratings, alpha) and the rounds taken."""
+    reliability, weight, kappa), agreement (scope, items, ratings, alpha, stable), the rounds taken, and how far
+    a weight moved in the last of them; stable is true if that was less than the tolerance."""
 
-    def __init__(self, labels: DataFrame, annotators: DataFrame, agreement: DataFrame, rounds: int):
-        self.labels, self.annotators, self.agreement, self.rounds = labels, annotators, agreement, rounds
+    def __init__(self, labels: DataFrame, annotators: DataFrame, agreement: DataFrame, rounds: int, moved: float, stable: bool):
+        self.labels, self.annotators, self.agreement, self.rounds, self.moved, self.stable = labels, annotators, agreement, rounds, moved, stable
 
 
 def consensus(ratings: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Consensus:
     """Alternate weighted consensus and leave-one-out accuracy until no weight moves by `tolerance`.
 
+    Weights that go on moving for `rounds` rounds end there, and the results say so by `stable`.
     ratings as from ratings_of(). An item's label is the one of the largest sum of its raters'
     weights. An annotator's accuracy is the share of ratings that agree with the consensus of the
     item's other raters, smoothed; items with no other rater don't count. The weight is the log odds
@@ -71,7 +74,7 @@ def consensus(ratings: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLER
     k = max(2.0, k["n"] / max(1, k["s"]))
     hot = skew.hot_keys(ratings, "item")
     weights = session.stage(ratings.select("annotator").distinct().withColumns({"weight": F.lit(1.0), "rated": F.lit(0).cast("bigint"), "matched": F.lit(0).cast("bigint"), "reliability": F.lit(0.5)}), "weights")
-    done = 0
+    done, most, stable = 0, None, False
     for _ in range(rounds):
         done += 1
         weighted = ratings.join(weights.select("annotator", "weight"), "annotator")
@@ -87,13 +90,14 @@ def consensus(ratings: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLER
         fresh = session.stage(moved.select("annotator", "weight", "rated", "matched", "reliability"), "weights")
         most = fresh.join(weights.select("annotator", F.col("weight").alias("was")), "annotator").agg(F.max(F.abs(F.col("weight") - F.col("was"))).alias("d")).first()["d"]
         weights = fresh
-        if most is None or most < tolerance:
+        stable = most is None or most < tolerance
+        if stable:
             break
     weighted = ratings.join(weights.select("annotator", "weight"), "annotator")
     tallied = session.stage(weighted.groupBy("item", "scope", "label").agg(F.sum("weight").alias("t"), F.count(F.lit(1)).alias("n")), "tallies")
     totals = tallied.groupBy("item").agg(F.sum("t").alias("all"), F.sum("n").alias("raters"))
     labels = _leaders(tallied).join(totals, "item").select("item", F.col("best").alias("label"), (F.col("t1") / F.col("all")).alias("support"), "raters")
-    return Consensus(labels, _annotators(ratings, weights), _agreement(tallied), done)
+    return Consensus(labels, _annotators(ratings, weights), _agreement(tallied).withColumn("stable", F.lit(stable)), done, float(most or 0.0), stable)
 
 
 def _agreement(tallied: DataFrame) -> DataFrame:

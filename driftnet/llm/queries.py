@@ -138,8 +138,17 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "documents"))
 
 
+def p9_cover(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of each text put together again: their bytes without what repeats, and whether all are within the limit."""
+    pieces = splitting.split(table(spark, d, "documents"))
+    own = F.substring(F.col("text").cast("binary"), F.col("repeated") + 1, F.octet_length("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", F.hex(own).alias("b")))), lambda x: x.b), "")  # a text's own pieces
+    each = pieces.groupBy("doc_id").agg(joined.alias("b"), F.max("tokens").alias("most"), F.min(F.when(F.col("piece") > 1, F.col("repeated"))).alias("again"))
+    return each.select("doc_id", F.sha2(F.unhex("b"), 256).alias("text"), (F.col("most") <= 2048).alias("within"), (F.coalesce("again", F.lit(1)) > 0).alias("overlap"))
+
+
 def queries() -> dict[str, Query]:
-    named = [p1_found, p1_neighbours, p1_searched, p2_found, p3_found, p3_counts, p3_updated, p4_found, p4_classes, p5_found, p5_models, p5_agreement, p6_found, p7_found, p7_runs, p7_leaks, p8_found, p8_mix, p8_shares, p9_found, p9_pieces]
+    named = [p1_found, p1_neighbours, p1_searched, p2_found, p3_found, p3_counts, p3_updated, p4_found, p4_classes, p5_found, p5_models, p5_agreement, p6_found, p7_found, p7_runs, p7_leaks, p8_found, p8_mix, p8_shares, p9_found, p9_pieces, p9_cover]
     return {f.__name__: f for f in named}
 
 
@@ -175,6 +184,39 @@ dd AS (SELECT doc_id, i, array_to_string(w[i:i + 11], ' ') AS s FROM (SELECT doc
 m AS (SELECT DISTINCT doc_id, work, g, i, j FROM dd JOIN gg USING (s))"""
 
 
+def _p5(rounds: int = 20) -> str:
+    """The rounds of reweighted voting written out, more than it takes the weights to become stable."""
+    trim = r"[\s\p{Z}\p{Cc}]+"
+    out = rf"""
+WITH f AS (SELECT work, coalesce(model.provider, '') || '/' || coalesce(model.id, '') AS annotator, unnest(descriptions) AS d FROM descriptions WHERE model IS NOT NULL AND work IS NOT NULL),
+c AS (SELECT work, d.facet AS scope, work || chr(31) || d.facet AS item, annotator, regexp_replace(lower(d.label), '^{trim}|{trim}$', '', 'g') AS label FROM f WHERE d.facet IS NOT NULL),
+e AS (SELECT work, scope, item, annotator, label, count(*) AS n FROM c WHERE label <> '' GROUP BY ALL),
+rt AS MATERIALIZED (SELECT work, scope, item, annotator, arg_min(label, (-n, label)) AS label FROM e GROUP BY ALL),
+k AS (SELECT greatest(2.0, count(*) / greatest(1, count(DISTINCT scope)))::DOUBLE AS k FROM (SELECT DISTINCT scope, label FROM rt)),
+w0 AS (SELECT DISTINCT annotator, 1.0::DOUBLE AS weight FROM rt)"""
+    for i in range(1, rounds + 1):
+        out += f""",
+v{i} AS (SELECT item, label, round(sum(weight), 9) AS t FROM rt JOIN w{i - 1} USING (annotator) GROUP BY item, label),
+r{i} AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY t DESC, label) AS r FROM v{i}),
+l{i} AS MATERIALIZED (SELECT item, max(label) FILTER (r = 1) AS best, max(t) FILTER (r = 1) AS t1, max(label) FILTER (r = 2) AS next, max(t) FILTER (r = 2) AS t2 FROM r{i} GROUP BY item),
+m{i} AS (SELECT annotator, CASE WHEN label <> best THEN 0 WHEN round(t1 - weight, 9) <= 0 AND next IS NULL THEN NULL WHEN round(t1 - weight, 9) > 0 AND (next IS NULL OR round(t1 - weight, 9) > t2
+ OR (round(t1 - weight, 9) = t2 AND best < next)) THEN 1 ELSE 0 END AS m FROM rt JOIN w{i - 1} USING (annotator) JOIN l{i} USING (item)),
+w{i} AS MATERIALIZED (SELECT annotator, count(m) AS rated, coalesce(sum(m), 0) AS matched, (coalesce(sum(m), 0) + 1) / (count(m) + 2) AS reliability,
+ greatest(0.01, ln((coalesce(sum(m), 0) + 1) / (count(m) + 2) * ((SELECT k FROM k) - 1) / (1 - (coalesce(sum(m), 0) + 1) / (count(m) + 2)))) AS weight FROM m{i} GROUP BY annotator)"""
+    return out + f""",
+w AS (SELECT * FROM w{rounds}),
+t AS MATERIALIZED (SELECT work, scope, item, label, round(sum(weight), 9) AS t, count(*) AS n FROM rt JOIN w USING (annotator) GROUP BY ALL)"""
+
+
+_P5_MODELS = """, o AS (SELECT annotator, scope, label, count(*) AS c FROM rt GROUP BY ALL), h AS (SELECT scope, label, sum(c) AS w FROM o GROUP BY ALL), a AS (SELECT scope, sum(w) AS t FROM h GROUP BY scope),
+x AS (SELECT annotator, sum(c * w / t) / sum(c) AS e FROM o JOIN h USING (scope, label) JOIN a USING (scope) GROUP BY annotator)
+SELECT annotator, rated, CAST(matched AS BIGINT) AS matched, round(reliability, 6) AS reliability, round(weight, 6) AS weight, round(CASE WHEN e < 1 AND rated > 0 THEN (matched / rated - e) / (1 - e) END, 6) AS kappa FROM w JOIN x USING (annotator)"""
+_P5_AGREEMENT = """, s AS (SELECT scope, item, sum(n) AS m, sum(n * (n - 1)) AS same FROM t GROUP BY ALL HAVING sum(n) > 1),
+o AS (SELECT scope, count(*) AS items, CAST(sum(m) AS BIGINT) AS ratings, sum(same / (m - 1)) AS same FROM s GROUP BY scope),
+u AS (SELECT t.scope, label, sum(n) AS c FROM t WHERE item IN (SELECT item FROM s) GROUP BY ALL), p AS (SELECT scope, sum(c * (c - 1)) AS pairs FROM u GROUP BY scope)
+SELECT scope, items, ratings, round(1 - (1 - same / ratings) / (1 - pairs / (ratings * (ratings - 1))), 6) AS alpha, true AS stable FROM o JOIN p USING (scope)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT DISTINCT least(a, b) AS work_a, greatest(a, b) AS work_b FROM r WHERE rank <= 5 AND cosine >= 0.53",
@@ -192,6 +234,10 @@ SELECT scope, g AS group_key, CAST(pos AS INT) AS pos, item FROM r WHERE pos <=
         "p3_updated": _P3.replace("WHERE abstract IS NOT NULL", "WHERE abstract IS NOT NULL AND year >= 2010") + "SELECT term, occurrences, records, mark FROM m",
         "p4_found": _P4 + "SELECT keep_id, desc_id AS copy_id FROM g WHERE desc_id <> keep_id",
         "p4_classes": _P4 + "SELECT keep_id, count(*) AS copies FROM g GROUP BY keep_id",
+        "p5_found": _p5() + """, y AS (SELECT work, scope AS facet, arg_min(label, (-t, label)) AS label, sum(n) AS raters FROM t GROUP BY ALL)
+SELECT work, facet, label FROM y WHERE raters >= 3""",
+        "p5_models": _p5() + _P5_MODELS,
+        "p5_agreement": _p5() + _P5_AGREEMENT,
         "p6_found": r"""
 WITH RECURSIVE t AS (SELECT unnest(twins) AS x FROM twins),
 p AS (SELECT nullif(upper(trim(x.a.work)), '') AS a, nullif(upper(trim(x.b.work)), '') AS b FROM t),
@@ -202,4 +248,5 @@ SELECT group_work, node AS work FROM g WHERE node <> group_work""",
         "p7_found": _P7 + "SELECT DISTINCT doc_id, work FROM m",
         "p7_runs": _P7 + """, k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, g, i - j ORDER BY i) AS island FROM m)
 SELECT doc_id, work, CAST(max(n) AS INT) AS run FROM (SELECT doc_id, work, count(*) + 11 AS n FROM k GROUP BY doc_id, g, work, i - j, island) GROUP BY doc_id, work""",
+        "p9_cover": "SELECT doc_id, sha256(text) AS text, true AS within, true AS overlap FROM documents WHERE text <> ''",
     }

@@ -107,3 +107,11 @@ def test_descriptions_without_arrays(spark):
     rows = [("w", ("p", m), [("goal", lab), ("method", None)]) for m, lab in (("1", "X"), ("2", "x "), ("3", "y"))] + [("w", None, [("goal", "y")]), ("w", ("p", "4"), None), ("w", ("p", "5"), [])]
     found = C.label_consensus(spark.createDataFrame(rows, schema))
     assert [(r["item"], r["label"], r["raters"]) for r in found.labels.collect()] == [("w\x1fgoal", "x", 3)]
+
+
+def test_results_tell_whether_weights_became_stable(spark):
+    _, ratings = planted(random.Random(4), 60)
+    found = C.consensus(frame(spark, ratings))
+    assert found.stable and found.moved < C.TOLERANCE and all(r["stable"] for r in found.agreement.collect())
+    one = C.consensus(frame(spark, ratings), rounds=1)
+    assert not one.stable and one.rounds == 1 and one.moved > C.TOLERANCE and not any(r["stable"] for r in one.agreement.collect())
