@@ -23,11 +23,12 @@ def hot_keys(df: DataFrame, key: str | Column, weight: Column | None = None, row
     key = F.col(key) if isinstance(key, str) else key
     sized = df.select(key.alias("k"), (weight if weight is not None else F.lit(1)).cast("double").alias("w"))
     sized = sized.sample(probe, seed=11) if probe < 1 else sized
-    per_key = sized.groupBy("k").agg(F.sum("w").alias("w"))
-    total = sized.agg(F.sum("w").alias("t"))
-    least = F.greatest(F.lit(rows * probe), F.col("t") * share)
-    found = per_key.crossJoin(F.broadcast(total)).filter(F.col("k").isNotNull() & (F.col("w") >= least))  # total is one row
-    return [r["k"] for r in found.orderBy(F.desc("w"), "k").limit(int(1 / share)).select("k").collect()]
+    per_key = sized.groupBy("k").agg(F.sum("w").alias("w")).filter(F.col("k").isNotNull() & (F.col("w") >= F.lit(rows * probe)))
+    many = per_key.orderBy(F.desc("w"), "k").limit(int(1 / share)).collect()
+    if not many:  # the usual case: one small job, and no total is needed
+        return []
+    total = sized.agg(F.sum("w").alias("t")).first()["t"]
+    return [r["k"] for r in many if r["w"] >= share * total]
 
 
 def salted(hot: list, key: Column, by: Column, salts: int) -> Column:
