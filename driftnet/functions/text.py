@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,6 +121,11 @@ def safe_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^\w.-]", "_")
 
 
+def safe_text(name: str) -> str:
+    """As safe_name, of a plain string."""
+    return re.sub(r"[^\w.-]", "_", name, flags=re.ASCII)
+
+
 def needs_check(unit: Column) -> Column:
     """One unit in twenty, by the SHA-256 of its name modulo 20.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftnet import session
+
 WINDOWS = ("before", "train", "recent")
 
 
@@ -72,16 +75,22 @@ def reference_papers(candidates: DataFrame, first: int = 400, then: int = 100) -
 class PairRules:
     """Which pairs are eligible, and what counts as connected."""
 
-    most_prior: int = 400
-    least_after: int = 150
+    most_prior: int = 1
+    least_after: int = 3
     least_size: int = 0
     least_usable: int = 0
-    feature_names: tuple[str, ...] = field(
-        default=(
-            "log_size_hi", "log_size_lo", "growth_hi", "growth_lo", "log_deg_hi", "log_deg_lo", "log_recent_deg_hi", "log_recent_deg_lo",
-            "log_common", "log_recent_common", "jaccard", "adamic_adar", "cocite_cosine", "log_two_hop", "prior_links",
-        )
-    )
+
+
+#: The domains, and the names of what a pair of topics is told by. The first pair of domains has no indicator.
+DOMAINS = ("Health Sciences", "Life Sciences", "Physical Sciences", "Social Sciences")
+INDICATORS = {f"{a} / {b}": f"dp_{a.split()[0].lower()}_{b.split()[0].lower()}" for a, b in list(combinations(DOMAINS, 2))[1:]}
+POPULARITY = ["log_size_hi", "log_size_lo", "growth_hi", "growth_lo", "log_usable_hi", "log_usable_lo", *INDICATORS.values()]
+NETWORK = ["log_deg_hi", "log_deg_lo", "log_recent_deg_hi", "log_recent_deg_lo", "log_common", "log_recent_common", "jaccard", "adamic_adar", "cocite_cosine", "log_two_hop", "prior_links"]
+CONTENT = ["centroid_cos", "top_pairs_cos"]
+FEATURES = POPULARITY + NETWORK + CONTENT
+FEATURE_SETS = {"popularity": POPULARITY, "network": POPULARITY + NETWORK, "semantic": POPULARITY + CONTENT, "combined": FEATURES}
+#: Topics a citer may cite before its pairs are spread over SPREAD tasks.
+HUB, SPREAD = 1000, 16
 
 
 def neighbourhoods(counts: DataFrame, sample: DataFrame, window: str) -> DataFrame:
@@ -97,12 +106,19 @@ def degree_reach(near: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def common_neighbours(near: DataFrame, domains: DataFrame) -> DataFrame:
-    """(a, b, common, adamic_adar, dot) over pairs of different domains, a before b by position, that share a citer."""
+    """(a, b, common, adamic_adar, dot) over pairs of different domains, a before b by position, that share a citer.
+
+    The topics of a citer meet in pairs; those of one that cites more than HUB topics are spread: each
+    on the left goes to one of SPREAD parts, and those on the right to all.
+    """
     reach = near.groupBy("citer").agg(F.count(F.lit(1)).alias("reach"))
     placed = near.join(domains.select(F.col("id").alias("topic"), "pos", "domain"), "topic").join(reach, "citer")
-    l = placed.select("citer", "reach", F.col("topic").alias("a"), F.col("pos").alias("pa"), F.col("domain").alias("da"), F.col("n").alias("na"))
-    r = placed.select("citer", F.col("topic").alias("b"), F.col("pos").alias("pb"), F.col("domain").alias("db"), F.col("n").alias("nb"))
-    both = l.join(r, "citer").filter("pa < pb and da <> db")
+    hub = F.col("reach") > HUB
+    part = F.when(hub, F.pmod(F.xxhash64("topic"), F.lit(SPREAD)).cast("int")).otherwise(0).alias("part")
+    parts = F.explode(F.when(hub, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))).alias("part")
+    l = placed.select("citer", part, "reach", F.col("topic").alias("a"), F.col("pos").alias("pa"), F.col("domain").alias("da"), F.col("n").alias("na"))
+    r = placed.select("citer", parts, F.col("topic").alias("b"), F.col("pos").alias("pb"), F.col("domain").alias("db"), F.col("n").alias("nb"))
+    both = l.join(r, ["citer", "part"]).filter("pa < pb and da <> db")
     return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum(1 / F.log(F.col("reach") + 1.0)).alias("adamic_adar"), F.sum(F.col("na") * F.col("nb")).alias("dot"))
 
 
@@ -120,26 +136,31 @@ def two_step_paths(near: DataFrame, sample: DataFrame, domains: DataFrame) -> Da
     return placed.select(F.when(swap, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(swap, F.col("y")).otherwise(F.col("x")).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("paths"))
 
 
-def pair_table(topics: DataFrame, records: DataFrame, rules: PairRules, outcome: DataFrame | None = None, usable: DataFrame | None = None) -> DataFrame:
+def pair_table(topics: DataFrame, records: DataFrame, rules: PairRules, outcome: DataFrame | None = None, usable: DataFrame | None = None, content: DataFrame | None = None) -> DataFrame:
     """Features of every eligible pair of topics of different domains, and its outcome.
 
     topics (pos, id, domain), records at one freeze, outcome (cited, citing, n) the counts of the years
-    after, usable (topic, usable) the texts of each topic. Rows (a, b, domain_pair, the features, prior,
-    ab, ba, label): a comes before b by position; ab counts works in a that cite b's papers; label is
-    null without an outcome. Eligibility comes first, so that features are computed for what is left.
+    after, usable (topic, usable) the number of usable texts of each topic, by default the records' own,
+    content (a, b, centroid_cos, top_pairs_cos) in either order, 0 where a pair isn't listed. Rows (a, b,
+    domain_pair, FEATURES, prior, ab, ba, label): a comes before b by position; ab counts works in a that
+    cite b's papers; label is null without an outcome. Topics below least_size leave the sample; one with
+    fewer than least_usable texts only loses its pairs. Eligibility comes before features. What several
+    features need is staged: the records' counts and neighbourhoods.
     """
+    records = session.stage(records, "records")
+    if usable is None:
+        usable = records.select("topic", F.coalesce("usable_abstracts", F.lit(0)).alias("usable"))
     sized = records.select(F.col("topic").alias("id"), F.coalesce("size", F.lit(0)).alias("size"))
     sample = topics.filter("id is not null and domain is not null").join(sized.filter(F.col("size") >= rules.least_size), "id")
-    if usable is not None:
-        sample = sample.join(usable.withColumnRenamed("topic", "id"), "id").filter(F.col("usable") >= rules.least_usable)
+    sample = session.stage(sample.join(usable.select(F.col("topic").alias("id"), "usable"), "id", "left").fillna(0, ["usable"]), "sample")
     ends = sample.select("id", "pos", "domain", "size")
-    counts = citing_counts(records)
-    l = ends.select(F.col("id").alias("a"), F.col("pos").alias("pa"), F.col("domain").alias("da"), F.col("size").alias("sa"))
-    r = ends.select(F.col("id").alias("b"), F.col("pos").alias("pb"), F.col("domain").alias("db"), F.col("size").alias("sb"))
+    counts = session.stage(citing_counts(records), "counts")
+    fit = sample.filter(F.col("usable") >= rules.least_usable)
+    l, r = (fit.select(F.col("id").alias(s), *[F.col(c).alias(f"{k}{s}") for c, k in (("pos", "p"), ("domain", "d"), ("size", "s"), ("usable", "u"))]) for s in "ab")
     pairs = l.join(r, (F.col("pa") < F.col("pb")) & (F.col("da") != F.col("db")))
     before = counts.filter(F.col("window").isin("before", "train")).groupBy("cited", "citing").agg(F.sum("n").alias("n"))
     pairs = both_ways(pairs, before, "p_ab", "p_ba").withColumn("prior", F.col("p_ab") + F.col("p_ba")).filter(F.col("prior") <= rules.most_prior)
-    near, recent = neighbourhoods(counts, sample, "train"), neighbourhoods(counts, sample, "recent")
+    near, recent = (session.stage(neighbourhoods(counts, sample, w), w) for w in ("train", "recent"))
     degree, _ = degree_reach(near)
     recent_degree = recent.groupBy("topic").agg(F.count(F.lit(1)).alias("rdeg"))
     grown = growth(records).select("topic", "growth")
@@ -151,12 +172,20 @@ def pair_table(topics: DataFrame, records: DataFrame, rules: PairRules, outcome:
     pairs = pairs.join(common_neighbours(recent, ends).select("a", "b", F.col("common").alias("recent_common")), ["a", "b"], "left")
     pairs = pairs.join(two_step_paths(near, sample, ends), ["a", "b"], "left")
     pairs = pairs.fillna({"common": 0, "adamic_adar": 0.0, "dot": 0, "recent_common": 0, "paths": 0})
+    if content is None:
+        pairs = pairs.withColumns({c: F.lit(0.0) for c in CONTENT})
+    else:
+        known = content.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), *CONTENT)
+        pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(known, ["lo", "hi"], "left").fillna(0.0, CONTENT)
+    dp = domain_pair("da", "db")
     hi = lambda x, y: F.log1p(F.greatest(x, y).cast("double"))
     lo = lambda x, y: F.log1p(F.least(x, y).cast("double"))
     joint = F.col("deg_a") + F.col("deg_b") - F.col("common")
     features = {
         "log_size_hi": hi("sa", "sb"), "log_size_lo": lo("sa", "sb"),
         "growth_hi": F.greatest("growth_a", "growth_b"), "growth_lo": F.least("growth_a", "growth_b"),
+        "log_usable_hi": F.log(F.greatest("ua", "ub", F.lit(1))), "log_usable_lo": F.log(F.greatest(F.least("ua", "ub"), F.lit(1))),
+        **{name: (dp == pair).cast("double") for pair, name in INDICATORS.items()},
         "log_deg_hi": hi("deg_a", "deg_b"), "log_deg_lo": lo("deg_a", "deg_b"),
         "log_recent_deg_hi": hi("rdeg_a", "rdeg_b"), "log_recent_deg_lo": lo("rdeg_a", "rdeg_b"),
         "log_common": F.log1p(F.col("common").cast("double")), "log_recent_common": F.log1p(F.col("recent_common").cast("double")),
@@ -164,12 +193,12 @@ def pair_table(topics: DataFrame, records: DataFrame, rules: PairRules, outcome:
         "cocite_cosine": F.col("dot") / (F.col("norm_a") * F.col("norm_b")), "log_two_hop": F.log1p(F.col("paths").cast("double")),
         "prior_links": F.col("prior").cast("double"),
     }
-    pairs = pairs.withColumns(features).withColumn("domain_pair", domain_pair("da", "db"))
+    pairs = pairs.withColumns(features).withColumn("domain_pair", dp)
     if outcome is not None:
         pairs = both_ways(pairs, outcome, "ab", "ba").withColumn("label", (F.col("ab") + F.col("ba") >= rules.least_after).cast("int"))
     else:
         pairs = pairs.withColumns({"ab": F.lit(None).cast("bigint"), "ba": F.lit(None).cast("bigint"), "label": F.lit(None).cast("int")})
-    return pairs.select("a", "b", "domain_pair", *rules.feature_names, "prior", "ab", "ba", "label")
+    return pairs.select("a", "b", "domain_pair", *FEATURES, "prior", "ab", "ba", "label")
 
 
 def both_ways(pairs: DataFrame, counts: DataFrame, ab: str, ba: str) -> DataFrame:

@@ -7,8 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _by(groups: list[str]) -> list:
-    return groups or [F.lit(1)]
+def running(rows: DataFrame, order: Column, sums: dict[str, str], groups: list[str]) -> DataFrame:
+    """rows with the running sum of each column in `sums` (new name: column), up to and with each row.
+
+    Without groups rows are range-partitioned by the order, summed within partitions, and what came
+    before each partition is added, so that no task sees all rows.
+    """
+    if groups:
+        w = W.partitionBy(*groups).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        return rows.withColumns({new: F.sum(c).over(w) for new, c in sums.items()})
+    from driftnet import session
+
+    parts = session.stage(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "running")
+    own = parts.groupBy("_p").agg(*[F.sum(c).alias(f"_{new}") for new, c in sums.items()])
+    earlier = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+    before = own.select("_p", *[F.coalesce(F.sum(f"_{new}").over(earlier), F.lit(0)).alias(f"_{new}") for new in sums])
+    w = W.partitionBy("_p").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    out = parts.withColumns({new: F.sum(c).over(w) for new, c in sums.items()}).join(F.broadcast(before), "_p")  # one row a partition
+    return out.withColumns({new: F.col(new) + F.col(f"_{new}") for new in sums}).drop("_p", *[f"_{new}" for new in sums])
 
 
 def average_precision(scored: DataFrame, score: str, label: str, groups: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -20,8 +36,7 @@ def average_precision(scored: DataFrame, score: str, label: str, groups: list[st
     groups = groups or []
     w = F.col(weight) if weight else F.lit(1.0)
     per_score = scored.filter(F.col(score).isNotNull()).groupBy(*groups, score).agg(F.sum(w * F.col(label)).alias("tp"), F.sum(w).alias("n"))
-    run = W.partitionBy(*_by(groups)).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    cum = per_score.withColumn("ctp", F.sum("tp").over(run)).withColumn("cn", F.sum("n").over(run))
+    cum = running(per_score, F.desc(score), {"ctp": "tp", "cn": "n"}, groups)
     gain = F.when(F.col("cn") > 0, F.col("tp") * F.col("ctp") / F.col("cn")).otherwise(0.0)
     return cum.groupBy(*groups).agg(F.sum("tp").alias("positives"), F.sum(gain).alias("_g")).withColumn("ap", F.when(F.col("positives") > 0, F.col("_g") / F.col("positives"))).drop("_g")
 
@@ -30,16 +45,17 @@ def roc_auc(scored: DataFrame, score: str, label: str, groups: list[str] | None
     """(groups, auc): chance that a positive outranks a negative, ties counting half; null without both kinds."""
     groups = groups or []
     per_score = scored.filter(F.col(score).isNotNull()).groupBy(*groups, score).agg(F.sum(F.col(label)).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
-    below = W.partitionBy(*_by(groups)).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    cum = per_score.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0.0)))
+    cum = running(per_score, F.asc(score), {"upto": "n"}, groups).withColumn("under", F.col("upto") - F.col("n"))
     totals = cum.groupBy(*groups).agg(F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)).alias("u"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     return totals.select(*groups, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("u") / (F.col("pos") * F.col("neg"))).alias("auc"))
 
 
 def precision_at(scored: DataFrame, score: str, label: str, k: int, ties: list[str], groups: list[str] | None = None) -> DataFrame:
     """(groups, precision): share of positives among the k highest scores, ties in order of `ties`."""
-    groups = groups or []
-    rank = F.row_number().over(W.partitionBy(*_by(groups)).orderBy(F.desc(score), *ties))
+    order = [F.desc(score), *[F.col(t) for t in ties]]
+    if not groups:
+        return scored.orderBy(*order).limit(k).agg(F.avg(F.col(label)).alias("precision"))
+    rank = F.row_number().over(W.partitionBy(*groups).orderBy(*order))
     return scored.withColumn("_r", rank).filter(F.col("_r") <= k).groupBy(*groups).agg(F.avg(F.col(label)).alias("precision"))
 
 
@@ -77,7 +93,7 @@ def ranked(scored: DataFrame, score: str, ties: list[str]) -> DataFrame:
     return sorted_.withColumn("_l", local).join(F.broadcast(before.select("_p", "_b")), "_p").withColumn("rank", (F.col("_b") + F.col("_l")).cast("bigint")).drop("_p", "_l", "_b")
 
 
-def logit_score(rows: DataFrame, means: dict[str, float], scales: dict[str, float], coefs: dict[str, float], intercept: float) -> Column:
+def logit_score(means: dict[str, float], scales: dict[str, float], coefs: dict[str, float], intercept: float) -> Column:
     """The probability by a stored model, as one generated expression."""
     z = F.lit(float(intercept))
     for name, coef in coefs.items():
@@ -90,8 +106,8 @@ def retrieval(similarity: DataFrame, queries: DataFrame, pool: DataFrame, releva
 
     similarity (query, item, s) may lack pairs, which then have 0; queries (query, ...), pool (item,
     ...): `relevant` is over both sides' columns. Ranked by s, ties by item; the query itself isn't in
-    its ranking. Queries without a relevant item are left out. The benchmark's queries and pool are
-    small by nature; pairs are formed by a keyed join on blocks of the pool.
+    its ranking. Queries without a relevant item are left out. Every query meets every item of the pool
+    by a condition join, since items of similarity 0 are ranked too: a benchmark is a few hundred papers.
     """
     pairs = queries.join(pool, F.col("query") != F.col("item")).join(similarity, ["query", "item"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     marked = pairs.select("query", "item", F.round("s", 6).alias("s"), relevant.cast("int").alias("rel"))

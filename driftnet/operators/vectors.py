@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftnet import session
+from driftnet.plans import skew
+
 
 def doc_terms(docs: DataFrame, doc: str, tokenised: Column, *keep: str) -> DataFrame:
     """(doc, term, tf, and the columns kept); a document without terms has no row."""
@@ -19,22 +22,37 @@ def document_frequency(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+#: Terms whose numbers may be sent to all tasks: some 40 MB.
+MOST_TERMS = 1_000_000
+
+
+def with_terms(tf: DataFrame, per_term: DataFrame) -> DataFrame:
+    """Rows of tf with their term's row of per_term (term, df, ...); terms that aren't there are dropped.
+
+    Counted first: few terms are broadcast, so that no row of tf moves. More are joined by a shuffle,
+    except that rows of the most common terms stay where they are.
+    """
+    per_term = session.stage(per_term, "terms")
+    if per_term.count() <= MOST_TERMS:
+        return tf.join(F.broadcast(per_term), "term")
+    most = per_term.filter(F.col("df") >= skew.HOT_ROWS).orderBy(F.desc("df"), "term").limit(int(1 / skew.HOT_SHARE)).select("term").collect()
+    return skew.lookup_join(tf, per_term, "term", hot=[r["term"] for r in most])
+
+
 def tfidf(tf: DataFrame, n: DataFrame | int, min_df: int = 1, max_share: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc, term, w, and the columns kept): (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), rows of unit length.
 
     n is the number of documents, a number or a one-row frame with column n. Terms in fewer than
     min_df documents or in more than max_share of them are dropped before lengths are taken.
     """
+    tf = session.stage(tf, "tf")
     df = document_frequency(tf)
-    if isinstance(n, int):
-        df = df.withColumn("n", F.lit(n))
-    else:
-        df = df.crossJoin(F.broadcast(n))  # one row
+    df = df.withColumn("n", F.lit(n)) if isinstance(n, int) else df.crossJoin(F.broadcast(n))  # one row
     df = df.filter((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_share))
     raw = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighted = tf.join(df, "term").select("doc", "term", *keep, raw.alias("raw"))
-    length = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("len"))
-    return weighted.join(length, "doc").select("doc", "term", (F.col("raw") / F.col("len")).alias("w"), *keep)
+    weighted = with_terms(tf, df).select("doc", "term", *keep, raw.alias("raw"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("doc")))  # a document's own terms
+    return weighted.select("doc", "term", (F.col("raw") / length).alias("w"), *keep)
 
 
 def mean_vectors(vectors: DataFrame, group: str, sizes: DataFrame | None = None) -> DataFrame:
@@ -186,11 +204,12 @@ def distinctive(tf: DataFrame, n: int | DataFrame, k: int = 8, kept: DataFrame |
     Scores are rounded before they are ranked, so that order doesn't hang on the last bit. kept, if
     given, holds the terms that may be named.
     """
+    tf = session.stage(tf, "tf")
     df = document_frequency(tf)
     df = df.withColumn("n", F.lit(n)) if isinstance(n, int) else df.crossJoin(F.broadcast(n))  # one row
     if kept is not None:
         df = df.join(kept.select("term").distinct(), "term", "left_semi")
-    scored = tf.join(df, "term").select("doc", "term", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), decimals).alias("score"))
+    scored = with_terms(tf, df).select("doc", "term", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), decimals).alias("score"))
     rank = F.row_number().over(W.partitionBy("doc").orderBy(F.desc("score"), "term"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftnet import session
-from driftnet.operators import graph, metrics, stats
+from driftnet.operators import content, graph, metrics, stats, study
 from driftnet.plans import sql as Q
+from driftnet.plans.text_queries import CENTRES_SQL, CLOSEST_SQL, topics_sql
 from driftnet.session import table
 
 #: Features are of records as of FREEZE; what came after is told by the records of AFTER.
 FREEZE, AFTER = 2017, 2025
 #: The years before, to fit on.
 FIT_FREEZE, FIT_AFTER = 2011, 2017
-RULES = graph.PairRules(most_prior=150, least_after=100)
-NAMES = list(RULES.feature_names)
-BASE = [n for n in NAMES if n.startswith(("log_size", "growth"))]
+#: The test tables' counts are larger than those of the rules' defaults.
+RULES = graph.PairRules(most_prior=150, least_after=100, least_usable=5)
+NAMES = graph.FEATURES
 
 
 def _current(spark: SparkSession, d: str, freeze: int | None = None) -> DataFrame:
@@ -71,9 +75,18 @@ def two_step_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.two_step_paths(near, sample, sample)
 
 
-def _pairs(spark: SparkSession, d: str, freeze: int = FREEZE, after: int = AFTER) -> DataFrame:
-    later = graph.citing_counts(_current(spark, d, after)).filter(F.col("window") == "train").groupBy("cited", "citing").agg(F.sum("n").alias("n"))
-    return graph.pair_table(table(spark, d, "topics"), _current(spark, d, freeze), RULES, later)
+def _content(spark: SparkSession, d: str, freeze: int, kinds: DataFrame | None = None) -> DataFrame:
+    """How close topics' texts of the years up to the freeze are."""
+    return content.content(content.topic_texts(table(spark, d, "abstracts"), table(spark, d, "papers"), freeze, 1, kinds))
+
+
+def _later(spark: SparkSession, d: str, after: int) -> DataFrame:
+    return graph.citing_counts(_current(spark, d, after)).filter(F.col("window") == "train").groupBy("cited", "citing").agg(F.sum("n").alias("n"))
+
+
+def _pairs(spark: SparkSession, d: str, freeze: int = FREEZE, after: int = AFTER, rules: graph.PairRules = RULES, said: DataFrame | None = None) -> DataFrame:
+    said = _content(spark, d, freeze) if said is None else said
+    return session.stage(graph.pair_table(table(spark, d, "topics"), _current(spark, d, freeze), rules, _later(spark, d, after), content=said), "pairs")
 
 
 def pair_table(spark: SparkSession, d: str) -> DataFrame:
@@ -115,10 +128,13 @@ MODEL = {"log_size_hi": (6.0, 1.5, 0.4), "log_size_lo": (5.0, 1.5, 0.6), "cocite
 INTERCEPT = -0.75
 
 
-def logit_scores(spark: SparkSession, d: str) -> DataFrame:
+def _model_score():
     m = MODEL
-    p = metrics.logit_score(_pairs(spark, d), {k: v[0] for k, v in m.items()}, {k: v[1] for k, v in m.items()}, {k: v[2] for k, v in m.items()}, INTERCEPT)
-    return _pairs(spark, d).select("a", "b", F.round(p, 6).alias("score"))
+    return metrics.logit_score({k: v[0] for k, v in m.items()}, {k: v[1] for k, v in m.items()}, {k: v[2] for k, v in m.items()}, INTERCEPT)
+
+
+def logit_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("a", "b", F.round(_model_score(), 6).alias("score"))
 
 
 def forward_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -136,18 +152,160 @@ def yearly_scoring(spark: SparkSession, d: str) -> DataFrame:
 
 
 def logit_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Coefficients of the network model on the earlier pairs."""
-    fitted = stats.bounded_pandas(_pairs(spark, d, FIT_FREEZE, FIT_AFTER).select(*NAMES, "label"))
-    m = stats.fit(fitted[NAMES].to_numpy(), fitted["label"].to_numpy(), NAMES)
-    return spark.createDataFrame([(n, float(c), float(a), float(s)) for n, c, a, s in zip(NAMES, m.coef, m.mean, m.scale)] + [("intercept", m.intercept, 0.0, 1.0)], "feature string, coef double, mean double, scale double")
+    """Coefficients of the four models on the earlier pairs."""
+    models = study.fit_models(_pairs(spark, d, FIT_FREEZE, FIT_AFTER))
+    rows = [study.model_row(spark, m, x) for m, x in models.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def logit_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """The gradient of each model's objective at its coefficients, by one more pass over the pairs: 0 at the optimum."""
+    pairs = _pairs(spark, d, FIT_FREEZE, FIT_AFTER)
+    parts = [study.gradient(pairs, x).select(F.lit(m).alias("model"), "feature", F.abs(F.round("gradient", 4)).alias("gradient")) for m, x in study.fit_models(pairs).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def model_measures(spark: SparkSession, d: str) -> DataFrame:
+    """The four models and the random floor on the later pairs."""
+    models = study.fit_models(_pairs(spark, d, FIT_FREEZE, FIT_AFTER))
+    return study.measures(session.stage(study.with_scores(_pairs(spark, d), models), "scored"))
+
+
+def random_floor(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of scores that depend on the pairs' names alone, and of the stored model."""
+    scored = _pairs(spark, d).withColumns({"score_random": F.round(study.random_score(1, "a", "b"), 9), "score_stored": F.round(_model_score(), 6)})
+    return study.measures(session.stage(scored, "scored"), (100,)).select("model", *[F.round(c, 6).alias(c) for c in ("average_precision", "roc_auc", "precision_at_100")])
+
+
+def measures_by_domain_pair(spark: SparkSession, d: str) -> DataFrame:
+    scored = _pairs(spark, d).withColumn("score_stored", F.round(_model_score(), 6))
+    return study.by_domain_pair(scored).withColumn("ap", F.round("ap", 6))
+
+
+def top_predictions(spark: SparkSession, d: str) -> DataFrame:
+    scored = _pairs(spark, d).withColumn("score", F.round(_model_score(), 6))
+    return study.top_predictions(scored, "score", table(spark, d, "topics").filter("id is not null"))
+
+
+def pairs_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with both sides' names, links in both directions and the columns of scores: the table that is exported."""
+    topics = table(spark, d, "topics").filter("id is not null")
+    pairs = _pairs(spark, d).withColumns({"score_stored": F.round(_model_score(), 6), "score_random": F.round(study.random_score(1, "a", "b"), 9)})
+    for s in "ab":
+        pairs = pairs.join(topics.select(F.col("id").alias(s), F.col("name").alias(f"name_{s}"), F.col("field").alias(f"field_{s}"), F.col("domain").alias(f"domain_{s}")), s)
+    return pairs.select("a", "b", *[f"{c}_{s}" for c in ("name", "field", "domain") for s in "ab"], F.col("prior").alias("prior_link_count"), F.col("ab").alias("links_a_to_b"), F.col("ba").alias("links_b_to_a"), (F.col("ab") + F.col("ba")).alias("links_after"), F.col("label").alias("connected"), "score_stored", "score_random")
+
+
+#: Variants of the rules that conclusions are held against, and one that leaves no pairs.
+VARIANTS = {
+    "main": RULES, "fewer links": replace(RULES, least_after=80), "more links": replace(RULES, least_after=150), "no link before": replace(RULES, most_prior=0),
+    "large topics": replace(RULES, least_size=1000), "none": replace(RULES, least_size=10**9),
+}
+
+
+def robustness_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Each variant's pairs, how many are connected, and the stored model's average precision, or why there is none."""
+    parts, said = [], _content(spark, d, FREEZE)
+    for key, rules in VARIANTS.items():
+        scored = _pairs(spark, d, rules=rules, said=said).select("label", F.round(_model_score(), 6).alias("score"))
+        n = scored.agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum("label"), F.lit(0)).alias("connected"))
+        ap = metrics.average_precision(scored, "score", "label").select(F.round("ap", 6).alias("ap"))
+        kinds = F.when(F.col("pairs") == 0, "no pairs").when(F.col("connected") == 0, "no pair is connected").when(F.col("connected") == F.col("pairs"), "no pair is unconnected")
+        both = n.crossJoin(F.broadcast(ap))  # one row each
+        parts.append(both.select(F.lit(key).alias("variant"), "pairs", "connected", F.when(kinds.isNull(), F.col("ap")).alias("ap"), kinds.alias("skipped")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def feature_equality(spark: SparkSession, d: str) -> DataFrame:
+    """The largest difference between the pair table's set features and the same from arrays of neighbours."""
+    pairs = _pairs(spark, d)
+    near, recent = _near(spark, d)[0], _near(spark, d, "recent")[0]
+    names = ["log_deg_hi", "log_deg_lo", "log_common", "log_recent_common", "jaccard", "cocite_cosine"]
+    return study.largest_difference(pairs, study.set_features(pairs, near, recent), ["a", "b"], names).withColumn("largest", F.round("largest", 9))
+
+
+def _types(spark: SparkSession, d: str) -> DataFrame:
+    """(work, type): what kind of document each work is; the first by name where there are several."""
+    kind = F.nullif(F.lower(F.trim("source")), F.lit(""))
+    return table(spark, d, "documents").filter("work is not null").groupBy("work").agg(F.min(kind).alias("type"))
+
+
+def work_types(spark: SparkSession, d: str) -> DataFrame:
+    """The type of every paper's work, null where none is known."""
+    return table(spark, d, "papers").filter("work is not null").select("work").distinct().join(_types(spark, d), "work", "left")
+
+
+RESEARCH = ("abstract", "preprint", "thesis", "review")
+
+
+def research_only(spark: SparkSession, d: str) -> DataFrame:
+    """The pair table's content features with research works' texts only."""
+    kinds = _types(spark, d).filter(F.col("type").isin(*RESEARCH))
+    return _content(spark, d, AFTER, kinds).select("a", "b", F.round("centroid_cos", 6).alias("centroid_cos"), F.round("top_pairs_cos", 6).alias("top_pairs_cos"))
+
+
+def _domains(spark: SparkSession, d: str, pairs: DataFrame) -> dict[str, str]:
+    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    topics = table(spark, d, "topics").filter("id is not null and domain is not null").join(used, "id", "left_semi")
+    return {r["id"]: r["domain"] for r in topics.select("id", "domain").toLocalIterator()}  # topics, of which there are thousands
 
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """95% intervals of average precision, 200 topic draws with refit."""
-    fitted = stats.bounded_pandas(_pairs(spark, d, FIT_FREEZE, FIT_AFTER).select("a", "b", *NAMES, "label").orderBy("a", "b"))
-    evaluated = stats.bounded_pandas(_pairs(spark, d).select("a", "b", *NAMES, "label").orderBy("a", "b"))
-    domains = {r["id"]: r["domain"] for r in table(spark, d, "topics").filter("id is not null and domain is not null").select("id", "domain").toLocalIterator()}
-    return stats.intervals(stats.bootstrap(spark, fitted, evaluated, domains, {"popularity": BASE, "network": NAMES}, 200))
+    """95% intervals of the four models' average precision, 2,000 topic draws with refit."""
+    fitting, later = _pairs(spark, d, FIT_FREEZE, FIT_AFTER), _pairs(spark, d)
+    take = lambda df: stats.bounded_pandas(df.select("a", "b", *NAMES, "label").orderBy("a", "b"))
+    domains = _domains(spark, d, fitting.select("a", "b").unionByName(later.select("a", "b")))
+    return stats.intervals(stats.bootstrap(spark, take(fitting), take(later), domains, graph.FEATURE_SETS, study.BOOTSTRAP))
+
+
+DRAWS = 400
+
+
+def score_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """95% intervals of the average precision of published scores, topics drawn without refitting anything."""
+    pairs = _pairs(spark, d).withColumns({"stored": F.round(_model_score(), 6), "cocite": F.round("cocite_cosine", 6)})
+    rows = stats.bounded_pandas(pairs.select("a", "b", "label", "stored", "cocite").orderBy("a", "b"))
+    draws = stats.bootstrap(spark, None, rows, _domains(spark, d, pairs), {"stored": ["stored"], "cocite": ["cocite"]}, DRAWS, 2025, refit=False, redraw=0)
+    return stats.intervals(draws).select("model", "draws", *[F.round(c, 6).alias(c) for c in ("low", "median", "high")])
+
+
+def decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Two scores' difference by pair of domains: its middle 95% over pairs, and what that would say."""
+    gap = F.round(F.col("cocite_cosine") - F.col("jaccard"), 6)
+    p = lambda q: F.percentile("gap", F.lit(q))
+    rows = _pairs(spark, d).select("domain_pair", gap.alias("gap"), "cocite_cosine").groupBy("domain_pair").agg(p(0.025).alias("low"), p(0.975).alias("high"), F.avg(F.round("cocite_cosine", 6)).alias("level"))
+    said = study.outcome(F.round("low", 9), F.round("high", 9), F.round(study.SMALLEST * F.col("level"), 9))
+    return rows.select("domain_pair", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), said.alias("outcome"))
+
+
+def study_report(spark: SparkSession, d: str) -> DataFrame:
+    """The whole report, a row for each of its leaves; 200 draws here, 2,000 by default."""
+    fitting, later = _pairs(spark, d, FIT_FREEZE, FIT_AFTER), _pairs(spark, d)
+    domains = _domains(spark, d, fitting.select("a", "b").unionByName(later.select("a", "b")))
+    strict = later.select("a", "b", (F.col("ab") + F.col("ba") - F.col("prior")).alias("n"))
+    tree = study.report(fitting, later, domains, 200, strict, RULES.least_after, {"freeze": FREEZE})
+    return spark.createDataFrame(study.flat(tree), "item string, value string")
+
+
+def yearly_measures(spark: SparkSession, d: str, through: int = AFTER, last: int = 2031) -> DataFrame:
+    """The published ranking against the links of the years since: measures of the stored score and of a plain one."""
+    counts = graph.citing_counts(_current(spark, d, AFTER)).filter(F.col("window") == "recent").groupBy("cited", "citing").agg(F.sum("n").alias("n"))
+    pairs = _pairs(spark, d).select("a", "b", F.round(_model_score(), 6).alias("score_network"), F.round("log_size_lo", 6).alias("score_popularity"))
+    rows = session.stage(graph.both_ways(pairs, counts, "ab", "ba").withColumn("label", (F.col("ab") + F.col("ba") >= 3).cast("int")), "scored")
+    told = study.measures(rows, (100,))
+    n = rows.agg(F.count(F.lit(1)).alias("pairs"), F.sum("label").alias("connected"), F.round(F.avg("label"), 6).alias("chance"))
+    both = told.crossJoin(F.broadcast(n))  # one row
+    return both.select(F.lit(through).alias("through"), F.lit(through < last).alias("interim"), "model", "pairs", "connected", "chance", *[F.round(c, 6).alias(c) for c in ("average_precision", "roc_auc", "precision_at_100")])
+
+
+def sample_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Six topics of each domain, drawn once and read again as they were drawn."""
+    from driftnet.sources import samples
+
+    topics = table(spark, d, "topics").filter("id is not null and domain is not null").select("id", "name", "domain")
+    folder = session.stage_path(spark, "sample")
+    samples.load_or_draw(spark, folder, topics, 6, 2026)
+    return samples.load_or_draw(spark, folder, topics.limit(0), 6, 2026).select("domain", "id", "pos")
 
 
 def _order_works(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -162,7 +320,7 @@ def _order_works(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
 def reference_papers(spark: SparkSession, d: str) -> DataFrame:
     works, refs, owners = _order_works(spark, d)
     cites = refs.distinct().join(works, "work").groupBy("reference").agg(F.count(F.lit(1)).alias("now"), F.count_if(F.col("year") <= 1998).alias("asof"))
-    return graph.reference_papers(owners.join(cites, "reference"), 20, 5).select("topic", "reference", "cites", F.col("pos").alias("pos"))
+    return graph.reference_papers(owners.join(cites, "reference")).select("topic", "reference", "cites", F.col("pos").alias("pos"))
 
 
 def citation_links(spark: SparkSession, d: str) -> DataFrame:
@@ -227,7 +385,8 @@ def embedding_retrieval(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = [
     records_current, works_by_year, topic_growth, citing_counts, missing_records, topic_degrees, citer_reach, common_neighbours, two_step_paths,
     pair_table, link_directions, domain_pair_summary, feature_summary, average_precision, roc_auc, precision_at_100, logit_scores, forward_ranking,
-    yearly_scoring, logit_fit, bootstrap_ci, reference_papers, citation_links, citation_verdicts, seeded_sample, percentile_threshold,
+    yearly_scoring, logit_fit, logit_gradient, model_measures, random_floor, measures_by_domain_pair, top_predictions, pairs_scored, robustness_grid,
+    feature_equality, work_types, research_only, bootstrap_ci, score_intervals, decisions, study_report, yearly_measures, sample_topics, reference_papers, citation_links, citation_verdicts, seeded_sample, percentile_threshold,
     embedding_neighbours, embedding_retrieval,
 ]
 
@@ -246,8 +405,11 @@ FROM {near} x JOIN {near} y ON x.citer = y.citer JOIN sample sx ON sx.id = x.top
 WHERE sx.pos < sy.pos AND sx.domain <> sy.domain GROUP BY ALL)"""
 
 
-_GRAPH = f"""{Q.RECORDS.strip()}, {Q.counts()},
-sample AS MATERIALIZED (SELECT t.id, t.pos, t.domain, coalesce(c.size, 0) AS size FROM topics t JOIN cur c ON c.topic = t.id AND c."freeze" = {FREEZE} WHERE t.domain IS NOT NULL),
+def _graph_sql(rules: graph.PairRules = RULES) -> str:
+    """CTEs up to pt, the pair table."""
+    dp = ", ".join(f"CAST(domain_pair = '{pair}' AS DOUBLE) AS {name}" for pair, name in graph.INDICATORS.items())
+    return f"""{Q.RECORDS.strip()}, {Q.counts()},
+sample AS MATERIALIZED (SELECT t.id, t.pos, t.domain, coalesce(c.size, 0) AS size, coalesce(c.usable_abstracts, 0) AS usable FROM topics t JOIN cur c ON c.topic = t.id AND c."freeze" = {FREEZE} WHERE t.domain IS NOT NULL AND coalesce(c.size, 0) >= {rules.least_size}),
 {_near_sql('near', 'train')}, {_near_sql('rnear', 'recent')}, {_common_sql('com', 'near')}, {_common_sql('rcom', 'rnear')},
 paths AS (SELECT CASE WHEN sx.pos < sy.pos THEN sx.id ELSE sy.id END AS a, CASE WHEN sx.pos < sy.pos THEN sy.id ELSE sx.id END AS b, count(*) AS paths
 FROM near p JOIN near q ON q.citer = p.topic JOIN sample sx ON sx.id = p.citer JOIN sample sy ON sy.id = q.topic WHERE sx.id <> sy.id AND sx.domain <> sy.domain GROUP BY ALL),
@@ -257,18 +419,36 @@ LEFT JOIN (SELECT topic, count(*) AS deg, coalesce(nullif(sqrt(sum(n * n)), 0),
 LEFT JOIN (SELECT topic, count(*) AS rdeg FROM rnear GROUP BY topic) e ON e.topic = id LEFT JOIN (SELECT * FROM growth WHERE "freeze" = {FREEZE}) g ON g.topic = id),
 before AS (SELECT cited, citing, sum(n) AS n FROM counts WHERE "freeze" = {FREEZE} AND win IN ('before', 'train') GROUP BY ALL),
 later AS (SELECT cited, citing, sum(n) AS n FROM counts WHERE "freeze" = {AFTER} AND win = 'train' GROUP BY ALL),
+{topics_sql(FREEZE, 1).strip()}, {CENTRES_SQL}, {CLOSEST_SQL.strip()},
 el AS (SELECT x.id AS a, y.id AS b, least(x.domain, y.domain) || ' / ' || greatest(x.domain, y.domain) AS domain_pair,
 ln(1 + greatest(x.size, y.size)) AS log_size_hi, ln(1 + least(x.size, y.size)) AS log_size_lo, greatest(x.growth, y.growth) AS growth_hi, least(x.growth, y.growth) AS growth_lo,
+ln(greatest(x.usable, y.usable)) AS log_usable_hi, ln(least(x.usable, y.usable)) AS log_usable_lo,
 ln(1 + greatest(x.deg, y.deg)) AS log_deg_hi, ln(1 + least(x.deg, y.deg)) AS log_deg_lo, ln(1 + greatest(x.rdeg, y.rdeg)) AS log_recent_deg_hi, ln(1 + least(x.rdeg, y.rdeg)) AS log_recent_deg_lo,
 x.deg + y.deg AS degs, x.norm * y.norm AS norms, coalesce(f.n, 0) + coalesce(g.n, 0) AS prior
 FROM each x JOIN each y ON x.pos < y.pos AND x.domain <> y.domain LEFT JOIN before f ON f.citing = x.id AND f.cited = y.id LEFT JOIN before g ON g.cited = x.id AND g.citing = y.id
-WHERE coalesce(f.n, 0) + coalesce(g.n, 0) <= {RULES.most_prior}),
-pt AS MATERIALIZED (SELECT el.*, ln(1 + coalesce(com.common, 0)) AS log_common, ln(1 + coalesce(rcom.common, 0)) AS log_recent_common,
+WHERE coalesce(f.n, 0) + coalesce(g.n, 0) <= {rules.most_prior} AND least(x.usable, y.usable) >= {rules.least_usable}),
+pt AS MATERIALIZED (SELECT el.*, {dp}, ln(1 + coalesce(com.common, 0)) AS log_common, ln(1 + coalesce(rcom.common, 0)) AS log_recent_common,
 CASE WHEN degs - coalesce(com.common, 0) > 0 THEN coalesce(com.common, 0) / (degs - coalesce(com.common, 0)) ELSE 0 END AS jaccard, coalesce(com.adamic_adar, 0) AS adamic_adar,
 coalesce(com.dot, 0) / norms AS cocite_cosine, ln(1 + coalesce(paths, 0)) AS log_two_hop, CAST(prior AS DOUBLE) AS prior_links,
-CAST(coalesce(lf.n, 0) AS BIGINT) AS ab, CAST(coalesce(lg.n, 0) AS BIGINT) AS ba, CAST(coalesce(lf.n, 0) + coalesce(lg.n, 0) >= {RULES.least_after} AS INT) AS label
+coalesce(cc.cosine, 0) AS centroid_cos, coalesce(ct.closest, 0) AS top_pairs_cos,
+CAST(coalesce(lf.n, 0) AS BIGINT) AS ab, CAST(coalesce(lg.n, 0) AS BIGINT) AS ba, CAST(coalesce(lf.n, 0) + coalesce(lg.n, 0) >= {rules.least_after} AS INT) AS label
 FROM el LEFT JOIN com USING (a, b) LEFT JOIN rcom USING (a, b) LEFT JOIN paths USING (a, b)
+LEFT JOIN cc ON cc.a = least(el.a, el.b) AND cc.b = greatest(el.a, el.b) LEFT JOIN ct ON ct.a = least(el.a, el.b) AND ct.b = greatest(el.a, el.b)
 LEFT JOIN later lf ON lf.citing = el.a AND lf.cited = el.b LEFT JOIN later lg ON lg.cited = el.a AND lg.citing = el.b)"""
+
+
+def _measures_sql(frm: str) -> str:
+    """Measures by model from sc(model, a, b, label, score)."""
+    return f"""{frm},
+g AS (SELECT model, score, sum(label) AS tp, count(*) AS n FROM sc GROUP BY ALL), c AS (SELECT model, tp, sum(tp) OVER w / sum(n) OVER w AS p FROM g WINDOW w AS (PARTITION BY model ORDER BY score DESC)),
+ap AS (SELECT model, round(sum(tp * p) / sum(tp), 6) AS average_precision FROM c GROUP BY model),
+rr AS (SELECT model, label, rank() OVER w + (count(*) OVER (PARTITION BY model, score) - 1) / 2 AS k FROM sc WINDOW w AS (PARTITION BY model ORDER BY score)),
+au AS (SELECT model, round((sum(k * label) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))), 6) AS roc_auc FROM rr GROUP BY model),
+pk AS (SELECT model, round(avg(label), 6) AS precision_at_100 FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, a, b) AS r FROM sc) WHERE r <= 100 GROUP BY model)"""
+
+
+_GRAPH = _graph_sql()
+_RANDOM = "round(CAST('0x' || left(sha256('1|' || a || '|' || b), 8) AS BIGINT) / 4294967296.0, 9)"
 _SC = "sc AS (SELECT a, b, domain_pair, label, round(cocite_cosine, 6) AS score FROM pt)"
 _LOGIT = "lg AS (SELECT a, b, round(1 / (1 + exp(-(" + str(INTERCEPT) + "::DOUBLE" + "".join(f" + ({k} - {v[0]}::DOUBLE) / {v[1]}::DOUBLE * {v[2]}::DOUBLE" for k, v in MODEL.items()) + "))), 6) AS score FROM pt)"
 _RANK = "rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS rank FROM lg)"
@@ -307,10 +487,43 @@ SELECT domain_pair, CASE WHEN p > 0 AND n > 0 THEN round((s - p * (p + 1) / 2) /
     "yearly_scoring": f"""WITH {_GRAPH}, {_LOGIT}, {_RANK}, n AS (SELECT cited, citing, sum(n) AS n FROM counts WHERE "freeze" = {AFTER} AND win = 'recent' GROUP BY ALL)
 SELECT CASE WHEN rank <= 50 THEN '1 to 50' WHEN rank <= 200 THEN '51 to 200' ELSE 'beyond' END AS band, count(*) AS pairs, count(*) FILTER (coalesce(f.n, 0) + coalesce(g.n, 0) > 0) AS connected
 FROM rk LEFT JOIN n f ON f.citing = a AND f.cited = b LEFT JOIN n g ON g.cited = a AND g.citing = b GROUP BY band""",
+    "logit_gradient": " UNION ALL ".join(f"SELECT '{m}' AS model, unnest({[*cols, 'intercept']}) AS feature, 0.0::DOUBLE AS gradient" for m, cols in graph.FEATURE_SETS.items()),
+    "random_floor": "WITH " + _measures_sql(f"{_GRAPH}, {_LOGIT}, sc AS (SELECT 'random' AS model, a, b, label, {_RANDOM} AS score FROM pt UNION ALL SELECT 'stored', a, b, label, score FROM lg JOIN pt USING (a, b))") + " SELECT * FROM ap JOIN au USING (model) JOIN pk USING (model)",
+    "measures_by_domain_pair": f"""WITH {_GRAPH}, {_LOGIT}, s AS (SELECT domain_pair, label, score FROM pt JOIN lg USING (a, b)), g AS (SELECT domain_pair, score, sum(label) AS tp, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT domain_pair, tp, n, sum(tp) OVER w / sum(n) OVER w AS p FROM g WINDOW w AS (PARTITION BY domain_pair ORDER BY score DESC))
+SELECT domain_pair, 'stored' AS model, CAST(sum(n) AS BIGINT) AS pairs, CAST(sum(tp) AS BIGINT) AS positives, CASE WHEN sum(tp) >= 5 AND sum(tp) < sum(n) THEN round(sum(tp * p) / sum(tp), 6) END AS ap FROM c GROUP BY domain_pair""",
+    "top_predictions": f"""WITH {_GRAPH}, {_LOGIT}, {_RANK} SELECT rank, a, x.name AS name_a, x.field AS field_a, x.domain AS domain_a, b, y.name AS name_b, y.field AS field_b, y.domain AS domain_b, score,
+CAST(prior AS BIGINT) AS links_before, ab + ba AS links_after, label AS connected_later FROM rk JOIN pt USING (a, b) JOIN topics x ON x.id = a JOIN topics y ON y.id = b WHERE rank <= 200""",
+    "pairs_scored": f"""WITH {_GRAPH}, {_LOGIT} SELECT a, b, x.name AS name_a, y.name AS name_b, x.field AS field_a, y.field AS field_b, x.domain AS domain_a, y.domain AS domain_b, CAST(prior AS BIGINT) AS prior_link_count,
+ab AS links_a_to_b, ba AS links_b_to_a, ab + ba AS links_after, label AS connected, score AS score_stored, {_RANDOM} AS score_random FROM pt JOIN lg USING (a, b) JOIN topics x ON x.id = a JOIN topics y ON y.id = b""",
+    "robustness_grid": " UNION ALL ".join(f"""SELECT * FROM (WITH {_graph_sql(r)}, {_LOGIT}, s AS (SELECT label, score FROM pt JOIN lg USING (a, b)), g AS (SELECT score, sum(label) AS tp, count(*) AS n FROM s GROUP BY score),
+c AS (SELECT tp, n, sum(tp) OVER w / sum(n) OVER w AS p FROM g WINDOW w AS (ORDER BY score DESC)), t AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS pairs, CAST(coalesce(sum(tp), 0) AS BIGINT) AS connected, round(sum(tp * p) / sum(tp), 6) AS ap FROM c)
+SELECT '{k}' AS variant, pairs, connected, CASE WHEN connected > 0 AND connected < pairs THEN ap END AS ap, CASE WHEN pairs = 0 THEN 'no pairs' WHEN connected = 0 THEN 'no pair is connected' WHEN connected = pairs THEN 'no pair is unconnected' END AS skipped FROM t)""" for k, r in VARIANTS.items()),
+    "feature_equality": "SELECT unnest(['log_deg_hi', 'log_deg_lo', 'log_common', 'log_recent_common', 'jaccard', 'cocite_cosine']) AS feature, 0.0::DOUBLE AS largest",
+    "work_types": """WITH t AS (SELECT work, min(nullif(lower(trim(source)), '')) AS type FROM documents WHERE work IS NOT NULL GROUP BY work)
+SELECT work, type FROM (SELECT DISTINCT work FROM papers WHERE work IS NOT NULL) LEFT JOIN t USING (work)""",
+    "research_only": f"""WITH {topics_sql(AFTER, 1, f"SELECT work FROM documents WHERE work IS NOT NULL GROUP BY work HAVING min(nullif(lower(trim(source)), '')) IN {Q.quoted(RESEARCH)}")}, {CENTRES_SQL}, {CLOSEST_SQL.strip()}
+SELECT coalesce(cc.a, ct.a) AS a, coalesce(cc.b, ct.b) AS b, round(cosine, 6) AS centroid_cos, round(closest, 6) AS top_pairs_cos FROM cc FULL JOIN ct ON cc.a = ct.a AND cc.b = ct.b""",
+    "score_intervals": f"""WITH {_GRAPH}, {_LOGIT}, tt AS (SELECT domain, id, row_number() OVER (PARTITION BY domain ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY domain) AS n FROM topics WHERE id IN (SELECT a FROM pt UNION SELECT b FROM pt)),
+pk AS (SELECT d, domain, CAST('0x' || left(sha256('2025|' || d || '|0|' || domain || '|' || i), 8) AS BIGINT) % n AS j FROM range({DRAWS}) r(d), tt),
+ct2 AS MATERIALIZED (SELECT d, id, count(*) AS c FROM pk JOIN tt ON tt.domain = pk.domain AND tt.i = j GROUP BY ALL),
+ww AS MATERIALIZED (SELECT x.d, p.label, x.c * y.c AS w, l.score AS stored, round(p.cocite_cosine, 6) AS cocite FROM pt p JOIN lg l USING (a, b) JOIN ct2 x ON x.id = p.a JOIN ct2 y ON y.id = p.b AND y.d = x.d),
+sc AS (SELECT 'stored' AS model, d, stored AS score, label, w FROM ww UNION ALL SELECT 'cocite', d, cocite, label, w FROM ww),
+g AS (SELECT model, d, score, sum(w * label) AS tp, sum(w) AS n FROM sc GROUP BY ALL), c AS (SELECT model, d, tp, n, sum(tp) OVER w / sum(n) OVER w AS p FROM g WINDOW w AS (PARTITION BY model, d ORDER BY score DESC)),
+ap AS (SELECT model, d, CASE WHEN sum(tp) > 0 AND sum(tp) < sum(n) THEN sum(tp * p) / sum(tp) END AS ap FROM c GROUP BY ALL)
+SELECT model, count(ap) AS draws, round(quantile_cont(ap, 0.025), 6) AS low, round(quantile_cont(ap, 0.5), 6) AS median, round(quantile_cont(ap, 0.975), 6) AS high FROM ap GROUP BY model""",
+    "decisions": f"""WITH {_GRAPH}, q AS (SELECT domain_pair, quantile_cont(round(cocite_cosine - jaccard, 6), 0.025) AS low, quantile_cont(round(cocite_cosine - jaccard, 6), 0.975) AS high, avg(round(cocite_cosine, 6)) AS level FROM pt GROUP BY domain_pair)
+SELECT domain_pair, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN round(low, 9) > 0 THEN 'supported' WHEN round(high, 9) < round(0.1::DOUBLE * level, 9) THEN 'negative' ELSE 'inconclusive' END AS outcome FROM q""",
+    "yearly_measures": "WITH " + _measures_sql(f"""{_GRAPH}, {_LOGIT}, nn AS (SELECT cited, citing, sum(n) AS n FROM counts WHERE "freeze" = {AFTER} AND win = 'recent' GROUP BY ALL),
+yl AS MATERIALIZED (SELECT a, b, lg.score, round(pt.log_size_lo, 6) AS plain, CAST(coalesce(f.n, 0) + coalesce(h.n, 0) >= 3 AS INT) AS label FROM pt JOIN lg USING (a, b) LEFT JOIN nn f ON f.citing = a AND f.cited = b LEFT JOIN nn h ON h.cited = a AND h.citing = b),
+sc AS (SELECT 'network' AS model, a, b, label, score FROM yl UNION ALL SELECT 'popularity', a, b, label, plain FROM yl)""") + f""" SELECT {AFTER} AS through, true AS interim, model, pairs, connected, chance, average_precision, roc_auc, precision_at_100
+FROM ap JOIN au USING (model) JOIN pk USING (model), (SELECT count(*) AS pairs, CAST(sum(label) AS BIGINT) AS connected, round(avg(label), 6) AS chance FROM yl)""",
+    "sample_topics": """WITH r AS (SELECT domain, id, row_number() OVER (PARTITION BY domain ORDER BY sha256('2026:' || id), id) AS r FROM topics WHERE id IS NOT NULL AND domain IS NOT NULL)
+SELECT domain, id, CAST(row_number() OVER (ORDER BY domain, r) AS INT) AS pos FROM r WHERE r <= 6""",
     "reference_papers": f"""WITH {_ORDERS}, c AS (SELECT reference, count(*) AS now, count(*) FILTER (year <= 1998) AS upto FROM (SELECT DISTINCT * FROM refs) JOIN works USING (work) GROUP BY reference),
 k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY now DESC, reference) AS r FROM owners JOIN c USING (reference)),
-p AS (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY upto DESC, reference) AS INT) AS pos FROM k WHERE r <= 20)
-SELECT topic, reference, upto AS cites, pos FROM p WHERE pos <= 5 AND upto > 0""",
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY upto DESC, reference) AS INT) AS pos FROM k WHERE r <= 400)
+SELECT topic, reference, upto AS cites, pos FROM p WHERE pos <= 100 AND upto > 0""",
     "citation_links": f"""WITH {_ORDERS}, win(win, lo, hi) AS (VALUES ('before', NULL, 1995), ('train', 1996, 1998), ('recent', 1998, 1998), ('test', 1999, NULL))
 SELECT o.topic AS cited, win, w.topic AS citing, count(DISTINCT work) AS n FROM refs JOIN owners o USING (reference) JOIN works w USING (work) JOIN win ON (lo IS NULL OR year >= lo) AND (hi IS NULL OR year <= hi) GROUP BY ALL""",
     "citation_verdicts": f"""WITH {_ORDERS}, m AS (SELECT w.topic AS x, o.topic AS y FROM refs JOIN works w USING (work) JOIN owners o USING (reference) WHERE w.topic <> o.topic GROUP BY ALL HAVING count(*) > 50),

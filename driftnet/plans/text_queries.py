@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftnet.functions import text as T
-from driftnet.operators import intake, metrics, twins
+from driftnet.operators import content, intake, metrics, twins
 from driftnet.operators import vectors as V
 from driftnet.plans import sql as Q
-from driftnet.session import table
+from driftnet.session import stage, table
 
 
 def _document_terms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -50,21 +50,12 @@ def cleaned_abstracts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("work", "year", F.left("title", F.lit(140)).alias("title"), text.alias("text"))
 
 
-def _usable_of_topics(spark: SparkSession, d: str) -> DataFrame:
-    """(work, topic, text): cleaned usable abstracts, one a work, of topics with five or more."""
-    said = table(spark, d, "abstracts").filter("abstract is not null and abstract <> '' and work is not null").select("work", F.concat_ws(" ", "title", "abstract").alias("text"))
-    one = said.groupBy("work").agg(F.min(F.struct(-F.length("text"), "text")).alias("x")).select("work", F.col("x.text").alias("text")).filter(T.usable(F.col("text")))
-    topic = table(spark, d, "papers").filter("work is not null and topic is not null").groupBy("work").agg(F.min("topic").alias("topic"))
-    rows = one.join(topic, "work")
-    many = rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
-    return rows.join(many, "topic", "left_semi").select("work", "topic", T.clean(F.col("text")).alias("text"))
+def _topic_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return stage(content.topic_vectors(content.topic_texts(table(spark, d, "abstracts"), table(spark, d, "papers"))), "topic-vectors")
 
 
-def _topic_vectors(spark: SparkSession, d: str) -> DataFrame:
-    rows = _usable_of_topics(spark, d)
-    stops = [*T.STOP_WORDS, *T.BOILERPLATE]
-    tf = V.doc_terms(rows, "work", T.without(T.letter_tokens(F.col("text")), stops), "topic")
-    return V.tfidf(tf, rows.agg(F.count(F.lit(1)).alias("n")), 2, 0.5, ("topic",))
+def usable_counts(spark: SparkSession, d: str) -> DataFrame:
+    return content.usable_counts(content.topic_texts(table(spark, d, "abstracts"), table(spark, d, "papers"), least=1))
 
 
 def topic_top_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -74,24 +65,11 @@ def topic_top_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_centroid_cosine(spark: SparkSession, d: str) -> DataFrame:
-    mean = V.mean_vectors(_topic_vectors(spark, d), "topic")
-    return V.block_cosines(mean, "topic").select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return content.centroid_cosines(_topic_vectors(spark, d)).withColumn("cosine", F.round("cosine", 6))
 
 
 def topic_closest_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Mean of the five highest cosines of the first twenty texts of two topics; pairs without shared terms count as 0."""
-    vectors = _topic_vectors(spark, d)
-    place = vectors.select("doc", "topic").distinct().withColumn("r", F.row_number().over(W.partitionBy("topic").orderBy("doc"))).filter("r <= 20")
-    first = vectors.join(place.select("doc"), "doc", "left_semi")
-    near = V.cosine_pairs(first, "doc", F.col("topic_a") != F.col("topic_b"), ("topic",))
-    at = place.select("doc", "topic")
-    near = near.join(at.select(F.col("doc").alias("a"), F.col("topic").alias("ta")), "a").join(at.select(F.col("doc").alias("b"), F.col("topic").alias("tb")), "b")
-    s = near.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), F.round("cosine", 6).alias("s"), F.col("a").alias("x"), F.col("b").alias("y"))
-    top = s.withColumn("r", F.row_number().over(W.partitionBy("a", "b").orderBy(F.desc("s"), "x", "y"))).filter("r <= 5")
-    sizes = place.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-    sums = top.groupBy("a", "b").agg(F.sum("s").alias("s"))
-    both = sums.join(sizes.select(F.col("topic").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("topic").alias("b"), F.col("n").alias("nb")), "b")
-    return both.select("a", "b", F.round(F.col("s") / F.least(F.lit(5), F.col("na") * F.col("nb")), 6).alias("closest"))
+    return content.closest_texts(_topic_vectors(spark, d)).withColumn("closest", F.round("closest", 6))
 
 
 SEARCH = "fragile neural storage and the edge of a digital lake"
@@ -183,7 +161,7 @@ def similarity_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    distinctive_words, field_words, distinctive_field_words, usable_texts, token_classes, cleaned_abstracts, topic_top_terms, topic_centroid_cosine,
+    distinctive_words, field_words, distinctive_field_words, usable_texts, token_classes, cleaned_abstracts, usable_counts, topic_top_terms, topic_centroid_cosine,
     topic_closest_texts, search_papers, field_distance, near_duplicate_descriptions, avoided_words, fingerprints, sample_fingerprint, bridge_ids,
     link_keys, prompts, model_answers, issue_bodies, inverted_texts, similarity_histogram,
 ]
@@ -210,16 +188,31 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score
 SELECT doc_id, term, score, rank FROM ranked WHERE rank <= {k}"""
 
 
-_TOPICS = f"""
-{Q.ONE_ABSTRACT.strip()},
+def topics_sql(through: int | None = None, least: int = 5, kinds: str = "") -> str:
+    """CTEs up to v(doc, topic, term, w), the vectors of topics' usable texts."""
+    when = (f" AND year <= {through}" if through else "") + (f" AND work IN ({kinds})" if kinds else "")
+    return f"""
+{Q.ONE_ABSTRACT.strip().replace("abstract <> ''", f"abstract <> ''{when}")},
 ok AS (SELECT * FROM one WHERE {Q.usable('text')}),
 topic AS (SELECT work, min(topic) AS topic FROM papers WHERE work IS NOT NULL AND topic IS NOT NULL GROUP BY work),
 rows0 AS (SELECT ok.work, topic, {Q.clean('text')} AS text FROM ok JOIN topic USING (work)),
-rows1 AS MATERIALIZED (SELECT * FROM rows0 WHERE topic IN (SELECT topic FROM rows0 GROUP BY topic HAVING count(*) >= 5)),
+rows1 AS MATERIALIZED (SELECT * FROM rows0 WHERE topic IN (SELECT topic FROM rows0 GROUP BY topic HAVING count(*) >= {least})),
 flat AS (SELECT work AS doc, topic, unnest({Q.tokens('text')}) AS term FROM rows1),
 tf AS (SELECT doc, topic, term, count(*) AS tf FROM flat WHERE regexp_full_match(term, '{Q.LETTERS}') AND term NOT IN {Q.quoted([*T.STOP_WORDS, *T.BOILERPLATE])} GROUP BY ALL),
 {Q.tfidf('v', 'tf', '(SELECT count(*) FROM rows1)', 2, 0.5, 'topic')}"""
 
+
+_TOPICS = topics_sql()
+CENTRES_SQL = f"""{Q.mean('m', 'v', 'topic').strip()},
+cc AS MATERIALIZED (SELECT x.topic AS a, y.topic AS b, sum(x.w * y.w) AS cosine FROM m x JOIN m y ON x.term = y.term AND x.topic < y.topic GROUP BY ALL)"""
+CLOSEST_SQL = """
+t_place AS (SELECT * FROM (SELECT doc, topic, row_number() OVER (PARTITION BY topic ORDER BY doc) AS r FROM (SELECT DISTINCT doc, topic FROM v)) WHERE r <= 20),
+t_few AS (SELECT v.* FROM v JOIN t_place USING (doc)),
+t_sims AS (SELECT x.doc AS x, y.doc AS y, x.topic AS a, y.topic AS b, round(sum(x.w * y.w), 6) AS s FROM t_few x JOIN t_few y ON x.term = y.term AND x.topic < y.topic GROUP BY ALL),
+t_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY s DESC, least(x, y), greatest(x, y)) AS r FROM t_sims) WHERE r <= 5),
+t_sizes AS (SELECT topic, count(*) AS n FROM t_place GROUP BY topic),
+ct AS MATERIALIZED (SELECT a, b, sum(s) / least(5, any_value(na.n * nb.n)) AS closest FROM t_top JOIN t_sizes na ON na.topic = a JOIN t_sizes nb ON nb.topic = b GROUP BY a, b)"""
+
 _SEARCHED = f"""
 {Q.ONE_ABSTRACT.strip()},
 flat AS (SELECT work AS doc, unnest(list_filter({Q.words('text')}, lambda w: length(w) >= 2 AND w NOT IN {Q.STOPS})) AS term FROM one),
@@ -254,14 +247,9 @@ CAST(len(list_filter({Q.tokens('text')}, lambda w: regexp_full_match(w, '{Q.LETT
 CAST({Q.word_count('text')} AS INT) AS spaced FROM documents WHERE text IS NOT NULL""",
     "cleaned_abstracts": f"SELECT work, year, left(title, 140) AS title, {Q.squeeze(Q.clean("concat_ws('. ', title, abstract)"))} AS text FROM abstracts WHERE abstract IS NOT NULL",
     "topic_top_terms": f"WITH {_TOPICS}, {Q.mean('m', 'v', 'topic')}, r AS (SELECT topic, term, round(w, 6) AS w FROM m), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY w DESC, term) AS INT) AS rank FROM r) SELECT * FROM k WHERE rank <= 10",
-    "topic_centroid_cosine": f"WITH {_TOPICS}, {Q.mean('m', 'v', 'topic')} SELECT x.topic AS a, y.topic AS b, round(sum(x.w * y.w), 6) AS cosine FROM m x JOIN m y ON x.term = y.term AND x.topic < y.topic GROUP BY ALL",
-    "topic_closest_texts": f"""WITH {_TOPICS},
-place AS (SELECT * FROM (SELECT doc, topic, row_number() OVER (PARTITION BY topic ORDER BY doc) AS r FROM (SELECT DISTINCT doc, topic FROM v)) WHERE r <= 20),
-f AS (SELECT v.* FROM v JOIN place USING (doc)),
-s AS (SELECT x.doc AS x, y.doc AS y, x.topic AS a, y.topic AS b, round(sum(x.w * y.w), 6) AS s FROM f x JOIN f y ON x.term = y.term AND x.topic < y.topic GROUP BY ALL),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY s DESC, least(x, y), greatest(x, y)) AS r FROM s) WHERE r <= 5),
-n AS (SELECT topic, count(*) AS n FROM place GROUP BY topic)
-SELECT a, b, round(sum(s) / least(5, any_value(na.n * nb.n)), 6) AS closest FROM t JOIN n na ON na.topic = a JOIN n nb ON nb.topic = b GROUP BY a, b""",
+    "topic_centroid_cosine": f"WITH {_TOPICS}, {CENTRES_SQL} SELECT a, b, round(cosine, 6) AS cosine FROM cc",
+    "topic_closest_texts": f"WITH {_TOPICS}, {CLOSEST_SQL} SELECT a, b, round(closest, 6) AS closest FROM ct",
+    "usable_counts": f"WITH {topics_sql(least=1)} SELECT topic, count(*) AS usable FROM rows1 GROUP BY topic",
     "search_papers": f"WITH {_SEARCHED}, h AS (SELECT doc AS work, round(sum(w * q), 6) AS score FROM v JOIN q USING (term) GROUP BY doc) SELECT * FROM h WHERE score > 0 ORDER BY score DESC, work LIMIT 30",
     "field_distance": f"WITH {field_vectors_sql()} SELECT * FROM fd",
     "avoided_words": f"""WITH t AS (SELECT work, list_sort(list_distinct({Q.terms('min(title)')})) AS avoid FROM abstracts WHERE title IS NOT NULL AND work IS NOT NULL GROUP BY work),

@@ -10,33 +10,31 @@ from tests.world import AFTER, record, records_frame, topics_frame
 @pytest.fixture(scope="module")
 def pairs(spark):
     outcome = spark.createDataFrame(AFTER, "cited string, citing string, n bigint")
-    rules = G.PairRules(most_prior=1, least_after=3)
+    rules = G.PairRules(most_prior=2, least_after=4)
     return {(r["a"], r["b"]): r for r in G.pair_table(topics_frame(spark), records_frame(spark), rules, outcome).collect()}
 
 
 def test_eligibility(pairs):
     assert all(a in "T1 T2 T3" and b in "T4 T5 T6" for a, b in pairs)
-    assert ("T1", "T6") not in pairs  # four links before the window
-    assert pairs["T2", "T6"]["prior"] == 1 and len(pairs) == 8
+    assert not {("T1", "T4"), ("T3", "T5")} & set(pairs)  # nine links before the window, seven in it
+    assert pairs["T2", "T5"]["prior"] == 2 and len(pairs) == 7
 
 
 def test_labels_and_directions(pairs):
-    assert (pairs["T1", "T4"]["label"], pairs["T1", "T4"]["ab"], pairs["T1", "T4"]["ba"]) == (1, 0, 5)
-    assert (pairs["T2", "T5"]["label"], pairs["T2", "T5"]["ab"], pairs["T2", "T5"]["ba"]) == (1, 2, 2)
-    assert (pairs["T2", "T6"]["label"], pairs["T2", "T6"]["ab"], pairs["T2", "T6"]["ba"]) == (0, 0, 0)
+    said = {p: (pairs[p]["label"], pairs[p]["ab"], pairs[p]["ba"]) for p in (("T3", "T6"), ("T1", "T5"), ("T2", "T6"))}
+    assert said == {("T3", "T6"): (1, 1, 4), ("T1", "T5"): (0, 0, 3), ("T2", "T6"): (0, 0, 0)}
 
 
 def test_features(pairs):
-    p = pairs["T1", "T4"]
-    assert p["growth_hi"] == p["growth_lo"] == 0  # flat output
-    assert p["log_size_hi"] == pytest.approx(math.log1p(800))
-    assert p["log_common"] == pytest.approx(math.log1p(1)) and pairs["T3", "T6"]["log_common"] == 0
-    # T1 is cited by T2 (3) and T9 (5), T4 by T9 (4); itself by itself ten thousand times, which doesn't count
-    assert p["cocite_cosine"] == pytest.approx(5 * 4 / (math.sqrt(34) * 4))
-    assert p["jaccard"] == pytest.approx(1 / 2)
-    assert p["adamic_adar"] == pytest.approx(1 / math.log(3))
-    # T4 cites T2 in the window, T2 cites T1: T4 -> T2 -> T1 is a path between them
-    assert p["log_two_hop"] == pytest.approx(math.log1p(1))
+    p = pairs["T2", "T5"]
+    assert p["growth_hi"] == p["growth_lo"] == pytest.approx(math.log(381 / 221))
+    assert p["log_size_hi"] == pytest.approx(math.log1p(600))
+    assert p["log_common"] == pytest.approx(math.log(2)) and pairs["T1", "T6"]["log_common"] == 0
+    # T2 is cited by T5 (2) and T8 (6), T5 by T8 (1) and T3 (7); T2's citations of itself don't count
+    assert p["cocite_cosine"] == pytest.approx(6 / math.sqrt(40 * 50))
+    assert p["jaccard"] == pytest.approx(1 / 3) and p["adamic_adar"] == pytest.approx(1 / math.log(3))
+    # T6 cites T3, and T3 cites T1
+    assert pairs["T1", "T6"]["log_two_hop"] == pytest.approx(math.log(2)) and p["log_two_hop"] == 0
 
 
 def test_no_outcome_no_label(spark):
@@ -62,9 +60,9 @@ def test_current_records_and_refusal(spark):
 
 
 def test_reference_papers(spark):
-    rows = [("T", "most now", 300, 10), ("T", "older", 290, 280), ("T", "nothing before", 200, 0), ("T", "few", 1, 1)]
+    rows = [("T", "new", 95, 4), ("T", "old", 80, 61), ("T", "later", 70, 0), ("T", "rare", 2, 2)]
     got = G.reference_papers(spark.createDataFrame(rows, "topic string, reference string, now bigint, asof bigint"), 3, 3)
-    assert [(r["pos"], r["reference"]) for r in got.orderBy("pos").collect()] == [(1, "older"), (2, "most now")]
+    assert [(r["pos"], r["reference"]) for r in got.orderBy("pos").collect()] == [(1, "old"), (2, "new")]
 
 
 def test_citing_works_count_once(spark):
@@ -92,3 +90,24 @@ def test_seeded_sample(spark):
 def test_empty_tables(spark):
     assert G.pair_table(topics_frame(spark).limit(0), records_frame(spark), G.PairRules()).count() == 0
     assert G.pair_table(topics_frame(spark), records_frame(spark).limit(0), G.PairRules()).count() == 0
+
+
+def test_texts_counts_and_indicators(spark):
+    topics = spark.createDataFrame([(1, "T1", "Health Sciences"), (2, "T2", "Social Sciences"), (3, "T3", "Life Sciences")], "pos int, id string, domain string")
+    records = spark.createDataFrame([record("T1", usable_abstracts=20), record("T2", usable_abstracts=6), record("T3", usable_abstracts=None)], readers.RECORD + ", record string")
+    near = spark.createDataFrame([("T2", "T1", 0.25, 0.5)], "a string, b string, centroid_cos double, top_pairs_cos double")
+    got = {(r["a"], r["b"]): r for r in G.pair_table(topics, records, G.PairRules(most_prior=10**9), content=near).collect()}
+    p = got["T1", "T2"]
+    assert (p["centroid_cos"], p["top_pairs_cos"], got["T1", "T3"]["centroid_cos"]) == (0.25, 0.5, 0)
+    assert p["log_usable_hi"] == pytest.approx(math.log(20)) and p["log_usable_lo"] == pytest.approx(math.log(6))
+    assert [n for n in G.INDICATORS.values() if p[n]] == ["dp_health_social"] and not any(got["T1", "T3"][n] for n in G.INDICATORS.values())
+    assert {n for n in G.FEATURES} <= set(p.asDict()) and len(G.FEATURES) == 24 and [len(v) for v in G.FEATURE_SETS.values()] == [11, 22, 13, 24]
+    assert set(G.pair_table(topics, records, G.PairRules(most_prior=10**9, least_usable=5)).select("a", "b").toPandas().itertuples(index=False, name=None)) == {("T1", "T2")}
+
+
+def test_hub_citers_give_the_same(spark, monkeypatch):
+    near = spark.createDataFrame([(f"T{i}", f"c{j}", i + j) for i in range(9) for j in range(3) if (i + j) % 4], "topic string, citer string, n bigint")
+    ends = spark.createDataFrame([(f"T{i}", i, "AB"[i % 2]) for i in range(9)], "id string, pos int, domain string")
+    plain = sorted(map(tuple, G.common_neighbours(near, ends).collect()))
+    monkeypatch.setattr(G, "HUB", 2)
+    assert sorted((r["a"], r["b"], r["common"], pytest.approx(r["adamic_adar"]), r["dot"]) for r in G.common_neighbours(near, ends).collect()) == plain and len(plain) > 10

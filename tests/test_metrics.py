@@ -86,7 +86,7 @@ def test_fit_is_the_optimum_and_agrees_with_mllib(spark):
     df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)], "a double, b double, c double, label int")
     d = stats.fit_distributed(df, ["a", "b", "c"], "label")
     assert d.coef == pytest.approx(m.coef, abs=1e-4) and d.intercept == pytest.approx(m.intercept, abs=1e-4)
-    col = M.logit_score(df, dict(zip("abc", m.mean)), dict(zip("abc", m.scale)), dict(zip("abc", m.coef)), m.intercept)
+    col = M.logit_score(dict(zip("abc", m.mean)), dict(zip("abc", m.scale)), dict(zip("abc", m.coef)), m.intercept)
     assert [r["s"] for r in df.select(col.alias("s")).limit(5).collect()] == pytest.approx(m.score(x)[:5])
     with pytest.raises(ValueError):
         stats.fit(x, np.zeros(len(y)), ["a", "b", "c"])
@@ -114,4 +114,4 @@ def test_bootstrap(spark):
     ci = {r["model"]: r for r in stats.intervals(draws).collect()}
     assert ci["good"]["median"] > ci["poor"]["median"] and all(c["low"] <= c["median"] <= c["high"] for c in ci.values())
     assert stats.bootstrap(spark, df.assign(label=0), df, topics, sets, 2).filter("ap is null").count() == 4
-    assert [stats.decision(*c, 0.01) for c in ((0.1, 0.2), (-0.1, 0.001), (-0.1, 0.1), (None, 0.1))] == ["supported", "not supported", "inconclusive", "incomplete"]
+    assert [stats.decision(*c, 0.01) for c in ((0.1, 0.2), (-0.1, 0.001), (-0.1, 0.1), (None, 0.1))] == ["supported", "negative", "inconclusive", "incomplete"]
