@@ -95,16 +95,13 @@ def _spread(slim: DataFrame, hot: list, n: int) -> DataFrame:
 def first_items(found: Column, n: int) -> Column:
     """Of an array of struct(v, item): what may be among the n different items of highest v, ties to the smaller item.
 
-    Sorted within the row, cut to the first 4n and freed of repeated items, that is n at most where the
-    first 4n hold so many or are all there are; else the whole array is kept. Null and NaN values and
-    null items are left out.
+    Sorted within the row and cut to the first n, if these are different items; else the whole array is
+    kept. Null and NaN values and null items are left out.
     """
     usable = F.filter(found, lambda x: x.item.isNotNull() & x.v.isNotNull() & ~F.isnan(x.v))
-    ordered = F.array_sort(F.transform(usable, lambda x: F.struct((-x.v).alias("low"), x.item.alias("item"), x.v.alias("v"))))
-    few = F.slice(ordered, 1, 4 * n)
-    items = F.transform(few, lambda x: x.item)
-    once = F.filter(few, lambda x, i: F.array_position(items, x.item) == i + 1)
-    return F.when((F.size(once) >= n) | (F.size(ordered) <= 4 * n), F.slice(once, 1, n)).otherwise(ordered)
+    ordered = F.array_sort(F.transform(usable, lambda x: F.struct((-x.v).alias("low"), x.item.alias("item"))))
+    few = F.slice(ordered, 1, n)
+    return F.when(F.size(F.array_distinct(few.getField("item"))) == F.size(few), few).otherwise(ordered)
 
 
 def best_neighbours_and_references(neighbours: DataFrame, records: DataFrame, k_neighbours: int = 5, k_references: int = 10) -> DataFrame:
@@ -124,7 +121,7 @@ def best_neighbours_and_references(neighbours: DataFrame, records: DataFrame, k_
     zipped = F.arrays_zip(F.col("instrument").alias("item"), F.col("instrument_cites").alias("v"))
     cited = F.transform(zipped, lambda x: F.struct(x.v.cast("double").alias("v"), x.item.alias("item")))
     refs = records.select(F.lit("instrument").alias("scope"), F.concat(F.col("topic"), F.lit(":"), F.col("freeze")).alias("group_key"), F.explode(first_items(cited, k_references)).alias("c"))
-    near, refs = (df.select("scope", "group_key", "c.item", F.col("c.v").alias("value")) for df in (near, refs))
+    near, refs = (df.select("scope", "group_key", "c.item", (-F.col("c.low")).alias("value")) for df in (near, refs))
     most = max(k_neighbours, k_references)
     best = top_n(near.unionByName(refs), ["scope", "group_key"], "item", "value", most, hot)
     within = F.when(F.col("scope") == "neighbours", k_neighbours).otherwise(k_references)

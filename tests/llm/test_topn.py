@@ -59,7 +59,7 @@ def test_lists_cut_within_their_row_keep_what_counts(spark):
     rnd = random.Random(8)
     lists = [[(rnd.choice([None, float("nan"), 0.5, 0.25, rnd.random()]), rnd.choice([None, *[f"i{j}" for j in range(rnd.choice([3, 30]))]])) for _ in range(rnd.choice([0, 3, 12, 200]))] for _ in range(150)]
     df = spark.createDataFrame([(f"g{i % 40}", x) for i, x in enumerate(lists)], "g string, x array<struct<v:double,item:string>>")
-    cut = df.select("g", F.explode(topn.first_items(F.col("x"), 5)).alias("c")).select("g", "c.item", F.col("c.v").alias("v"))
+    cut = df.select("g", F.explode(topn.first_items(F.col("x"), 5)).alias("c")).select("g", "c.item", (-F.col("c.low")).alias("v"))
     got = {(r["g"], r["pos"], r["item"], r["value"]) for r in topn.top_n(cut, ["g"], "item", "v", 5).collect()}
     assert got == brute([(f"g{i % 40}", item, v) for i, x in enumerate(lists) for v, item in x], 5)
     assert cut.count() < sum(len(x) for x in lists) / 2
