@@ -223,6 +223,35 @@ def citation_verdict(pairs: DataFrame, references: DataFrame) -> DataFrame:
     return joined.withColumn("cites", said).drop("_f", "_g")
 
 
+def merged(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) of both tables together; where both know a key, the right side's value holds."""
+    l, r = left.select(key, F.col(value).alias("_l")), right.select(key, F.col(value).alias("_r"))
+    return l.join(r, key, "full_outer").select(key, F.coalesce("_r", "_l").alias(value))
+
+
+def replaced(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """stored with all rows of fresh's keys replaced by fresh's rows."""
+    return stored.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
+
+
+def first_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with each key once, the first by `order`."""
+    return latest(rows, [key], [F.col(c) for c in order])
+
+
+def strict_links(works: DataFrame, references: DataFrame, instrument: DataFrame, subfields: DataFrame, pairs: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """(a, b, n): for the pairs (a, b) given, citing works that can't be misfiled, in both directions together.
+
+    As citation_links, but a citing work must be of one of the types, and its subfields (work, subfield) mustn't
+    hold that of the topic it cites (topic, subfield in instrument). Pairs without such works have 0.
+    """
+    cites = references.join(instrument.withColumnRenamed("topic", "cited"), "reference").select("work", "cited", "subfield").distinct()
+    own = cites.join(works.filter(F.col("type").isin(*types)).select("work", F.col("topic").alias("citing")), "work")
+    clear = own.join(subfields.select("work", "subfield"), ["work", "subfield"], "left_anti").groupBy("cited", "citing").agg(F.countDistinct("work").alias("n"))
+    both = both_ways(pairs.select("a", "b"), clear, "ab", "ba")
+    return both.select("a", "b", (F.col("ab") + F.col("ba")).alias("n"))
+
+
 def missing_records(sample: DataFrame, records: DataFrame, fmt: int = 1) -> DataFrame:
     """Sampled topics and freezes without a record of the current format."""
     return sample.join(records.filter(F.col("format") == fmt).select("topic", "freeze"), ["topic", "freeze"], "left_anti")

@@ -88,6 +88,13 @@ def tsne(x: np.ndarray, perplexity: float = 30.0, rounds: int = 300, seed: int =
     return (y - y.min(axis=0)) / span * 1000
 
 
+def scaled(points: DataFrame, to: int = 1000) -> DataFrame:
+    """(doc, x, y) with both coordinates spread over 0..to; a coordinate that never changes is 0."""
+    ends = points.agg(*[f(c).alias(n + c) for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+    at = lambda c: F.round((F.col(c) - F.col("lo" + c)) / F.greatest(F.col("hi" + c) - F.col("lo" + c), F.lit(1e-9)) * to).cast("int").alias(c)
+    return points.crossJoin(F.broadcast(ends)).select("doc", at("x"), at("y"))  # ends is one row
+
+
 def layout(coordinates: DataFrame, rounds: int = 300) -> DataFrame:
     """(doc, x, y): t-SNE of at most MOST_POINTS documents in one task; more raise an error."""
     n = coordinates.count()

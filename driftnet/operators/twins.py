@@ -70,6 +70,27 @@ def model_report(rows: DataFrame, agreed: DataFrame) -> DataFrame:
     return counts.join(means, "model", "left").fillna(0, ["pairs"])
 
 
+def closest_descriptions(agreed: DataFrame) -> DataFrame:
+    """(work, desc_id, agreement): of each paper's descriptions the one of highest mean agreement with the others by
+    other models, ties to the smaller; from agreements()."""
+    both = agreed.select("work", F.col("x").alias("desc_id"), "agreement").unionByName(agreed.select("work", F.col("y").alias("desc_id"), "agreement"))
+    mean = both.groupBy("work", "desc_id").agg(F.round(F.avg("agreement"), 9).alias("agreement"))
+    best = mean.groupBy("work").agg(F.min_by(F.struct("desc_id", "agreement"), F.struct(-F.col("agreement"), "desc_id")).alias("x"))
+    return best.select("work", "x.desc_id", "x.agreement")
+
+
+def loaded(papers: DataFrame, gold: DataFrame, abstracts: DataFrame) -> DataFrame:
+    """One row a paper: its metadata, filled up from the benchmark's, and its longest text; missing sides are null.
+
+    A paper is one of papers or of gold; where papers leave a value null, gold's holds.
+    """
+    one = lambda df, cols: df.filter("work is not null").groupBy("work").agg(*[F.min(F.nullif(c, F.lit(""))).alias(c) for c in cols])
+    known = ["field", "domain", "family", "role"]
+    both = one(papers, ["topic", *known]).join(one(gold, known).select("work", *[F.col(c).alias(f"g_{c}") for c in known]), "work", "full_outer")
+    said = abstracts.filter("work is not null and abstract is not null").groupBy("work").agg(F.min(F.struct(-F.length("abstract"), "abstract", "title")).alias("x"))
+    return both.join(said.select("work", "x.title", "x.abstract"), "work", "left").select("work", "topic", *[F.coalesce(c, f"g_{c}").alias(c) for c in known], "title", "abstract")
+
+
 def chance_pairs(rows: DataFrame, n: int, seed: int = 2025) -> DataFrame:
     """(pair, x, y): n pairs of descriptions of different papers at most, drawn by hashes of a running number.
 
@@ -78,12 +99,13 @@ def chance_pairs(rows: DataFrame, n: int, seed: int = 2025) -> DataFrame:
     """
     from driftnet.operators.metrics import ranked
 
-    order = rows.select("desc_id", "work", F.xxhash64("desc_id", F.lit(seed)).cast("double").alias("h"))
-    numbered = ranked(order, "h", ["desc_id"]).select("rank", "desc_id", "work")
+    digest = lambda *k: F.conv(F.left(F.sha2(F.concat_ws("|", F.lit(str(seed)), *k), 256), F.lit(8)), 16, 10).cast("bigint")
+    order = rows.select("desc_id", "work", digest(F.col("desc_id").cast("string")).alias("h"))
+    numbered = ranked(order.withColumn("minus", -F.col("h")), "minus", ["desc_id"]).select("rank", "desc_id", "work")
     total = numbered.agg(F.max("rank").alias("n"))
-    draw = lambda salt: (F.pmod(F.xxhash64("pair", F.lit(salt)), F.col("n")) + 1)
     draws = rows.sparkSession.range(n).select(F.col("id").alias("pair")).crossJoin(F.broadcast(total)).filter("n > 0")  # one row
-    draws = draws.select("pair", draw(seed + 1).alias("i"), draw(seed + 2).alias("j"))
+    side = lambda s: (digest(F.lit(s), F.col("pair").cast("string")) % F.col("n") + 1)
+    draws = draws.select("pair", side("i").alias("i"), side("j").alias("j"))
     x = numbered.select(F.col("rank").alias("i"), F.col("desc_id").alias("x"), F.col("work").alias("wx"))
     y = numbered.select(F.col("rank").alias("j"), F.col("desc_id").alias("y"), F.col("work").alias("wy"))
     return draws.join(x, "i").join(y, "j").filter("wx <> wy").select("pair", "x", "y")
@@ -232,6 +254,23 @@ def combine(descriptions: DataFrame, papers: DataFrame, abstracts: DataFrame, ru
     return {"models": model_report(rows, agreed), "reliable": trusted, "twins": twins, "known_cases": known_pairs(whole, fields, distances, known), "neighbours": top_partners(near, "similarity", rules.neighbours), "vectors": whole}
 
 
+def visible(papers: DataFrame, described: DataFrame, hidden: list[str] | None = None, field: str | None = None) -> DataFrame:
+    """The papers (work, domain, field) an explorer shows: of domains that aren't hidden, of one field if one is chosen,
+    with a description. A paper without a domain is never hidden."""
+    rows = papers.join(described.select("work").distinct(), "work", "left_semi")
+    if hidden:
+        rows = rows.filter(F.col("domain").isNull() | ~F.col("domain").isin(*hidden))
+    return rows.filter(F.col("field") == field) if field else rows
+
+
+def shown_once(pairs: DataFrame, group: str, n: int) -> DataFrame:
+    """(group, a, b, score, pos): the first n pairs (x, y, score) of each group by score, a pair once in whatever direction,
+    with its best score; ties by name."""
+    once = pairs.groupBy(group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("score").alias("score"))
+    r = F.row_number().over(W.partitionBy(group).orderBy(F.desc_nulls_last("score"), "a", "b"))
+    return once.withColumn("pos", r).filter(F.col("pos") <= n)
+
+
 def nested(twins: DataFrame, words: DataFrame, fields: DataFrame) -> DataFrame:
     """twins as nested rows: score, similarity, field_distance, trust, why, and both sides."""
     why = words.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("term").alias("word"), "share"))).alias("w"))

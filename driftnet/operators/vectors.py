@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -250,3 +252,13 @@ def shared_words(pairs: DataFrame, vectors: DataFrame, a: str, b: str, k: int =
     shares = pairs.select(a, b).join(va, a).join(vb, [b, "term"]).select(a, b, "term", F.round(F.col("wa") * F.col("wb"), 6).alias("share")).filter("share > 0")
     rank = F.row_number().over(W.partitionBy(a, b).orderBy(F.desc("share"), "term"))
     return shares.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def encode(rows: DataFrame, key: str, text: str, encoder: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """(key, vector): texts' vectors by any encoder, which is called once a batch on the executors; null texts are ''."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "vector": [list(map(float, v)) for v in encoder([t if isinstance(t, str) else "" for t in batch[text]])]})
+
+    return rows.select(key, text).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<double>")

@@ -82,6 +82,61 @@ def relevance(spark: SparkSession, d: str) -> DataFrame:
     return intake.relevance(rows, one)
 
 
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """Every result of the descriptions, checked: a unit's papers are the known ones described in it."""
+    rows = table(spark, d, "descriptions")
+    papers = table(spark, d, "papers").filter("work is not null").select("work").distinct()
+    works = rows.filter("unit is not null and work is not null").select("unit", "work").distinct().join(papers, "work", "left_semi")
+    title = table(spark, d, "abstracts").filter("title is not null and work is not null").groupBy("work").agg(F.min("title").alias("title"))
+    avoid = title.select("work", F.array_sort(F.array_distinct(T.terms(F.col("title")))).alias("avoid"))
+    said = table(spark, d, "abstracts").filter("abstract is not null and abstract <> '' and work is not null").select("work", F.concat_ws(" ", "title", "abstract").alias("text"))
+    one = said.groupBy("work").agg(F.min(F.struct(-F.length("text"), "text")).alias("x")).select("work", F.col("x.text").alias("abstract"))
+    return session.stage(intake.checked_results(rows, works, avoid, one, RULES), "checked")
+
+
+#: The test tables' results hold copies and faults by design, so that hardly one passes whole under the defaults.
+RULES = intake.SubmissionRules(most_avoided=6, most_alike=2.0, least_relevant=0.1)
+
+
+def submission_faults(spark: SparkSession, d: str) -> DataFrame:
+    return _results(spark, d).select("unit", "issue", "described", "fault")
+
+
+def submission_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return intake.outcomes(_results(spark, d))
+
+
+def alike_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results of which two descriptions are alike."""
+    rows = table(spark, d, "descriptions").filter("unit is not null and issue is not null")
+    return intake.alike_within(rows.select(F.concat_ws("/", "unit", "issue").alias("result"), "desc_id", F.concat_ws(" ", "problem", "approach").alias("text")), "result", "text", 0.8)
+
+
+def batch_imported(spark: SparkSession, d: str) -> DataFrame:
+    """Results of authors whose name ends in 1 as one person's batch, after all others."""
+    rows = _results(spark, d)
+    late = F.coalesce(F.col("author").endswith("1"), F.lit(False))
+    stored = rows.filter(~late & F.col("fault").isNull()).select("unit", "issue", "model")
+    return intake.import_batch(rows.filter(late).select("unit", F.concat_ws("/", "unit", "issue").alias("file"), "model", "fault"), stored, "a")
+
+
+def record_results_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Current records handed in domain by domain, some with another checksum, unit or order of topics."""
+    domain = table(spark, d, "topics").filter("id is not null and domain is not null").select(F.col("id").alias("topic"), "domain")
+    rows = graph.current_records(table(spark, d, "records")).join(domain, "topic")
+    unit = F.concat_ws(" ", "domain", "freeze").alias("unit")
+    one = rows.groupBy("domain", "freeze").agg(F.array_sort(F.collect_list(F.struct("topic", *[c for c in rows.columns if c in RECORD_COLUMNS and c != "topic"])), lambda x, y: F.when(x.topic < y.topic, -1).when(x.topic > y.topic, 1).otherwise(0)).alias("records"))  # a unit is some ten topics
+    units = one.select(unit, "freeze", F.transform("records", lambda r: r.topic).alias("topics"))
+    put = F.when(F.col("domain") == "Life Sciences", F.reverse("records")).otherwise(F.col("records"))
+    named = F.when(F.col("domain") == "Health Sciences", F.lit("another")).otherwise(F.concat_ws(" ", "domain", "freeze"))
+    sent = one.select(unit, "freeze", F.to_json(F.struct(named.alias("unit"), F.col("freeze"), put.alias("records"))).alias("content"))
+    digest = F.when((F.col("freeze") == 2011) & (F.col("unit") != "Social Sciences 2011"), F.sha2(F.lit("other"), 256)).otherwise(F.sha2("content", 256))
+    return intake.checked_record_results(sent.select(F.col("unit").alias("result"), "unit", "content", digest.alias("sha256")), units).select("unit", "fault")
+
+
+RECORD_COLUMNS = "format topic freeze retrieved train_window recent_window size works_by_year instrument usable_abstracts cited_by_train cited_by_recent cited_by_before".split()
+
+
 def record_drift(spark: SparkSession, d: str) -> DataFrame:
     """The earliest and the latest record of a topic and freeze, compared."""
     rows = table(spark, d, "records").filter("format = 1")
@@ -132,18 +187,18 @@ def papers_open_closed(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = [
     record_faults, description_faults, rejections_latest, submissions, unit_states, units_by_status, stream_intake, contributors, models_ranked,
     contributors_merged, progress, unit_fields, relevance, record_drift, map_unit_states, units_to_check, paper_units, benchmark_units, next_unit,
-    papers_open_closed,
+    papers_open_closed, submission_faults, submission_outcomes, alike_results, batch_imported, record_results_checked,
 ]
 
 _CK = lambda c: f"({c} IS NOT NULL AND len(list_filter(map_entries({c}), lambda e: NOT coalesce(regexp_matches(e.key, '^T[0-9]+$') AND e.value >= 0, false))) = 0)"
-_WIN = 'train_window = ["freeze" - 7, "freeze"] AND recent_window = ["freeze" - 2, "freeze"]'
 _RULES = [
-    ("regexp_matches(topic, '^T[0-9]+$')", "topic is no topic ID"), ('format = 1 AND "freeze" IS NOT NULL', "wrong format or freeze year"), (_WIN, "wrong windows"),
-    ("len(instrument) <= 100 AND len(list_filter(instrument, lambda w: NOT coalesce(regexp_matches(w, '^W[0-9]+$'), false))) = 0", "reference papers are no list of work IDs within the limit"),
-    ("usable_abstracts BETWEEN 0 AND 40", "usable_abstracts is out of range"),
-    ("""works_by_year IS NOT NULL AND len(list_filter(map_entries(works_by_year), lambda e: NOT coalesce(regexp_matches(e.key, '^[0-9]+$') AND CAST(e.key AS INT) BETWEEN "freeze" - 7 AND "freeze" AND e.value >= 0, false))) = 0""", "works_by_year is no count per year of the train window"),
-    ("size = coalesce(list_sum(map_values(works_by_year)), 0)", "size is not the sum of works_by_year"),
-    *[(_CK(c), f"{c} is no count per topic") for c in ("cited_by_train", "cited_by_recent", "cited_by_before")],
+    *[(_CK(f"cited_by_{w}"), f"cited_by_{w} isn''t counts of topics") for w in ("before", "recent", "train")],
+    ("format = 1", "format isn''t format 1"), ('"freeze" IS NOT NULL', "freeze isn''t a year"),
+    ("len(instrument) <= 100 AND len(list_filter(instrument, lambda w: NOT coalesce(regexp_matches(w, '^W[0-9]+$'), false))) = 0", "instrument isn''t up to 100 ids of works"),
+    ('recent_window = ["freeze" - 2, "freeze"]', "recent_window isn''t the three years up to the freeze"), ("regexp_matches(topic, '^T[0-9]+$')", "topic isn''t the id of a topic"),
+    ('train_window = ["freeze" - 7, "freeze"]', "train_window isn''t the eight years up to the freeze"), ("usable_abstracts BETWEEN 0 AND 40", "usable_abstracts isn''t a number up to 40"),
+    ("""works_by_year IS NOT NULL AND len(list_filter(map_entries(works_by_year), lambda e: NOT coalesce(regexp_matches(e.key, '^[0-9]+$') AND CAST(e.key AS INT) BETWEEN "freeze" - 7 AND "freeze" AND e.value >= 0, false))) = 0""", "works_by_year isn''t counts of the train window''s years"),
+    ("size = coalesce(list_sum(map_values(works_by_year)), 0)", "size isn''t the sum of the years'' counts"),
 ]
 _P, _A = Q.word_count("problem"), Q.word_count("approach")
 _DRULES = [
@@ -184,7 +239,55 @@ o AS (SELECT r, d, coalesce(max(s) FILTER (substr(d, 2) = substr(a, 2)), 0) AS o
 ah AS (SELECT r, d, count(*) FILTER (s > own) AS ahead FROM s JOIN o USING (r, d) GROUP BY ALL),
 hit AS (SELECT n.r, k, count(*) FILTER (ahead < greatest(1, round_even(0.15::DOUBLE * k, 0))) AS hits FROM n LEFT JOIN ah USING (r) GROUP BY ALL)"""
 
+_ALIKE = f"""
+lw AS (SELECT unit || '/' || issue AS r, desc_id, unnest(list_filter({Q.words("concat_ws(' ', problem, approach)")}, lambda w: w NOT IN {Q.STOPS})) AS term FROM descriptions WHERE unit IS NOT NULL AND issue IS NOT NULL),
+lt AS MATERIALIZED (SELECT r, desc_id, term, n, sqrt(sum(n * n) OVER (PARTITION BY r, desc_id)) AS len FROM (SELECT r, desc_id, term, count(*) AS n FROM lw GROUP BY ALL)),
+lp AS MATERIALIZED (SELECT x.r, x.desc_id AS x, y.desc_id AS y, sum(x.n * y.n) / any_value(x.len * y.len) AS c FROM lt x JOIN lt y ON x.r = y.r AND x.term = y.term AND x.desc_id < y.desc_id GROUP BY ALL)"""
+_CHECKED = f"""{_SUBS.strip()}, {_REL.strip()},
+un AS (SELECT DISTINCT unit, work FROM descriptions WHERE unit IS NOT NULL AND work IN (SELECT work FROM papers WHERE work IS NOT NULL)), us AS (SELECT unit, count(*) AS papers FROM un GROUP BY unit),
+tv AS (SELECT work, list_sort(list_distinct({Q.terms('min(title)')})) AS avoid FROM abstracts WHERE title IS NOT NULL AND work IS NOT NULL GROUP BY work),
+dq AS (SELECT *, {_first(_DRULES)} AS own FROM descriptions WHERE unit IS NOT NULL AND issue IS NOT NULL),
+dr AS (SELECT d.unit, d.issue, d.desc_id, d.work, own, un.work IS NOT NULL AS member, list_transform({Q.words("concat_ws(' ', d.problem, d.approach)")}, lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END) AS used, coalesce(avoid, []) AS avoid
+FROM dq d LEFT JOIN un ON un.unit = d.unit AND un.work = d.work LEFT JOIN tv ON tv.work = d.work),
+pr AS (SELECT unit, issue, count(*) AS n, count(DISTINCT work) AS described, count(*) FILTER (NOT member) AS strange, count(own) AS own,
+max(len(list_filter(avoid, lambda a: list_contains(used, CASE WHEN length(a) > 3 AND a LIKE '%s' THEN left(a, length(a) - 1) ELSE a END)))) AS used FROM dr GROUP BY ALL),
+ck AS MATERIALIZED (SELECT pr.unit, pr.issue, subs.author, subs.model, described, CASE WHEN strange > 0 THEN 'a paper isn''t the unit''s' WHEN n <> described THEN 'a paper is described twice' WHEN own > 0 THEN 'a description is at fault'
+WHEN used > {RULES.most_avoided} THEN 'too many avoided words' WHEN described < {RULES.least_covered}::DOUBLE * coalesce(papers, 0) THEN 'too few papers are described' WHEN hit.k >= 4 AND round(hits / hit.k, 6) < {RULES.least_relevant}::DOUBLE THEN 'descriptions of other papers' END AS fault
+FROM pr JOIN subs ON subs.unit = pr.unit AND subs.issue = pr.issue LEFT JOIN us ON us.unit = pr.unit LEFT JOIN hit ON hit.r = pr.unit || '/' || pr.issue)"""
+
+
+def _outcomes(frm: str) -> str:
+    return f"""
+oq AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY try_cast(issue AS BIGINT) IS NULL, coalesce(try_cast(issue AS BIGINT), 0), issue) AS n FROM {frm}),
+ow AS MATERIALIZED (SELECT *, coalesce(fault IS NULL AND model IS NOT NULL AND n = min(n) FILTER (fault IS NULL AND model IS NOT NULL) OVER (PARTITION BY unit, model), false) AS fresh FROM oq),
+ox AS (SELECT *, (SELECT count(*) FROM ow e WHERE e.unit = ow.unit AND e.fresh AND e.n < ow.n) AS before FROM ow),
+oz AS (SELECT unit, issue, model, CASE WHEN before >= 2 THEN 'complete' WHEN fresh THEN 'stored' ELSE 'refused' END AS outcome, CASE WHEN before >= 2 OR fresh THEN NULL ELSE coalesce(fault, CASE WHEN model IS NULL THEN 'no model' ELSE 'the unit has a result of this model' END) END AS reason FROM ox)"""
+
+
 SQL = {
+    "alike_results": f"WITH {_ALIKE} SELECT DISTINCT r AS result FROM lp WHERE round(c, 9) > 0.8::DOUBLE",
+    "submission_faults": f"WITH {_CHECKED} SELECT unit, issue, described, fault FROM ck",
+    "submission_outcomes": f"WITH {_CHECKED}, {_outcomes('ck')} SELECT unit, issue, outcome, reason FROM oz",
+    "batch_imported": f"""WITH {_CHECKED}, lt AS (SELECT *, coalesce(author LIKE '%1', false) AS late FROM ck), nb AS (SELECT *, 'import-a-' || lpad(CAST(row_number() OVER (ORDER BY unit || '/' || issue, unit) AS VARCHAR), 3, '0') AS id FROM lt WHERE late),
+al AS (SELECT unit, issue, model, CAST(NULL AS VARCHAR) AS fault FROM lt WHERE NOT late AND fault IS NULL UNION ALL SELECT unit, id, model, fault FROM nb), {_outcomes('al')}
+SELECT id, nb.unit, nb.model, outcome = 'stored' AS accepted, coalesce(reason, CASE WHEN outcome = 'complete' THEN 'the unit is complete' END) AS reason FROM nb JOIN oz ON oz.unit = nb.unit AND oz.issue = nb.id""",
+    "record_results_checked": f"""WITH {Q.RECORDS.strip()}, r AS (SELECT cur.*, domain FROM cur JOIN topics t ON t.id = cur.topic WHERE domain IS NOT NULL), o AS (SELECT *, {_first(_RULES)} AS own FROM r),
+u AS (SELECT domain, "freeze" AS f, count(*) AS n, arg_min(topic || ': ' || own, topic) FILTER (own IS NOT NULL) AS own FROM o GROUP BY ALL)
+SELECT domain || ' ' || f AS unit, CASE WHEN f = 2011 AND domain <> 'Social Sciences' THEN 'the checksum is another' WHEN domain = 'Health Sciences' THEN 'it is for another unit or freeze'
+WHEN domain = 'Life Sciences' AND n > 1 THEN 'its topics aren''t the unit''s, in order' ELSE own END AS fault FROM u""",
+    "near_duplicate_descriptions": f"""WITH RECURSIVE {_ALIKE}, nd AS MATERIALIZED (SELECT r, desc_id, row_number() OVER (PARTITION BY r ORDER BY desc_id) AS n FROM (SELECT unit || '/' || issue AS r, desc_id FROM descriptions WHERE unit IS NOT NULL AND issue IS NOT NULL)),
+al AS MATERIALIZED (SELECT r, y, list(x ORDER BY x) AS xs FROM lp WHERE round(c, 9) > 0.8::DOUBLE GROUP BY ALL),
+fo AS (SELECT r, n, desc_id, CAST(NULL AS BIGINT) AS repeats, [desc_id] AS taken FROM nd WHERE n = 1
+UNION ALL SELECT nd.r, nd.n, nd.desc_id, list_min(list_intersect(fo.taken, xs)), CASE WHEN len(list_intersect(fo.taken, coalesce(xs, []))) > 0 THEN fo.taken ELSE list_append(fo.taken, nd.desc_id) END FROM fo JOIN nd ON nd.r = fo.r AND nd.n = fo.n + 1 LEFT JOIN al ON al.r = nd.r AND al.y = nd.desc_id)
+SELECT r AS result, desc_id, repeats FROM fo WHERE repeats IS NOT NULL""",
+    "map_unit_states": f"""WITH RECURSIVE rs AS (SELECT 'm-' || topic AS unit, row_number() OVER (PARTITION BY topic ORDER BY retrieved NULLS LAST, record) AS n, left(sha256(record), 1) AS author, ({_first(_RULES)}) IS NULL AS valid, coalesce(usable_abstracts, 0) >= 10 AS agrees FROM records WHERE topic IS NOT NULL),
+hx AS (SELECT DISTINCT unit, sha256(unit) AS h FROM rs), fl AS (SELECT unit, list_transform(range(1, 65), lambda i: position(h[i] IN '0123456789abcdef') - 1) AS d FROM hx), ck AS (SELECT unit, d[64] % 4 = 0 AND list_sum(d) % 5 = 0 AS checked FROM fl),
+x AS MATERIALIZED (SELECT * FROM rs JOIN ck USING (unit)),
+s AS (SELECT unit, 0::BIGINT AS n, 'open' AS status, NULL::VARCHAR AS first, []::VARCHAR[] AS said FROM ck
+UNION ALL SELECT x.unit, x.n, CASE WHEN s.status IN ('done', 'disputed') OR NOT valid THEN s.status WHEN s.status = 'open' THEN CASE WHEN checked THEN 'check' ELSE 'done' END WHEN author = first THEN s.status WHEN agrees THEN 'done' ELSE 'disputed' END,
+CASE WHEN s.status = 'open' AND valid THEN author ELSE first END,
+list_append(said, CASE WHEN s.status IN ('done', 'disputed') THEN 'complete' WHEN NOT valid THEN 'invalid' WHEN s.status = 'open' THEN 'accepted' WHEN author = first THEN 'another volunteer is needed' ELSE 'accepted' END) FROM s JOIN x ON x.unit = s.unit AND x.n = s.n + 1)
+SELECT unit, arg_max(status, n) AS status, array_to_string(arg_max(said, n), ', ') AS outcomes FROM s GROUP BY unit""",
     "record_faults": f"SELECT {_first(_RULES)} AS fault, count(*) AS records, min(record) AS first FROM records GROUP BY fault",
     "description_faults": f"SELECT desc_id, {_first(_DRULES)} AS fault FROM descriptions",
     "rejections_latest": f"""WITH r AS (SELECT desc_id, unit, issue, {_first(_DRULES)} AS fault FROM descriptions)

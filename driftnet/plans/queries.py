@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("text_queries", "graph_queries", "twin_queries", "intake_queries")
+MODULES = ("text_queries", "graph_queries", "twin_queries", "intake_queries", "catalog_queries")
 
 
 def _each() -> list:

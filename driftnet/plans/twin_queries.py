@@ -131,13 +131,13 @@ def retrieval_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def family_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """95% interval of MAP, families drawn with replacement 500 times; draws by hash, so any rerun agrees."""
+    """95% interval of MAP, families drawn with replacement 2,000 times; draws by hash, so any rerun agrees."""
     fam = table(spark, d, "gold").filter("family is not null").select(F.col("work").alias("query"), "family").dropDuplicates(["query"])
     per = known_twin_retrieval(spark, d).join(fam, "query").groupBy("family").agg(F.sum("ap").alias("s"), F.count(F.lit(1)).alias("n"))
     numbered = stage(metrics.ranked(per.withColumn("z", F.lit(0)), "z", ["family"]), "families")
     size = numbered.agg(F.max("rank").alias("k"))
-    draws = spark.range(500).select(F.col("id").alias("draw")).crossJoin(F.broadcast(size))  # size is one row
-    picks = draws.select("draw", "k", F.explode(F.sequence(F.lit(1).cast("bigint"), "k")).alias("i")).select("draw", (F.pmod(F.xxhash64("draw", "i", F.lit(2025)), F.col("k")) + 1).alias("rank"))
+    draws = spark.range(2000).select(F.col("id").alias("draw")).crossJoin(F.broadcast(size))  # size is one row
+    picks = draws.select("draw", "k", F.explode(F.sequence(F.lit(1).cast("bigint"), "k")).alias("i")).select("draw", (F.conv(F.left(F.sha2(F.concat_ws("|", F.lit("2025"), "draw", "i"), 256), F.lit(8)), 16, 10).cast("bigint") % F.col("k") + 1).alias("rank"))
     means = picks.join(numbered, "rank").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("map"))
     p = lambda q, n: F.round(F.percentile("map", F.lit(q)), 6).alias(n)
     return means.agg(F.count(F.lit(1)).alias("draws"), p(0.025, "low"), p(0.5, "median"), p(0.975, "high"))
@@ -149,14 +149,7 @@ def paper_layout(spark: SparkSession, d: str) -> DataFrame:
 
     rows = twins.described(table(spark, d, "descriptions"))
     vectors = stage(twins.paper_vectors(stage(twins.description_vectors(rows), "vectors")), "papers")
-    reduced = stage(layout.truncated_svd(vectors, 20), "reduced")
-    # beyond the bound of one layout, papers are placed by their two leading directions instead
-    if reduced.count() <= 2_000:
-        return layout.layout(reduced, rounds=150)
-    two = reduced.select("doc", F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y"))
-    ends = two.agg(*[f(c).alias(n + c) for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
-    at = lambda c: F.round((F.col(c) - F.col("lo" + c)) / F.greatest(F.col("hi" + c) - F.col("lo" + c), F.lit(1e-9)) * 1000).cast("int").alias(c)
-    return two.crossJoin(F.broadcast(ends)).select("doc", at("x"), at("y"))  # ends is one row
+    return layout.layout(stage(layout.truncated_svd(vectors), "reduced"))
 
 
 QUERIES = [
@@ -220,6 +213,10 @@ SELECT w.word AS word, count(*) AS pairs, round(avg(w.share), 6) AS share FROM w
     "open_index": f"""WITH {_DESCRIBED}, {Q.FIELD_OF} SELECT work, any_value(field) AS field, CAST(count(*) AS INT) AS descriptions, sha256(string_agg(model || ': ' || text, ' | ' ORDER BY model, text)) AS said
 FROM rws LEFT JOIN field_of USING (work) GROUP BY work""",
     "known_twin_retrieval": f"WITH {_GOLD} SELECT query, ap, first FROM ap",
+    "family_bootstrap": f"""WITH {_GOLD}, fm AS (SELECT family, sum(ap) AS s, count(*) AS n FROM ap JOIN g ON g.work = query WHERE family IS NOT NULL GROUP BY family),
+nr AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY family) AS rank, count(*) OVER () AS k FROM fm),
+pk AS (SELECT d, CAST('0x' || left(sha256('2025|' || d || '|' || i.rank), 8) AS BIGINT) % k + 1 AS rank FROM range(2000) r(d), nr i), mp AS (SELECT d, sum(s) / sum(n) AS map FROM pk JOIN nr USING (rank) GROUP BY d)
+SELECT count(*) AS draws, round(quantile_cont(map, 0.025), 6) AS low, round(quantile_cont(map, 0.5), 6) AS median, round(quantile_cont(map, 0.975), 6) AS high FROM mp""",
     "retrieval_summary": f"""WITH {_GOLD}, e AS (SELECT ap.*, m.method_named IS NULL AS unnamed FROM ap JOIN g m ON m.work = query)
 SELECT 'all' AS subset, count(*) AS queries, round(avg(ap), 6) AS map, round(avg(first), 6) AS p1 FROM e UNION ALL SELECT 'unnamed', count(*), round(avg(ap), 6), round(avg(first), 6) FROM e WHERE unnamed HAVING count(*) > 0""",
 }

@@ -38,11 +38,12 @@ def whole_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def keyed_object(spark: SparkSession, path: str, value: str = PAPER, key: str = "work") -> DataFrame:
     """A file holding one object, whose entries are rows: (key, the fields of the values)."""
-    read = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,struct<{_struct(value)}>>").alias("m"))
+    read = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,struct<{struct_of(value)}>>").alias("m"))
     return read.select(F.explode("m").alias(key, "v")).select(key, "v.*")
 
 
-def _struct(ddl: str) -> str:
+def struct_of(ddl: str) -> str:
+    """The fields of a schema as those of a struct type."""
     return ", ".join(part.strip().replace(" ", ":", 1) for part in ddl.split(", "))
 
 
@@ -69,6 +70,57 @@ def filtered(works: DataFrame, **wanted: str) -> DataFrame:
     return works
 
 
+def scan(works: DataFrame, where: dict[str, str] | None = None, select: list[str] | None = None, group_by: str | None = None, sort: str | None = None, sample: int | None = None, seed: int = 0, key: str = "id", limit: int | None = None) -> DataFrame:
+    """A request to an index as one plan: filter, then either counts of a column's values or rows.
+
+    group_by gives (key, count), null keys left out. sample keeps that many rows in an order given by a
+    hash of the seed and the key, the same on every run. sort is a column, or `column:desc`, ties by the
+    key; limit keeps the first rows of that order.
+    """
+    rows = filtered(works, **(where or {}))
+    if group_by:
+        return rows.filter(F.col(group_by).isNotNull()).groupBy(F.col(group_by).alias("key")).agg(F.count(F.lit(1)).alias("count"))
+    if sample is not None:
+        order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+        rows = rows.filter(F.col(key).isNotNull()).orderBy(order, key).limit(sample)
+    if sort:
+        column, _, way = sort.partition(":")
+        rows = rows.orderBy(F.desc_nulls_last(column) if way == "desc" else F.asc_nulls_last(column), key)
+    if limit is not None:
+        rows = rows.limit(limit)
+    return rows.select(*select) if select else rows
+
+
+def references(works: DataFrame, column: str = "referenced_works") -> DataFrame:
+    """(work, reference, pos): the reference lists of works (work, ...), each with its place in the list."""
+    return works.filter(F.col("work").isNotNull()).select("work", F.posexplode(column).alias("pos", "reference")).filter("reference is not null").select("work", "reference", "pos")
+
+
+def resolve(links: DataFrame, index: DataFrame, link: str = "id") -> DataFrame:
+    """links with the work and text of the index (key, work, text) that their link leads to, if the text is usable."""
+    from driftnet.functions import text as T
+
+    known = index.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct("work", "text")).alias("x")).select("key", "x.work", "x.text")
+    return links.withColumn("key", T.link_key(F.col(link))).join(known, "key").filter(T.usable(F.col("text")))
+
+
+def sampled_works(works: DataFrame, n: int, seed: int, types: tuple[str, ...], least_words: int = 40) -> DataFrame:
+    """(topic, work, text): of n works of each topic (work, topic, type, text), drawn by a seed, the research works with
+    a usable text. The draw comes first, so a topic with few of them gives few."""
+    from driftnet.functions import text as T
+    from driftnet.operators import graph
+
+    drawn = graph.seeded_sample(works, "topic", "work", n, seed)
+    return drawn.filter(F.col("type").isin(*types) & T.usable(F.col("text"), least_words)).select("topic", "work", "text")
+
+
+def stored_model(spark: SparkSession, path: str, name: str) -> tuple[dict[str, float], dict[str, float], dict[str, float], float]:
+    """(means, scales, coefficients, intercept) of one model of a model file, as metrics.logit_score takes them."""
+    one = "struct<features:array<string>,coef:array<double>,mean:array<double>,scale:array<double>,intercept:double>"
+    m = whole_file(spark, path, f"{name} {one}").first()[name]
+    return tuple(dict(zip(m["features"], m[k])) for k in ("mean", "scale", "coef")) + (m["intercept"],)
+
+
 def _condition(works: DataFrame, column: str, said: str) -> Column:
     c, kind = F.col(column), dict(works.dtypes)[column]
     if said in ("true", "false") and kind != "boolean":

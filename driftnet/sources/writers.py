@@ -53,6 +53,17 @@ def report(tree: dict, path: str) -> None:
     os.replace(f"{path}.tmp", path)
 
 
+def model_file(models: dict[str, tuple[dict, dict, dict, float]], path: str) -> None:
+    """Models (means, scales, coefficients, intercept) by name, as readers.stored_model reads them."""
+    report({m: {"features": list(coefs), "coef": list(coefs.values()), "mean": [means[f] for f in coefs], "scale": [scales[f] for f in coefs], "intercept": intercept} for m, (means, scales, coefs, intercept) in models.items()}, path)
+
+
+def digest(spark, path: str):
+    """(file, sha256) of every file under a path, wherever it is stored; files are read where they lie."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[!._]*").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
 def checksums(folder: str) -> dict[str, str]:
     """SHA-256 of each plain file under a local folder; also written as SHA256SUMS."""
     out = {}

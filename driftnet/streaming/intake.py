@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,44 +14,44 @@ SUBMISSION = "unit string, issue string, author string, model string, arrived ti
 
 
 class Store:
-    """Accepted submissions and states of units, as versions of a table in a folder all executors share.
+    """Accepted submissions as parts of a table in a folder all executors share, one part a micro-batch.
 
-    A batch is applied at most once: its id is part of the version's record, which is written last. The
-    source gives at-least-once delivery; issues already seen are dropped.
+    A batch writes its new submissions as a part of its own, then a head of its own that names the batch
+    and makes the part count. Nothing is ever overwritten, so a crash in between leaves the last head in
+    place, and a batch that comes again changes nothing. The source gives at-least-once delivery; issues
+    already seen are dropped.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def _path(self):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state.json")
-
-    def _fs(self):
-        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _names(self) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
     def head(self) -> dict:
-        fs, path = self._fs(), self._path()
-        if not fs.exists(path):
-            return {"version": 0, "batch": -1}
-        return json.loads(self.spark.read.text(str(path)).first()[0])
+        """The last version and its batch; a head is an empty file head-<version>-<batch>."""
+        heads = [tuple(map(int, n.split("-")[1:])) for n in self._names() if n.startswith("head-")]
+        version, batch = max(heads, default=(0, -1))
+        return {"version": version, "batch": batch}
 
     def submissions(self) -> DataFrame:
-        v = self.head()["version"]
-        return self.spark.read.schema(SUBMISSION).parquet(f"{self.folder}/v{v}") if v else self.spark.createDataFrame([], SUBMISSION)
+        """All submissions of parts that count."""
+        parts = [f"{self.folder}/part-{v}" for v in range(1, self.head()["version"] + 1)]
+        return self.spark.read.schema(SUBMISSION).parquet(*parts) if parts else self.spark.createDataFrame([], SUBMISSION)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         head = self.head()
         if batch_id <= head["batch"]:
             return
-        old = self.submissions()
         fresh = batch.select("unit", "issue", "author", "model", "arrived").filter("unit is not null and issue is not null")
-        first = F.row_number().over(W.partitionBy("unit", "issue").orderBy("known", "arrived", "author", "model"))
-        both = old.withColumn("known", F.lit(0)).unionByName(fresh.withColumn("known", F.lit(1)))
-        both.withColumn("r", first).filter("r = 1").drop("r", "known").write.mode("overwrite").parquet(f"{self.folder}/v{head['version'] + 1}")
-        fs = self._fs()
-        out = fs.create(self._path(), True)
-        out.write(bytearray(json.dumps({"version": head["version"] + 1, "batch": batch_id}).encode()))
-        out.close()
+        first = F.row_number().over(W.partitionBy("unit", "issue").orderBy("arrived", "author", "model"))
+        new = fresh.withColumn("r", first).filter("r = 1").drop("r").join(self.submissions().select("unit", "issue"), ["unit", "issue"], "left_anti")
+        version = head["version"] + 1
+        new.write.mode("overwrite").parquet(f"{self.folder}/part-{version}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/head-{version}-{batch_id}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, False).close()
 
     def states(self, quorum: int = 2) -> DataFrame:
         return intake.unit_states(self.submissions(), quorum)

@@ -11,10 +11,10 @@ from tests.world import record
 
 
 @pytest.mark.parametrize("change,fault", [
-    ({}, None), ({"format": 2}, "wrong format"), ({"freeze": None}, "wrong format"), ({"train_window": [2011, 2017]}, "wrong windows"), ({"recent_window": None}, "wrong windows"),
-    ({"instrument": ["W1", "x"]}, "reference papers"), ({"instrument": ["W1"] * 101}, "reference papers"), ({"instrument": ["W1", None]}, "reference papers"), ({"instrument": []}, None),
-    ({"usable_abstracts": 41}, "usable_abstracts"), ({"usable_abstracts": None}, "usable_abstracts"), ({"works_by_year": {"2009": 800}}, "works_by_year"), ({"works_by_year": {"2017": -1}}, "works_by_year"),
-    ({"works_by_year": None}, "works_by_year"), ({"size": 801}, "size"), ({"cited_by_train": {"T1": -1}}, "cited_by_train"), ({"cited_by_before": {"x": 1}}, "cited_by_before"), ({"topic": "W1"}, "topic"),
+    ({}, None), ({"format": 2}, "format"), ({"freeze": None}, "freeze"), ({"train_window": [2011, 2017]}, "train_window"), ({"recent_window": None}, "recent_window"),
+    ({"instrument": ["W1", "x"]}, "instrument"), ({"instrument": ["W1"] * 101}, "instrument"), ({"instrument": ["W1", None]}, "instrument"), ({"instrument": []}, None),
+    ({"usable_abstracts": 41}, "usable_abstracts"), ({"usable_abstracts": None}, "usable_abstracts"), ({"works_by_year": {"2009": 600}}, "works_by_year"), ({"works_by_year": {"2017": -1}}, "works_by_year"),
+    ({"works_by_year": None}, "works_by_year"), ({"size": 601}, "size"), ({"cited_by_train": {"T1": -1}}, "cited_by_train"), ({"cited_by_before": {"x": 1}}, "cited_by_before"), ({"topic": "W1"}, "topic"),
 ])
 def test_record_faults(spark, change, fault):
     base = dict(zip([c.strip().split()[0] for c in (readers.RECORD + ", record string").split(", ")], record("T1"))) | change
@@ -142,3 +142,72 @@ def test_pick_unit(spark):
     done = spark.createDataFrame([("u3",)], "unit string")
     assert U.pick_unit(units, done, "m").first()["unit"] == "u4"
     assert U.pick_unit(units, done, "n").first()["unit"] == "u2"
+
+
+def test_results_are_checked_whole(spark):
+    at = lambda **k: tuple((OK | k).values())
+    say = lambda x: {"problem": f"which {x} holds the {x} best", "approach": f"we measure each {x} twice a {x} year"}
+    good = lambda unit, issue, first, m="m", **k: [at(desc_id=first + i, unit=unit, issue=issue, work=f"W{i}", model=("p", m), **(say(w) | k)) for i, w in enumerate(("lake", "river", "pond", "brook"))]
+    rows = good("u-1", "1", 10) + good("u-1", "2", 20)[:3] + good("u-1", "3", 30)[:2] + good("u-1", "4", 40, "n") + good("u-1", "5", 50, "o")
+    rows += [at(desc_id=60, unit="u-1", issue="6", work="W9"), *good("u-1", "7", 70), at(desc_id=79, unit="u-1", issue="7", work="W0")]
+    rows += good("u-1", "8", 80)[:3] + [at(desc_id=88, unit="u-1", issue="8", work="W3", **say("lake"))]
+    rows += good("u-1", "9", 90)[:3] + [at(desc_id=99, unit="u-1", issue="9", work="W3", author=None)]
+    rows += good("u-2", "1", 100) + [at(desc_id=200, unit=None), at(desc_id=201, issue=None)]
+    works = spark.createDataFrame([(u, f"W{i}") for u in ("u-1", "u-2") for i in range(4)], "unit string, work string")
+    avoid = spark.createDataFrame([("W0", ["lake", "year", "measure"]), ("W1", None)], "work string, avoid array<string>")
+    texts = spark.createDataFrame([(f"W{i}", t) for i, t in enumerate(("lake", "river", "pond", "brook"))], "work string, abstract string")
+    df = spark.createDataFrame(rows, DESC)
+    loose = I.checked_results(df, works, avoid.limit(0), texts)
+    got = {(r["unit"], r["issue"]): r["fault"] for r in loose.collect()}
+    assert got == {
+        ("u-1", "1"): None, ("u-1", "2"): None, ("u-1", "3"): "too few papers are described", ("u-1", "4"): None, ("u-1", "5"): None, ("u-1", "6"): "a paper isn't the unit's",
+        ("u-1", "7"): "a paper is described twice", ("u-1", "8"): "two descriptions are alike", ("u-1", "9"): "a description is at fault", ("u-2", "1"): None,
+    }
+    said = {(r["unit"], r["issue"]): (r["outcome"], r["reason"]) for r in I.outcomes(loose).collect()}
+    assert said["u-1", "1"] == ("stored", None) and said["u-1", "2"] == ("refused", "the unit has a result of this model") and said["u-1", "4"] == ("stored", None)
+    assert said["u-1", "5"] == said["u-1", "6"] == ("complete", None) and said["u-1", "3"][0] == "refused" and said["u-2", "1"][0] == "stored"
+    strict = {r["issue"]: r["fault"] for r in I.checked_results(df.filter("unit = 'u-1'"), works, avoid, texts).collect()}
+    assert strict["1"] == "too many avoided words"
+    other = I.checked_results(df.filter("unit = 'u-2'"), works, avoid.limit(0), texts.withColumn("abstract", F.element_at(F.create_map(*[F.lit(x) for kv in zip(("lake", "river", "pond", "brook"), ("river", "pond", "brook", "lake")) for x in kv]), F.col("abstract"))))
+    assert other.first()["fault"] == "descriptions of other papers"
+    asked = I.checked_results(df.withColumn("prompt", F.lit("old")), works, avoid.limit(0), texts, I.SubmissionRules(prompt="new"))
+    assert {r["fault"] for r in asked.collect()} == {"made with another prompt"}
+    assert I.checked_results(df.limit(0), works, avoid, texts).count() == 0 and I.outcomes(loose.limit(0)).count() == 0
+
+
+def test_a_batch_goes_through_the_same_rules(spark):
+    stored = spark.createDataFrame([("u-1", "1", "A")], "unit string, issue string, model string")
+    batch = spark.createDataFrame([("u-1", "b.json", "A", None), ("u-1", "c.json", "B", None), ("u-1", "d.json", "C", None), ("u-2", "a.json", "A", "too short")], "unit string, file string, model string, fault string")
+    got = {r["id"]: (r["accepted"], r["reason"]) for r in I.import_batch(batch, stored, "x").collect()}
+    assert got == {"import-x-001": (False, "too short"), "import-x-002": (False, "the unit has a result of this model"), "import-x-003": (True, None), "import-x-004": (False, "the unit is complete")}
+
+
+def test_record_results(spark):
+    import hashlib
+
+    names = [c.strip().split()[0] for c in (readers.RECORD + ", record string").split(", ")]
+    rec = lambda t, **k: dict(zip(names, record(t, **k)))
+    body = lambda *r, unit="m-1", freeze=2017: json.dumps({"unit": unit, "freeze": freeze, "records": list(r)})
+    sent = {"ok": body(rec("T1"), rec("T2")), "order": body(rec("T2"), rec("T1")), "unit": body(rec("T1"), rec("T2"), unit="m-2"), "bad": body(rec("T1"), rec("T2", size=1)), "text": "not json", "sum": body(rec("T1"), rec("T2"))}
+    rows = [(k, "m-1", v, hashlib.sha256((v if k != "sum" else "x").encode()).hexdigest()) for k, v in sent.items()] + [("none", "m-9", "{}", None)]
+    units = spark.createDataFrame([("m-1", 2017, ["T1", "T2"])], "unit string, freeze int, topics array<string>")
+    got = {r["result"]: r["fault"] for r in I.checked_record_results(spark.createDataFrame(rows, "result string, unit string, content string, sha256 string"), units).collect()}
+    assert got == {"ok": None, "order": "its topics aren't the unit's, in order", "unit": "it is for another unit or freeze", "bad": "T2: size isn't the sum of the years' counts", "text": "it isn't JSON", "sum": "the checksum is another", "none": "there is no such unit"}
+
+
+def test_a_part_without_its_head_does_not_count(spark, tmp_path):
+    store = stream.Store(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("u1", "1", "x", "A", None)], stream.SUBMISSION)
+    store.apply(rows, 0)
+    spark.createDataFrame([("u9", "9", "x", "A", None)], stream.SUBMISSION).write.parquet(f"{store.folder}/part-2")  # a crash before the head
+    assert store.head() == {"version": 1, "batch": 0} and store.submissions().count() == 1
+    store.apply(rows.unionByName(spark.createDataFrame([("u1", "2", "y", "B", None)], stream.SUBMISSION)), 1)
+    assert store.head() == {"version": 2, "batch": 1} and {r["issue"] for r in store.submissions().collect()} == {"1", "2"}
+
+
+def test_small_reports(spark):
+    rated = I.bridge_ratings(spark.createDataFrame([("W2", "W1", 1.0, "expert"), ("W1", "W2", 0.0, "?")], "a string, b string, rating double, expertise string"), {"expert": 3.0})
+    assert [tuple(r) for r in rated.collect()] == [("b-W1-W2", 2, 0.5, 0.75)]
+    w = {r["model"]: r["weight"] for r in I.shrunk_weights(spark.createDataFrame([("a", 1), ("a", 1), ("b", 0), ("b", 1)], "model string, hit int")).collect()}
+    assert w["b"] == 0 and w["a"] > 0
+    assert [r["f"] for r in spark.createDataFrame([(None,), ("",), ("abc",)], "c string").select(I.content_fault(F.col("c"), 2).alias("f")).collect()] == ["no content", "nothing in it", "larger than 2 bytes"]

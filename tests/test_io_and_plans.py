@@ -50,12 +50,34 @@ def test_strict_citing(spark):
     assert [r["s"] for r in df.select(readers.strict_citing(df, "other").alias("s")).collect()] == [True, False, False, True]
 
 
-def test_paged_feed(spark):
-    def fetch(page):
-        return [(page, i) for i in range(3 if page < 2 else 1)]
+def test_paged_feed_stops_at_the_short_page(spark, tmp_path):
+    folder = str(tmp_path)
 
-    feed.register(spark, "pages_of_test", "page int, i int", 3, fetch)
-    assert spark.read.format("pages_of_test").load().count() == 7
+    def fetch(page):
+        open(f"{folder}/{page}", "w").close()
+        return [(page, i) for i in range(3 if page < 6 else 1 if page == 6 else 0)]
+
+    feed.register(spark, "pages_of_test", "page int, i int", 3, fetch, 2)
+    assert spark.read.format("pages_of_test").load().count() == 19
+    assert max(int(p.name) for p in tmp_path.iterdir()) <= 8
+
+
+def test_scan(spark):
+    df = spark.createDataFrame([(f"W{i}", "ab"[i % 2] if i % 5 else None, 2000 + i) for i in range(20)], "id string, type string, year int")
+    ids = lambda **k: [r["id"] for r in readers.scan(df, **k).collect()]
+    assert ids(where={"year": "<2005"}, sort="year:desc", limit=2) == ["W4", "W3"] and len(ids(sample=7, seed=1)) == 7
+    assert sorted(ids(sample=7, seed=1)) == sorted(r["id"] for r in readers.scan(df.repartition(3), sample=7, seed=1).collect())
+    assert {tuple(r) for r in readers.scan(df, group_by="type").collect()} == {("a", 8), ("b", 8)}
+    assert readers.scan(df, select=["year"]).columns == ["year"]
+
+
+def test_model_file_and_digests(spark, tmp_path):
+    model = ({"x": 1.0}, {"x": 2.0}, {"x": 3.0}, -0.5)
+    writers.model_file({"m": model}, str(tmp_path / "model.json"))
+    assert readers.stored_model(spark, str(tmp_path / "model.json"), "m") == model
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_bytes(b"abc")
+    assert [tuple(r) for r in writers.digest(spark, str(tmp_path / "d")).collect()] == [("a.txt", "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad")]
 
 
 def test_writers(spark, tmp_path):

@@ -121,3 +121,14 @@ def test_quota(spark):
     assert [x[:2] for x in TW.select_with_quota(df, 10, 2, used)] == [("a", "b"), ("a", "c"), ("c", "d"), ("e", "f")]
     assert TW.select_with_quota(df, 10, 2, used) == [("e", "f", 0.6)]
     assert len(TW.select_with_quota(df, 1, 2)) == 1
+
+
+def test_small_views(spark):
+    papers = spark.createDataFrame([("W1", "A", "f"), ("W2", "B", "f"), ("W3", None, "g"), ("W4", "A", "g")], "work string, domain string, field string")
+    said = spark.createDataFrame([("W1",), ("W2",), ("W3",)], "work string")
+    ids = lambda df: sorted(r["work"] for r in df.collect())
+    assert ids(TW.visible(papers, said, ["B"])) == ["W1", "W3"] and ids(TW.visible(papers, said, field="f")) == ["W1", "W2"]
+    pairs = spark.createDataFrame([("r", "x", "y", 0.1), ("r", "y", "x", 0.5), ("r", "a", "b", 0.4), ("r", "c", "d", None)], "run string, x string, y string, score double")
+    assert [(r["a"], r["b"], r["pos"]) for r in TW.shown_once(pairs, "run", 2).orderBy("pos").collect()] == [("x", "y", 1), ("a", "b", 2)]
+    agreed = spark.createDataFrame([("W", 1, 2, 0.5), ("W", 1, 3, 0.1), ("W", 2, 3, 0.4)], "work string, x bigint, y bigint, agreement double")
+    assert [tuple(r) for r in TW.closest_descriptions(agreed).collect()] == [("W", 2, 0.45)]
