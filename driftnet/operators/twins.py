@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftnet import session
 from driftnet.functions import text as T
 from driftnet.operators import vectors as V
 
@@ -189,18 +190,23 @@ def reliable(agreed: DataFrame, papers: DataFrame, threshold: Column | float, ru
     """(work, agreement): papers whose models agree beyond chance and beyond the paper's likeness to others.
 
     The percentile of a paper's likeness is over all other papers, those that share no term included as
-    0: it is read off its nearest ones by position, with linear interpolation.
+    0, with linear interpolation between the two places around it. So only papers past the threshold are
+    compared, and of each only how many others are as like, or nearly so, is counted: the percentile
+    itself matters only where it lies between the least of these and the most like of the rest.
     """
     mean = agreed.groupBy("work").agg(F.avg("agreement").alias("agreement")).filter(F.col("agreement") > threshold)
+    mean = session.stage(mean.withColumn("level", F.round("agreement", 6)), "mean")
     n = papers.select("doc").distinct().count()
-    # position from the top of the percentile among n - 1 values; only so many of the nearest are needed
+    # place of the percentile among n - 1 values, from the top
     at = max(0.0, (1 - rules.distinct) * (n - 2))
     low, part = int(at), at - int(at)
-    near = V.block_neighbours(papers.select("doc", "term", "w", F.col("doc").alias("self")), "self", low + 2)
-    r = F.row_number().over(W.partitionBy("doc").orderBy(F.desc("similarity"), "other"))
-    value = lambda k: F.coalesce(F.max(F.when(F.col("r") == k + 1, F.col("similarity"))), F.lit(0.0))
-    cut = near.withColumn("r", r).groupBy(F.col("doc").alias("work")).agg((value(low) * (1 - part) + value(low + 1) * part).alias("cut"))
-    return mean.join(cut, "work", "left").filter(F.round("agreement", 6) > F.round(F.coalesce("cut", F.lit(-1.0)) + rules.tie, 6)).select("work", F.round("agreement", 6).alias("agreement"))
+    seen = V.above(papers, mean.select(F.col("work").alias("doc"), "level"), rules.tie).withColumnRenamed("doc", "work")
+    told = mean.join(seen, "work", "left").fillna({"others": 0, "failing": 0, "most_passing": 0.0})
+    zeros = F.when(F.col("level") <= rules.tie, F.lit(n - 1) - F.col("others")).otherwise(0)  # papers without a shared term fail too
+    failing = F.col("failing") + zeros
+    cut = F.when(zeros > 0, 0.0).otherwise(F.col("least_failing")) * (1 - part) + F.col("most_passing") * part
+    sure = (failing <= low) | ((failing == low + 1) & (F.col("level") > F.round(cut + rules.tie, 6)))
+    return told.filter(sure).select("work", F.col("level").alias("agreement"))
 
 
 def select_with_quota(ranked: DataFrame, limit: int, per_paper: int, used: Counter | None = None) -> list[tuple[str, str, float]]:
@@ -223,8 +229,6 @@ def select_with_quota(ranked: DataFrame, limit: int, per_paper: int, used: Count
 
 def combine(descriptions: DataFrame, papers: DataFrame, abstracts: DataFrame, rules: TwinRules = TwinRules()) -> dict[str, DataFrame]:
     """The whole flow: models, twins (confirmed, then provisional), known cases and neighbours."""
-    from driftnet import session
-
     spark = descriptions.sparkSession
     rows = session.stage(described(descriptions), "described")
     vectors = session.stage(description_vectors(rows, rules), "vectors")

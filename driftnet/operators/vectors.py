@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,8 +81,12 @@ def cosine_pairs(vectors: DataFrame, key: str, condition: Column | None = None,
     return both.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
 
-#: Documents in a block of block_neighbours: what bounds a task's matrices.
+#: Groups in a block of block_cosines: what bounds a task's matrices.
 BLOCK_DOCS = 1000
+#: Groups whose pairs block_cosines gives, one row each; more are refused.
+MOST_GROUPS = 20_000
+#: Terms of the vectors that are sent to all tasks at once, some 10 MB.
+BLOCK_TERMS = 500_000
 #: Distances of groups that may be sent to all tasks.
 MOST_DISTANCES = 1_000_000
 
@@ -116,8 +121,10 @@ def block_cosines(vectors: DataFrame, key: str, block_docs: int = BLOCK_DOCS) ->
     """As cosine_pairs without a condition, for dense vectors such as centroids: pairs of blocks are matrix products.
 
     Where vectors share most of their terms, a join makes a row for each pair and shared term; this
-    makes one for each pair. Keys are strings. Cosines of 0 are left out.
+    makes one for each pair. Keys are strings, MOST_GROUPS at most. Cosines of 0 are left out.
     """
+    if vectors.select(key).distinct().count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups, whose pairs are a row each")
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
@@ -135,59 +142,168 @@ def block_cosines(vectors: DataFrame, key: str, block_docs: int = BLOCK_DOCS) ->
     return _cells(vectors, key, block_docs).groupBy("x", "y").applyInPandas(product, "a string, b string, cosine double")
 
 
-def block_neighbours(vectors: DataFrame, group: str, k: int, distances: DataFrame | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+class _Block:
+    """Vectors held by every task, to be multiplied with others: common terms as a matrix, rare ones as postings."""
+
+    def __init__(self, flat: np.ndarray, w: np.ndarray, sizes: np.ndarray, most_dense: int = 1024):
+        self.n = len(sizes)
+        rows = np.repeat(np.arange(self.n), sizes)
+        self.known, ids = np.unique(flat, return_inverse=True)
+        df = np.bincount(ids, minlength=len(self.known))
+        common = np.flatnonzero(df * 50 > self.n)
+        common = common[np.argsort(-df[common], kind="stable")[:most_dense]]
+        self.column = np.full(len(self.known), -1)
+        self.column[common] = np.arange(len(common))
+        dense = self.column[ids] >= 0
+        self.matrix = np.zeros((len(common), self.n))
+        self.matrix[self.column[ids[dense]], rows[dense]] = w[dense]
+        order = np.flatnonzero(~dense)[np.argsort(ids[~dense], kind="stable")]
+        self.row, self.w = rows[order], w[order]
+        self.size = np.bincount(ids[order], minlength=len(self.known))
+        self.start = np.cumsum(self.size) - self.size
+
+    def products(self, flat: np.ndarray, w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(rows, n) products of the given vectors with those held."""
+        m = len(sizes)
+        if not self.n or not len(flat):
+            return np.zeros((m, self.n))
+        rows, at = np.repeat(np.arange(m), sizes), np.minimum(np.searchsorted(self.known, flat), len(self.known) - 1)
+        ok = self.known[at] == flat
+        rows, at, w = rows[ok], at[ok], w[ok]
+        c = self.column[at]
+        left = np.zeros((m, len(self.matrix)))
+        left[rows[c >= 0], c[c >= 0]] = w[c >= 0]
+        out = left @ self.matrix
+        rows, at, w = rows[c < 0], at[c < 0], w[c < 0]
+        n = self.size[at]
+        ends = np.cumsum(n)
+        post = np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        return out + np.bincount(np.repeat(rows * self.n, n) + self.row[post], weights=np.repeat(w, n) * self.w[post], minlength=m * self.n).reshape(m, self.n)
+
+
+def _by_doc(vectors: DataFrame, *keep: str) -> tuple[DataFrame, int]:
+    """(doc, kept, t, w): each document's vector as two arrays, staged; and how many blocks of BLOCK_TERMS they make."""
+    docs = session.stage(vectors.groupBy("doc", *keep).agg(F.collect_list(F.xxhash64("term")).alias("t"), F.collect_list("w").alias("w")), "by-doc")  # a document's own terms
+    terms = docs.agg(F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("n")).first()["n"]
+    return docs, max(1, -(-terms // BLOCK_TERMS))
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    t, w = batch.column("t"), batch.column("w")
+    return np.asarray(t.flatten()), np.asarray(w.flatten()), np.asarray(t.value_lengths())
+
+
+def _in_blocks(docs: DataFrame, blocks: int) -> Iterator[pa.RecordBatch]:
+    """docs a block at a time, by a hash of the document; a block is about BLOCK_TERMS terms."""
+    own = F.pmod(F.xxhash64("doc"), F.lit(blocks))
+    for b in range(blocks):
+        table = docs.filter(own == b).orderBy("doc").toArrow().combine_chunks()
+        if table.num_rows:
+            yield table.to_batches()[0]
+
+
+def block_neighbours(vectors: DataFrame, group: str, k: int, distances: DataFrame | None = None) -> DataFrame:
     """(doc, other, similarity, distance, score): each document's k nearest of other groups, by similarity and by score.
 
     vectors (doc, term, w, group), doc a string. similarity is the cosine, rounded to six digits and
     positive; score is similarity times the distance of the two groups, from (a, b, distance) with
-    a < b, 1 where unknown. Rows are those among a document's k best by either, ties by name.
+    a < b, 1 where unknown; more than MOST_DISTANCES of them are refused. Rows are those among a
+    document's k best by either, ties by name.
 
-    All documents are compared with all, so the work is quadratic; but no row is made for a pair, let
-    alone for a shared term. Documents are hashed into blocks of about block_docs, each pair of blocks
-    is one task's matrix product, and only its best k per document leave it. Terms stand for
-    themselves by 64-bit hashes.
+    All documents are compared with all, so the work is quadratic. No vector is shuffled for it: blocks
+    of about BLOCK_TERMS terms are sent to all tasks, one after another, and meet the documents where
+    they lie; at most 2 k rows a document and block are written. Terms stand for themselves by 64-bit
+    hashes.
     """
     spark = vectors.sparkSession
-    far: dict[tuple[str, str], float] = {}
-    if distances is not None:
-        if distances.limit(MOST_DISTANCES + 1).count() > MOST_DISTANCES:
-            raise ValueError(f"more than {MOST_DISTANCES} distances")
-        far = {(r["a"], r["b"]): r["distance"] for r in distances.toLocalIterator()}
-    shared = spark.sparkContext.broadcast(far)
-    cells = _cells(vectors, "doc", block_docs, group)
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc", ignore_index=True)
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        left, right = pdf[pdf["own"] == x], pdf[pdf["own"] == y]
-        out: list[tuple] = []
-        if len(left) and len(right):
-            one, two = _dense(left, right)
-            codes, named = pd.factorize(pdf["g"])
-            gl, gr = codes[left.index], codes[right.index]
-            known = sorted({x for p in shared.value for x in p} & set(named)) if shared.value else []
-            apart = np.ones((len(named), len(named)))
-            place = {g: i for i, g in enumerate(named)}
-            for i, p in enumerate(known):
-                for q in known[i + 1 :]:
-                    apart[place[p], place[q]] = apart[place[q], place[p]] = shared.value.get((p, q), 1.0)
-            s = np.round(one @ two.T, 6)
-            s[gl[:, None] == gr[None, :]] = 0
-            d = apart[gl[:, None], gr[None, :]]
-            sides = [(left, right, s, d)] + ([(right, left, s.T, d.T)] if x != y else [])
-            for these, those, sim, dist in sides:
-                score = np.round(sim * dist, 6)
-                mine, theirs = these["doc"].to_numpy(), those["doc"].to_numpy()
-                for i in range(len(mine)):
-                    best = np.union1d(np.argsort(-sim[i], kind="stable")[:k], np.argsort(-score[i], kind="stable")[:k])
-                    out += [(mine[i], theirs[j], sim[i, j], dist[i, j], score[i, j]) for j in best if sim[i, j] > 0]
-        return pd.DataFrame(out, columns=["doc", "other", "similarity", "distance", "score"])
-
-    found = cells.groupBy("x", "y").applyInPandas(product, "doc string, other string, similarity double, distance double, score double")
+    far = spark.createDataFrame([], "a string, b string, distance double") if distances is None else distances
+    if far.limit(MOST_DISTANCES + 1).count() > MOST_DISTANCES:
+        raise ValueError(f"more than {MOST_DISTANCES} distances")
+    known = far.select("a", "b", "distance").toArrow().to_pydict()
+    place = {g: i for i, g in enumerate(sorted({*known["a"], *known["b"]}))}
+    apart = np.ones((len(place) + 1, len(place) + 1))  # the last place is for groups without a distance
+    for x, y, d in zip(known["a"], known["b"], known["distance"]):
+        apart[place[x], place[y]] = apart[place[y], place[x]] = d
+    docs, blocks = _by_doc(vectors, group)
+    path, schema = session.stage_path(spark, "near"), "doc string, other string, similarity double, distance double, score double"
+    spark.createDataFrame([], schema).write.parquet(f"{path}/block-none")
+    for b, held in enumerate(_in_blocks(docs.withColumnRenamed(group, "g"), blocks)):
+        shared = spark.sparkContext.broadcast((_Block(*_arrays(held)), np.array(held.column("doc").to_pylist(), dtype=object), held.column("g").to_pylist(), place, apart))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block, names, groups, place, apart = shared.value
+            code = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+            gr, pr = np.array([code[g] for g in groups]), np.array([place.get(g, len(place)) for g in groups])
+            for whole in batches:
+                for at in range(0, whole.num_rows, 128):
+                    part = whole.slice(at, 128)
+                    mine, own = np.array(part.column("doc").to_pylist(), dtype=object), part.column("g").to_pylist()
+                    sim = np.round(block.products(*_arrays(part)), 6)
+                    sim[np.array([code.get(g, -1) for g in own])[:, None] == gr[None, :]] = 0
+                    dist = apart[np.array([place.get(g, len(place)) for g in own])[:, None], pr[None, :]]
+                    score = np.round(sim * dist, 6)
+                    rows = [[], []]
+                    for values in (sim, score):  # names are in order, so equal values fall to the smaller
+                        least = np.partition(values, max(0, block.n - k), axis=1)[:, [max(0, block.n - k)]]
+                        i, j = np.nonzero((values >= least) & (values > 0))
+                        order = np.lexsort((j, -values[i, j], i))
+                        i, j = i[order], j[order]
+                        first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, dtype=int)
+                        few = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < k
+                        rows[0].append(i[few]), rows[1].append(j[few])
+                    i, j = np.unique(np.stack([np.concatenate(r) for r in rows]), axis=1)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(mine[i].tolist(), pa.string()), pa.array(names[j].tolist(), pa.string()), *[pa.array(v[i, j]) for v in (sim, dist, score)]], names=["doc", "other", "similarity", "distance", "score"])
+
+        docs.withColumnRenamed(group, "g").mapInArrow(run, schema).write.parquet(f"{path}/block-{b}")
+        shared.destroy()
+    found = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
     rank = lambda by: F.row_number().over(W.partitionBy("doc").orderBy(F.desc(by), "other"))
     return found.withColumns({"r": rank("similarity"), "q": rank("score")}).filter((F.col("r") <= k) | (F.col("q") <= k)).drop("r", "q")
 
 
+def above(vectors: DataFrame, asked: DataFrame, tie: float) -> DataFrame:
+    """(doc, others, failing, least_failing, most_passing): for each document asked for (doc, level), of the documents it shares
+    a term with: how many there are, how many have a similarity of level - tie or more, the least of these, and the
+    largest of the others (0 if there are none). Similarities and levels are rounded to six digits.
+
+    The documents asked for are sent to all tasks a block at a time; a task leaves one row for each.
+    """
+    spark = vectors.sparkSession
+    docs, _ = _by_doc(vectors)
+    wanted, blocks = _by_doc(vectors.join(asked.select("doc", "level"), "doc"), "level")
+    path, schema = session.stage_path(spark, "above"), "doc string, others bigint, failing bigint, least_failing double, most_passing double"
+    spark.createDataFrame([], schema).write.parquet(f"{path}/block-none")
+    for b, held in enumerate(_in_blocks(wanted, blocks)):
+        level = np.round(np.asarray(held.column("level")) * 1e6).astype(np.int64)
+        shared = spark.sparkContext.broadcast((_Block(*_arrays(held)), held.column("doc").to_pylist(), level))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block, names, level = shared.value
+            at_name, margin = {n: i for i, n in enumerate(names)}, round(tie * 1e6)
+            others, failing = np.zeros(block.n, dtype=np.int64), np.zeros(block.n, dtype=np.int64)
+            least, most = np.full(block.n, np.iinfo(np.int64).max), np.zeros(block.n, dtype=np.int64)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 128):
+                    part = whole.slice(at, 128)
+                    s = np.round(block.products(*_arrays(part)) * 1e6).astype(np.int64)
+                    for i, n in enumerate(part.column("doc").to_pylist()):
+                        if n in at_name:
+                            s[i, at_name[n]] = 0
+                    fail = (s > 0) & (s + margin >= level)
+                    others += (s > 0).sum(axis=0)
+                    failing += fail.sum(axis=0)
+                    least = np.minimum(least, np.where(fail, s, np.iinfo(np.int64).max).min(axis=0))
+                    most = np.maximum(most, np.where(fail, 0, s).max(axis=0))
+            if block.n:
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(others), pa.array(failing), pa.array(np.where(failing > 0, least, 0) / 1e6, mask=failing == 0), pa.array(most / 1e6)], names=["doc", "others", "failing", "least_failing", "most_passing"])
+
+        docs.mapInArrow(run, schema).write.parquet(f"{path}/block-{b}")
+        shared.destroy()
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+    return rows.groupBy("doc").agg(F.sum("others").alias("others"), F.sum("failing").alias("failing"), F.min("least_failing").alias("least_failing"), F.max("most_passing").alias("most_passing"))
+
+
 def dots(pairs: DataFrame, vectors: DataFrame, a: str, b: str) -> DataFrame:
     """pairs with `dot`: the product of the vectors of columns a and b, 0 where they share no term.
 

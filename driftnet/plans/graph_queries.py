@@ -308,35 +308,35 @@ def sample_topics(spark: SparkSession, d: str) -> DataFrame:
     return samples.load_or_draw(spark, folder, topics.limit(0), 6, 2026).select("domain", "id", "pos")
 
 
-def _order_works(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Orders as works of their customer's nation, citing suppliers through their lines."""
-    nation = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("string").alias("topic"))
-    works = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("work"), F.year("o_orderdate").alias("year")).join(nation, "o_custkey").select("work", "topic", "year")
-    refs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("work"), F.col("l_suppkey").alias("reference"))
-    owners = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("topic"), F.col("s_suppkey").alias("reference"))
-    return works, refs, owners
+def _cited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(work, topic, year) of the papers, and (work, reference): the other papers in their lists, as what they cite."""
+    topic = table(spark, d, "papers").filter("work is not null").groupBy("work").agg(F.min("topic").alias("topic"))
+    year = table(spark, d, "abstracts").filter("work is not null").groupBy("work").agg(F.min("year").alias("year"))
+    lists = table(spark, d, "neighbours").filter("work is not null").select("work", F.explode("neighbours").alias("x")).select("work", F.col("x.work").alias("reference"))
+    return topic.join(year, "work"), lists.filter("reference is not null and reference <> work")
 
 
 def reference_papers(spark: SparkSession, d: str) -> DataFrame:
-    works, refs, owners = _order_works(spark, d)
-    cites = refs.distinct().join(works, "work").groupBy("reference").agg(F.count(F.lit(1)).alias("now"), F.count_if(F.col("year") <= 1998).alias("asof"))
-    return graph.reference_papers(owners.join(cites, "reference")).select("topic", "reference", "cites", F.col("pos").alias("pos"))
+    """Each topic's most cited papers as of the freeze, out of those most cited now."""
+    works, refs = _cited(spark, d)
+    cites = refs.distinct().join(works.select("work", "year"), "work").groupBy("reference").agg(F.count(F.lit(1)).alias("now"), F.count_if(F.col("year") <= FREEZE).alias("asof"))
+    owners = works.filter("topic is not null").select("topic", F.col("work").alias("reference"))
+    return graph.reference_papers(owners.join(cites, "reference"))
 
 
 def citation_links(spark: SparkSession, d: str) -> DataFrame:
-    works, refs, owners = _order_works(spark, d)
-    windows = spark.createDataFrame([("before", None, 1995), ("train", 1996, 1998), ("recent", 1998, 1998), ("test", 1999, None)], "window string, first int, last int")
+    works, refs = _cited(spark, d)
+    owners = _current(spark, d, FREEZE).select("topic", F.explode("instrument").alias("reference")).filter("reference is not null").distinct()
+    windows = spark.createDataFrame([("before", None, FREEZE - 8), ("train", FREEZE - 7, FREEZE), ("recent", FREEZE - 2, FREEZE), ("test", FREEZE + 1, None)], "window string, first int, last int")
     return graph.citation_links(works, refs, owners, windows).withColumnRenamed("window", "win")
 
 
 def citation_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """Nations as papers: which of two cites the other's suppliers more than fifty times, and back."""
-    works, refs, owners = _order_works(spark, d)
-    links = refs.join(works, "work").select(F.col("topic").alias("work"), "reference").join(owners.select(F.col("topic").alias("cited"), "reference"), "reference")
-    many = links.groupBy("work", "cited").agg(F.count(F.lit(1)).alias("n")).filter("n > 50 and work <> cited")
-    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("k"), F.col("n_regionkey").alias("g"))
-    pairs = nations.select(F.col("k").alias("a"), "g").join(nations.select(F.col("k").alias("b"), "g"), "g").filter("a < b").select("a", "b")
-    return graph.citation_verdict(pairs, many.select("work", F.col("cited").alias("reference")))
+    """Which of each published pair cites the other."""
+    flat = table(spark, d, "twins").select(F.explode("twins").alias("t"))
+    name = lambda c: F.upper(F.trim(c))
+    pairs = flat.select(name("t.a.work").alias("x"), name("t.b.work").alias("y")).filter("x <> '' and y <> '' and x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return graph.citation_verdict(pairs, _cited(spark, d)[1])
 
 
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -364,8 +364,9 @@ def _dense(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
     unit = rows.withColumn("n", norm("e")).filter("n > 0").select("vec_id", "label", F.transform("e", lambda x: x / F.col("n")).alias("e"))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int")
-    asked = unit.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("la"), F.col("e").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("block"))
+    blocks = max(16, -(-rows.count() // 50_000))  # so that a block's rows stay about the same at any size
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    asked = unit.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("la"), F.col("e").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     pool = unit.select(F.col("vec_id").alias("item"), F.col("label").alias("lb"), "e", block.alias("block"))
     dot = F.aggregate(F.zip_with("q", "e", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     return asked.join(pool, "block").filter("query <> item").select("query", "item", "la", "lb", F.round(dot, 6).alias("s"))
@@ -452,10 +453,9 @@ _RANDOM = "round(CAST('0x' || left(sha256('1|' || a || '|' || b), 8) AS BIGINT)
 _SC = "sc AS (SELECT a, b, domain_pair, label, round(cocite_cosine, 6) AS score FROM pt)"
 _LOGIT = "lg AS (SELECT a, b, round(1 / (1 + exp(-(" + str(INTERCEPT) + "::DOUBLE" + "".join(f" + ({k} - {v[0]}::DOUBLE) / {v[1]}::DOUBLE * {v[2]}::DOUBLE" for k, v in MODEL.items()) + "))), 6) AS score FROM pt)"
 _RANK = "rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS rank FROM lg)"
-_ORDERS = """
-works AS (SELECT o_orderkey AS work, CAST(c_nationkey AS VARCHAR) AS topic, year(o_orderdate) AS year FROM orders JOIN customer ON c_custkey = o_custkey),
-refs AS (SELECT l_orderkey AS work, l_suppkey AS reference FROM lineitem),
-owners AS (SELECT CAST(s_nationkey AS VARCHAR) AS topic, s_suppkey AS reference FROM supplier)"""
+_CITED = """
+works AS (SELECT work, topic, year FROM (SELECT work, min(topic) AS topic FROM papers WHERE work IS NOT NULL GROUP BY work) JOIN (SELECT work, min(year) AS year FROM abstracts WHERE work IS NOT NULL GROUP BY work) USING (work)),
+refs AS (SELECT work, reference FROM (SELECT work, unnest(neighbours).work AS reference FROM neighbours WHERE work IS NOT NULL) WHERE reference <> work)"""
 _DENSE = """
 e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS MATERIALIZED (SELECT x.vec_id AS query, y.vec_id AS item, x.label AS la, y.label AS lb, round(list_cosine_similarity(x.e, y.e), 6) AS s FROM e x JOIN e y ON x.vec_id % 50 = 0 AND x.vec_id <> y.vec_id)"""
@@ -520,15 +520,17 @@ sc AS (SELECT 'network' AS model, a, b, label, score FROM yl UNION ALL SELECT 'p
 FROM ap JOIN au USING (model) JOIN pk USING (model), (SELECT count(*) AS pairs, CAST(sum(label) AS BIGINT) AS connected, round(avg(label), 6) AS chance FROM yl)""",
     "sample_topics": """WITH r AS (SELECT domain, id, row_number() OVER (PARTITION BY domain ORDER BY sha256('2026:' || id), id) AS r FROM topics WHERE id IS NOT NULL AND domain IS NOT NULL)
 SELECT domain, id, CAST(row_number() OVER (ORDER BY domain, r) AS INT) AS pos FROM r WHERE r <= 6""",
-    "reference_papers": f"""WITH {_ORDERS}, c AS (SELECT reference, count(*) AS now, count(*) FILTER (year <= 1998) AS upto FROM (SELECT DISTINCT * FROM refs) JOIN works USING (work) GROUP BY reference),
-k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY now DESC, reference) AS r FROM owners JOIN c USING (reference)),
+    "reference_papers": f"""WITH {_CITED}, c AS (SELECT reference, count(*) AS now, count(*) FILTER (year <= {FREEZE}) AS upto FROM (SELECT DISTINCT * FROM refs) JOIN works USING (work) GROUP BY reference),
+k AS (SELECT o.topic, c.*, row_number() OVER (PARTITION BY o.topic ORDER BY now DESC, reference) AS r FROM works o JOIN c ON c.reference = o.work WHERE o.topic IS NOT NULL),
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY upto DESC, reference) AS INT) AS pos FROM k WHERE r <= 400)
 SELECT topic, reference, upto AS cites, pos FROM p WHERE pos <= 100 AND upto > 0""",
-    "citation_links": f"""WITH {_ORDERS}, win(win, lo, hi) AS (VALUES ('before', NULL, 1995), ('train', 1996, 1998), ('recent', 1998, 1998), ('test', 1999, NULL))
-SELECT o.topic AS cited, win, w.topic AS citing, count(DISTINCT work) AS n FROM refs JOIN owners o USING (reference) JOIN works w USING (work) JOIN win ON (lo IS NULL OR year >= lo) AND (hi IS NULL OR year <= hi) GROUP BY ALL""",
-    "citation_verdicts": f"""WITH {_ORDERS}, m AS (SELECT w.topic AS x, o.topic AS y FROM refs JOIN works w USING (work) JOIN owners o USING (reference) WHERE w.topic <> o.topic GROUP BY ALL HAVING count(*) > 50),
-p AS (SELECT CAST(x.n_nationkey AS VARCHAR) AS a, CAST(y.n_nationkey AS VARCHAR) AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND CAST(x.n_nationkey AS VARCHAR) < CAST(y.n_nationkey AS VARCHAR))
-SELECT a, b, CASE WHEN f AND g THEN 'both' WHEN f THEN 'a cites b' WHEN g THEN 'b cites a' ELSE 'neither' END AS cites FROM (SELECT a, b, (a, b) IN (SELECT (x, y) FROM m) AS f, (b, a) IN (SELECT (x, y) FROM m) AS g FROM p)""",
+    "citation_links": f"""WITH {_CITED}, {Q.RECORDS.strip()}, owners AS (SELECT DISTINCT topic, reference FROM (SELECT topic, unnest(instrument) AS reference FROM cur WHERE "freeze" = {FREEZE}) WHERE reference IS NOT NULL),
+win(win, lo, hi) AS (VALUES ('before', NULL, {FREEZE - 8}), ('train', {FREEZE - 7}, {FREEZE}), ('recent', {FREEZE - 2}, {FREEZE}), ('test', {FREEZE + 1}, NULL))
+SELECT o.topic AS cited, win, w.topic AS citing, count(DISTINCT work) AS n FROM refs JOIN owners o USING (reference) JOIN works w USING (work) JOIN win ON (lo IS NULL OR year >= lo) AND (hi IS NULL OR year <= hi) WHERE w.topic IS NOT NULL GROUP BY ALL""",
+    "citation_verdicts": f"""WITH {_CITED}, f AS (SELECT unnest(twins) AS t FROM twins), u AS (SELECT upper(trim(t.a.work)) AS x, upper(trim(t.b.work)) AS y FROM f),
+p AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM u WHERE x <> '' AND y <> '' AND x <> y), r AS (SELECT DISTINCT work, reference FROM refs)
+SELECT a, b, CASE WHEN f.work IS NOT NULL AND g.work IS NOT NULL THEN 'both' WHEN f.work IS NOT NULL THEN 'a cites b' WHEN g.work IS NOT NULL THEN 'b cites a' ELSE 'neither' END AS cites
+FROM p LEFT JOIN r f ON f.work = a AND f.reference = b LEFT JOIN r g ON g.work = b AND g.reference = a""",
     "seeded_sample": """WITH p AS (SELECT DISTINCT topic, work FROM papers WHERE topic IS NOT NULL AND work IS NOT NULL)
 SELECT topic, work, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY sha256('2026:' || work), work) AS rank FROM p) WHERE rank <= 40""",
     "percentile_threshold": """WITH v AS (SELECT unnest(neighbours).similarity AS s FROM neighbours), k AS (SELECT s FROM v WHERE s IS NOT NULL AND NOT isnan(s))

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -49,12 +50,13 @@ def test_cosines_and_dots(spark, tf):
     assert {r["dom"]: r["s"] for r in mean.groupBy("dom").agg(F.sum(F.col("w") * F.col("w")).alias("s")).collect()} == pytest.approx({"x": 1, "y": 1})
 
 
-@pytest.mark.parametrize("size", [1, 2, 1000])
-def test_block_neighbours(spark, tf, size):
+@pytest.mark.parametrize("terms", [1, 5, 500_000])
+def test_block_neighbours(spark, tf, monkeypatch, terms):
+    monkeypatch.setattr(V, "BLOCK_TERMS", terms)
     v, w = V.tfidf(tf, 4, keep=("dom",)), brute()
     group = {"d1": "x", "d2": "x", "d3": "y", "d4": "y"}
     apart = spark.createDataFrame([("x", "y", 0.5)], "a string, b string, distance double")
-    got = {(r["doc"], r["other"]): (r["similarity"], r["distance"], r["score"]) for r in V.block_neighbours(v, "dom", 3, apart, size).collect()}
+    got = {(r["doc"], r["other"]): (r["similarity"], r["distance"], r["score"]) for r in V.block_neighbours(v, "dom", 3, apart).collect()}
     want = {}
     for a in DOCS:
         for b in DOCS:
@@ -63,7 +65,39 @@ def test_block_neighbours(spark, tf, size):
                 want[a, b] = (s, 0.5, round(s / 2, 6))
     assert {k: v[0] for k, v in got.items()} == pytest.approx({k: v[0] for k, v in want.items()}) and len(want) == 2
     assert all(v[1] == 0.5 and v[2] == pytest.approx(v[0] / 2, abs=1e-6) for v in got.values())
-    assert V.block_neighbours(v.limit(0), "dom", 3, apart, size).count() == 0
+    assert V.block_neighbours(v.limit(0), "dom", 3, apart).count() == 0
+
+
+@pytest.mark.parametrize("terms", [40, 500_000])
+def test_neighbours_and_counts_against_brute_force(spark, monkeypatch, terms):
+    monkeypatch.setattr(V, "BLOCK_TERMS", terms)
+    rnd = random.Random(3)
+    words = {f"d{i:02d}": {w: rnd.random() for w in rnd.sample([f"t{j}" for j in range(30)], rnd.randrange(1, 9))} for i in range(60)}
+    group = {d: f"g{int(d[1:]) % 7}" if int(d[1:]) % 9 else d for d in words}
+    v = spark.createDataFrame([(d, t, x, group[d]) for d, ts in words.items() for t, x in ts.items()], "doc string, term string, w double, g string")
+    apart = {(f"g{i}", f"g{j}"): rnd.random() for i in range(7) for j in range(i + 1, 6)}
+    s = {(a, b): round(sum(x * words[b].get(t, 0) for t, x in words[a].items()), 6) for a in words for b in words if a != b}
+    far = lambda a, b: apart.get(tuple(sorted((group[a], group[b]))), 1.0)
+    want = set()
+    for a in words:
+        near = [b for b in words if group[b] != group[a] and s[a, b] > 0]
+        want |= {(a, b) for by in (lambda b: -s[a, b], lambda b: -round(s[a, b] * far(a, b), 6)) for b in sorted(near, key=lambda b: (by(b), b))[:4]}
+    got = V.block_neighbours(v, "g", 4, spark.createDataFrame([(*p, x) for p, x in apart.items()], "a string, b string, distance double")).collect()
+    assert {(r["doc"], r["other"]) for r in got} == want and len(got) == len(want)
+    assert all(r["similarity"] == s[r["doc"], r["other"]] and r["distance"] == pytest.approx(far(r["doc"], r["other"])) for r in got)
+    level = {d: round(rnd.random(), 6) for d in list(words)[::2]}
+    for r in V.above(v, spark.createDataFrame(list(level.items()), "doc string, level double"), 0.01).collect():
+        own = [s[r["doc"], b] for b in words if b != r["doc"] and s[r["doc"], b] > 0]
+        fail = [x for x in own if round(x + 0.01, 6) >= level[r["doc"]]]
+        assert (r["others"], r["failing"], r["least_failing"], r["most_passing"]) == (len(own), len(fail), min(fail, default=None), max([x for x in own if x not in fail], default=0))
+    assert V.above(v.limit(0), spark.createDataFrame([], "doc string, level double"), 0.01).count() == 0
+
+
+def test_common_terms_are_joined_the_same_way(spark, tf, monkeypatch):
+    plain = {(r["doc"], r["term"]): r["w"] for r in V.tfidf(tf, 4).collect()}
+    monkeypatch.setattr(V, "MOST_TERMS", 1)
+    monkeypatch.setattr(V.skew, "HOT_ROWS", 2)
+    assert {(r["doc"], r["term"]): r["w"] for r in V.tfidf(tf, 4).collect()} == pytest.approx(plain)
 
 
 def test_distinctive_breaks_ties_by_the_word(tf):
