@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Exact t-SNE is quadratic, so the points of one layout are bounded; more are refused.
+#: Exact t-SNE is quadratic in time and memory: points that tsne() takes; more are refused.
 MOST_POINTS = 10_000
+#: Points of a layout that are laid out among each other; all others are placed by these.
+LANDMARKS = 5_000
 
 
 def truncated_svd(vectors: DataFrame, dims: int = 50, width: int = 4096, rounds: int = 2, seed: int = 9) -> DataFrame:
@@ -95,16 +99,54 @@ def scaled(points: DataFrame, to: int = 1000) -> DataFrame:
     return points.crossJoin(F.broadcast(ends)).select("doc", at("x"), at("y"))  # ends is one row
 
 
-def layout(coordinates: DataFrame, rounds: int = 300) -> DataFrame:
-    """(doc, x, y): t-SNE of at most MOST_POINTS documents in one task; more raise an error."""
-    n = coordinates.count()
-    if n > MOST_POINTS:
-        raise ValueError(f"{n} points, more than {MOST_POINTS}")
+def layout(coordinates: DataFrame, rounds: int = 300, landmarks: int = LANDMARKS, near: int = 5) -> DataFrame:
+    """(doc, x, y) on a map of 0..1000: t-SNE in one task of all documents up to `landmarks`.
+
+    Of more, that many are drawn by a hash and laid out; each other one is placed at the mean of its
+    `near` nearest landmarks, weighted by closeness. Landmarks are sent to all tasks.
+    """
     kind = coordinates.schema["doc"].dataType.simpleString()
+    rows = coordinates.count()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc")
         at = tsne(np.array(pdf["coordinates"].tolist()), rounds=rounds).round().astype(int)
         return pd.DataFrame({"doc": pdf["doc"], "x": at[:, 0], "y": at[:, 1]})
 
-    return coordinates.groupBy(F.lit("all")).applyInPandas(run, f"doc {kind}, x int, y int")
+    placed = f"doc {kind}, x int, y int"
+    if rows <= landmarks:
+        return coordinates.groupBy(F.lit("all")).applyInPandas(run, placed)
+    from driftnet import session
+
+    chosen = session.stage(coordinates.orderBy(F.sha2(F.col("doc").cast("string"), 256), "doc").limit(landmarks), "landmarks")
+    fixed = session.stage(chosen.groupBy(F.lit("all")).applyInPandas(run, placed), "placed")
+    held = fixed.join(chosen, "doc").toPandas()  # at most `landmarks` rows
+    shared = coordinates.sparkSession.sparkContext.broadcast((np.array(held["coordinates"].tolist()), held[["x", "y"]].to_numpy(float)))
+
+    def place(batches):
+        points, at = shared.value
+        for pdf in batches:
+            c = np.array(pdf["coordinates"].tolist()).reshape(len(pdf), -1)
+            d = np.maximum((c * c).sum(axis=1)[:, None] + (points * points).sum(axis=1) - 2 * c @ points.T, 0)
+            j = np.argpartition(d, min(near, len(points)) - 1, axis=1)[:, :near]
+            w = 1 / (1e-9 + np.sqrt(np.take_along_axis(d, j, 1)))
+            xy = ((at[j] * w[:, :, None]).sum(axis=1) / w.sum(axis=1, keepdims=True)).round().astype(int)
+            yield pd.DataFrame({"doc": pdf["doc"], "x": xy[:, 0], "y": xy[:, 1]})
+
+    rest = coordinates.join(fixed.select("doc"), "doc", "left_anti")
+    return fixed.unionByName(rest.mapInPandas(place, placed))
+
+
+def reused(folder: str, vectors: DataFrame, make) -> DataFrame:
+    """make(vectors), or what it gave before if the vectors are the same: their digest lies beside the map.
+
+    The digest is the sum and the exclusive or of rows' hashes, so the order of rows makes no difference.
+    """
+    spark = vectors.sparkSession
+    h = F.xxhash64(*vectors.columns)
+    one = vectors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(h.cast("decimal(38,0)")).cast("string"), F.lit("")).alias("s"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x")).first()
+    name = hashlib.sha256(repr(tuple(one)).encode()).hexdigest()[:16]
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/map-{name}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make(vectors).write.mode("overwrite").parquet(f"{folder}/map-{name}")
+    return spark.read.parquet(f"{folder}/map-{name}")

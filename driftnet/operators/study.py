@@ -24,6 +24,20 @@ class NotEnough(ValueError):
     """Pairs lack what an analysis needs; the message says what."""
 
 
+def boosted(fitting: DataFrame, later: DataFrame, label: str = "label", rounds: int = 20, depth: int = 3, seed: int = 1) -> DataFrame:
+    """later with score_trees: gradient-boosted trees on all features, classes weighing the same, fitted on the cluster."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    share = fitting.agg(F.avg(label).alias("p")).first()["p"]
+    weight = F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share)).alias("_w")
+    join = VectorAssembler(inputCols=graph.FEATURES, outputCol="_x")
+    model = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=rounds, maxDepth=depth, seed=seed).fit(join.transform(fitting.select(*graph.FEATURES, F.col(label).cast("double").alias("_y"), weight)))
+    scored = model.transform(join.transform(later))
+    return scored.withColumn("score_trees", vector_to_array("probability")[1]).select(*later.columns, "score_trees")
+
+
 def random_score(seed: int, *keys: str) -> Column:
     """A number in [0, 1) that depends on the seed and the keys alone: the floor that any model must beat."""
     digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(k) for k in keys]), 256)

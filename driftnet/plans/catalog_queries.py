@@ -343,8 +343,38 @@ def model_weights(spark: SparkSession, d: str) -> DataFrame:
     return intake.shrunk_weights(judged).withColumn("weight", F.round("weight", 6))
 
 
+def plain_model(prompt: str) -> str:
+    """A model in place of one of language: it repeats the title, and the second time it is asked says more."""
+    import json
+    import re
+
+    title = re.search(r"Title: (.*)", prompt)
+    said = title.group(1) if title else ""
+    more = " and what follows from it" if "could not be used" in prompt else ""
+    return "<think>{}</think>" + json.dumps({"problem": said + more, "approach": said + more})
+
+
+def described_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Papers described by the stand-in model, those of units of which most could be."""
+    from driftnet.operators import describe
+
+    title = table(spark, d, "abstracts").filter("work is not null and title is not null and title <> ''").groupBy("work").agg(F.min("title").alias("title"))
+    units = table(spark, d, "descriptions").filter("unit is not null").select("unit", "work").distinct()
+    papers = units.join(title, "work").select("unit", "work", "title", F.lit(None).cast("string").alias("abstract"), F.array().cast("array<string>").alias("avoid"))
+    got = describe.whole_units(describe.describe(papers, plain_model, "Describe the paper."))
+    return got.select("unit", "work", "tries", F.sha2("problem", 256).alias("problem"))
+
+
+def boosted_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Gradient-boosted trees on all features, fitted on the earlier pairs: measures on the later ones."""
+    from driftnet.operators import study
+
+    fitting, later = G._pairs(spark, d, G.FIT_FREEZE, G.FIT_AFTER), G._pairs(spark, d)
+    return study.measures(stage(study.boosted(fitting, later), "scored"), (100,))
+
+
 QUERIES = [
-    works_grouped, works_sampled, works_filtered, feed_topics, jsonl_abstracts, keyed_papers, record_files, commented_gold, result_files, oversized_contents,
+    described_titles, boosted_trees, works_grouped, works_sampled, works_filtered, feed_topics, jsonl_abstracts, keyed_papers, record_files, commented_gold, result_files, oversized_contents,
     benchmark_resolved, usable_sample, unit_texts, reference_lists, encoded_titles, exported_pairs, model_scores, records_jsonl, twins_json, records_upserted, file_digests,
     lower_titles, citations_as_of, rounded_similarities, scaled_positions, subfield_paths, strict_links, strict_works, domains_merged, first_sampled, records_replaced,
     visible_papers, pairs_shown, generic_papers, chance_agreement, closest_descriptions, papers_loaded, progress_rows, closed_vocabulary, model_weights,
@@ -361,6 +391,9 @@ _REFS = "rf AS MATERIALIZED (SELECT work, unnest(neighbours).work AS reference F
 _INST = f"""ins AS (SELECT DISTINCT c.topic, reference, t.subfield FROM (SELECT topic, unnest(instrument) AS reference FROM cur WHERE "freeze" = {G.FREEZE}) c JOIN topics t ON t.id = c.topic WHERE reference IS NOT NULL)"""
 
 SQL = {
+    "described_titles": f"""WITH t AS (SELECT work, min(title) AS t FROM abstracts WHERE work IS NOT NULL AND title IS NOT NULL AND title <> '' GROUP BY work), p AS (SELECT DISTINCT unit, work, t FROM descriptions JOIN t USING (work) WHERE unit IS NOT NULL),
+a AS (SELECT unit, work, {Q.squeeze('t')} AS one, {Q.squeeze("t || ' and what follows from it'")} AS two, {Q.word_count('t')} AS n FROM p), b AS (SELECT *, CASE WHEN n >= 4 THEN one WHEN two <> '' THEN two END AS said FROM a)
+SELECT unit, work, CASE WHEN n >= 4 THEN 1 ELSE 2 END::INT AS tries, sha256(said) AS problem FROM b""",
     "works_grouped": "SELECT year, count(*) AS works FROM abstracts WHERE year BETWEEN 2008 AND 2019 AND abstract IS NOT NULL GROUP BY year",
     "works_sampled": """SELECT id, topic FROM (SELECT work AS id, min(topic) AS topic, min(domain) AS domain FROM papers WHERE work IS NOT NULL GROUP BY work)
 WHERE domain IN ('Life Sciences', 'Social Sciences') ORDER BY sha256('2026:' || id), id LIMIT 200""",

@@ -81,6 +81,12 @@ def twins_selected(spark: SparkSession, d: str) -> DataFrame:
     return twins.nested(chosen, V.shared_words(chosen, found["vectors"], "a", "b"), twins.field_of(papers))
 
 
+def twins_chosen(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs that the whole flow chooses, confirmed ones first, each paper in two at most."""
+    found = twins.combine(table(spark, d, "descriptions"), table(spark, d, "papers"), table(spark, d, "abstracts"))
+    return found["twins"].select("a", "b", "similarity", "distance", "score", "trust")
+
+
 def twin_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Published pairs laid flat, each once in one direction with its best score, by trust."""
     flat = table(spark, d, "twins").select(F.explode("twins").alias("t"))
@@ -153,7 +159,7 @@ def paper_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    model_agreement, paper_agreement, mean_likeness, near_papers, twin_candidates, why_words, known_cases, reliable_papers, twins_selected, twin_pairs,
+    model_agreement, paper_agreement, mean_likeness, near_papers, twin_candidates, why_words, known_cases, reliable_papers, twins_selected, twins_chosen, twin_pairs,
     twin_words, open_index, known_twin_retrieval, retrieval_summary, family_bootstrap, paper_layout,
 ]
 
@@ -186,7 +192,28 @@ FROM g q JOIN g p ON q.work <> p.work LEFT JOIN gs ON gs.query = q.work AND gs.i
 hh AS (SELECT *, row_number() OVER w AS r, sum(rel) OVER w AS hits FROM rk WINDOW w AS (PARTITION BY query ORDER BY s DESC, item)),
 ap AS MATERIALIZED (SELECT query, round(sum(CASE WHEN rel = 1 THEN hits / r ELSE 0 END) / sum(rel), 6) AS ap, CAST(max(rel) FILTER (r = 1) AS INT) AS first FROM hh GROUP BY query HAVING sum(rel) > 0)"""
 
+_CHOSEN = f"""WITH RECURSIVE {_DESCRIBED.strip()}, {_AGREE.strip()}, {_PV.strip()}, {_SIM.strip()},
+nb AS MATERIALIZED (SELECT desc_id, work, row_number() OVER (ORDER BY CAST('0x' || left(sha256('2025|' || desc_id), 8) AS BIGINT), desc_id) AS rank FROM rws),
+ch AS (SELECT p AS pair, CAST('0x' || left(sha256('2025|i|' || p), 8) AS BIGINT) % (SELECT count(*) FROM nb) + 1 AS i, CAST('0x' || left(sha256('2025|j|' || p), 8) AS BIGINT) % (SELECT count(*) FROM nb) + 1 AS j FROM range(20000) r(p)),
+xy AS MATERIALIZED (SELECT pair, x.desc_id AS x, y.desc_id AS y FROM ch JOIN nb x ON x.rank = i JOIN nb y ON y.rank = j WHERE x.work <> y.work),
+xd AS (SELECT pair, sum(a.w * b.w) AS dot FROM xy JOIN v a ON a.doc = x JOIN v b ON b.doc = y AND b.term = a.term GROUP BY pair),
+th AS (SELECT quantile_cont(coalesce(dot, 0), 0.95) AS t FROM xy LEFT JOIN xd USING (pair)),
+mm AS (SELECT work, avg(agreement) AS agreement FROM ag GROUP BY work HAVING avg(agreement) > (SELECT t FROM th)), al AS (SELECT DISTINCT work FROM pv),
+ss AS (SELECT x.work, y.work AS other, sum(x.w * y.w) AS s FROM pv x JOIN pv y ON x.term = y.term AND x.work <> y.work WHERE x.work IN (SELECT work FROM mm) GROUP BY ALL),
+ff AS (SELECT mm.work, mm.agreement, coalesce(ss.s, 0) AS s FROM mm JOIN al ON al.work <> mm.work LEFT JOIN ss ON ss.work = mm.work AND ss.other = al.work),
+tr AS MATERIALIZED (SELECT work FROM ff GROUP BY work HAVING round(any_value(agreement), 6) > round(quantile_cont(s, 0.99) + 0.0001::DOUBLE, 6)),
+tt AS (SELECT term, sum(w) AS t FROM pv GROUP BY term), lk AS MATERIALIZED (SELECT work, round((sum(w * t) - sum(w * w)) / greatest((SELECT count(*) FROM al) - 1, 1), 9) AS likeness FROM pv JOIN tt USING (term) GROUP BY work),
+gn AS MATERIALIZED (SELECT work FROM lk WHERE likeness > (SELECT quantile_cont(likeness, 0.95) FROM lk)),
+cd AS (SELECT DISTINCT least(work, other) AS a, greatest(work, other) AS b FROM (SELECT *, row_number() OVER (PARTITION BY work ORDER BY score DESC, other) AS r FROM sides) WHERE r <= 40),
+cl AS (SELECT sp.*, a IN (SELECT work FROM tr) AND b IN (SELECT work FROM tr) AS sure, a IN (SELECT work FROM gn) OR b IN (SELECT work FROM gn) AS generic FROM sp JOIN cd USING (a, b) WHERE NOT known),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY sure DESC, score DESC, a, b) AS i FROM cl WHERE sure OR NOT generic),
+st AS (SELECT 0::BIGINT AS i, 0 AS sure_n, 0 AS lead_n, []::VARCHAR[] AS used, []::BIGINT[] AS chosen
+UNION ALL SELECT rk.i, sure_n + CASE WHEN sure AND take THEN 1 ELSE 0 END, lead_n + CASE WHEN NOT sure AND take THEN 1 ELSE 0 END, CASE WHEN take THEN used || [a, b] ELSE used END, CASE WHEN take THEN chosen || [rk.i] ELSE chosen END
+FROM (SELECT st.*, q.*, CASE WHEN q.sure THEN sure_n ELSE lead_n END < 50 AND len(list_filter(used, lambda u: u = q.a)) < 2 AND len(list_filter(used, lambda u: u = q.b)) < 2 AS take FROM st JOIN (SELECT i AS j, a, b, sure FROM rk) q ON q.j = st.i + 1 WHERE lead_n < 50) z JOIN (SELECT i FROM rk) rk ON rk.i = z.j)
+SELECT a, b, similarity, distance, score, CASE WHEN sure THEN 'two models agree' ELSE 'one model so far' END AS trust FROM rk WHERE i IN (SELECT unnest(chosen) FROM (SELECT chosen FROM st ORDER BY i DESC LIMIT 1))"""
+
 SQL = {
+    "twins_chosen": _CHOSEN,
     "model_agreement": f"""WITH {_DESCRIBED}, {_AGREE}, c AS (SELECT model, count(*) AS descriptions, count(DISTINCT work) AS papers FROM rws GROUP BY model),
 m AS (SELECT model, count(*) AS pairs, round(avg(agreement), 4) AS agreement FROM (SELECT mx AS model, agreement FROM ag UNION ALL SELECT my, agreement FROM ag) GROUP BY model)
 SELECT model, descriptions, papers, coalesce(pairs, 0) AS pairs, agreement FROM c LEFT JOIN m USING (model)""",
