@@ -35,6 +35,17 @@ LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
 WORDLIKE = r"[\p{L}\p{N}_]+"
 
 
+def word_list(path: str) -> list[str]:
+    """Words of a file, separated by white space, lines after # left out: a full stop list is a parameter like any other."""
+    with open(path, encoding="utf-8") as f:
+        return [w for line in f for w in line.partition("#")[0].lower().split()]
+
+
+def changed_list(words: list[str], without: list[str], more: list[str]) -> list[str]:
+    """A list made from another: without some words, with some more, each once and in order."""
+    return list(dict.fromkeys([w for w in words if w not in set(without)] + list(more)))
+
+
 def literal_array(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 

@@ -379,3 +379,21 @@ def checked_record_results(results: DataFrame, units: DataFrame, fmt: int = 1) -
     bad = parsed.filter("fault is null").select("result", F.posexplode("records").alias("at", "r")).select("result", "at", "r.*").withColumn("own", record_fault(fmt=fmt)).filter("own is not null")
     first = bad.groupBy("result").agg(F.min_by(F.concat_ws(": ", "topic", "own"), "at").alias("own"))
     return parsed.join(first, "result", "left").select("result", "unit", F.coalesce("fault", "own").alias("fault"))
+
+
+def ranking_fault(ranking: Column, items: Column) -> Column:
+    """What is wrong with a ranking of a unit's items, or null: each must be ranked once, and nothing else."""
+    return first_fault([
+        (ranking.isNotNull() & (F.size(ranking) > 0), "nothing is ranked"), (F.size(F.array_distinct(ranking)) == F.size(ranking), "an item is ranked twice"),
+        (F.size(F.array_except(ranking, items)) == 0, "an item isn't the unit's"), (F.size(ranking) == F.size(F.array_distinct(items)), "an item isn't ranked"),
+    ])
+
+
+def rehearsal(papers: DataFrame, words: int = 8) -> DataFrame:
+    """(kind, work, problem, approach): for each paper (work, abstract) a sound description, of its abstract's own words, and
+    a junk one, to rehearse the checks with."""
+    said = F.split(T.squeeze(F.col("abstract")), " ")
+    part = lambda start: F.array_join(F.slice(said, start, words), " ")
+    sound = papers.select(F.lit("sound").alias("kind"), "work", part(1).alias("problem"), part(words + 1).alias("approach"))
+    junk = papers.select(F.lit("junk").alias("kind"), "work", F.lit("TODO fill this in later").alias("problem"), F.lit("n/a").alias("approach"))
+    return sound.unionByName(junk)

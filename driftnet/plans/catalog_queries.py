@@ -373,8 +373,51 @@ def boosted_trees(spark: SparkSession, d: str) -> DataFrame:
     return study.measures(stage(study.boosted(fitting, later), "scored"), (100,))
 
 
+def staged_papers(spark: SparkSession, d: str) -> DataFrame:
+    """Papers through a table in shared storage."""
+    return stage(table(spark, d, "papers").select("work", "topic", "family"), "papers")
+
+
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    """A report as a file and back; a number that doesn't exist is null."""
+    import os
+
+    papers = table(spark, d, "papers").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("work").alias("works")).first()
+    folder = stage_path(spark, "report").removeprefix("file://").removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    writers.report({"papers": {"rows": papers["rows"], "works": papers["works"]}, "missing": float("nan")}, f"{folder}/report.json")
+    got = readers.whole_file(spark, f"file://{folder}/report.json", "papers struct<rows:bigint,works:bigint>, missing double")
+    return got.select("papers.rows", "papers.works", "missing")
+
+
+def svd_gram(spark: SparkSession, d: str) -> DataFrame:
+    """Inner products of the first five coordinates of papers by a truncated SVD: 0 between different ones."""
+    from driftnet.operators import layout
+
+    _, vectors = TQ._vectors(spark, d)
+    at = layout.truncated_svd(twins.paper_vectors(vectors), 5)
+    pairs = [(i, j) for i in range(5) for j in range(i)]
+    sums = at.agg(*[F.abs(F.round(F.sum(F.col("coordinates")[i] * F.col("coordinates")[j]), 6)).alias(f"p{i}{j}") for i, j in pairs])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}{j}").alias("dot")) for i, j in pairs])).alias("x")).select("x.i", "x.j", "x.dot")
+
+
+def rankings_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Records' reference papers as rankings of all that any record of the topic lists."""
+    rows = table(spark, d, "records").filter("topic is not null and freeze is not null")
+    items = rows.select("topic", "freeze", F.explode("instrument").alias("w")).groupBy("topic", "freeze").agg(F.collect_set("w").alias("items"))  # a topic's reference papers
+    told = rows.join(items, ["topic", "freeze"], "left").select(intake.ranking_fault(F.col("instrument"), F.col("items")).alias("fault"))
+    return told.groupBy("fault").agg(F.count(F.lit(1)).alias("rankings"))
+
+
+def rehearsal_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What the checks say of sound and of junk descriptions."""
+    papers = table(spark, d, "abstracts").filter("work is not null and abstract is not null").select("work", "abstract")
+    rows = intake.rehearsal(papers).withColumns({"author": F.lit("me"), "model": F.struct(F.lit("p").alias("provider"), F.lit("m").alias("id"))})
+    return rows.select("kind", intake.description_fault().alias("fault")).groupBy("kind", "fault").agg(F.count(F.lit(1)).alias("rows"))
+
+
 QUERIES = [
-    described_titles, boosted_trees, works_grouped, works_sampled, works_filtered, feed_topics, jsonl_abstracts, keyed_papers, record_files, commented_gold, result_files, oversized_contents,
+    staged_papers, report_json, svd_gram, rankings_checked, rehearsal_faults, described_titles, boosted_trees, works_grouped, works_sampled, works_filtered, feed_topics, jsonl_abstracts, keyed_papers, record_files, commented_gold, result_files, oversized_contents,
     benchmark_resolved, usable_sample, unit_texts, reference_lists, encoded_titles, exported_pairs, model_scores, records_jsonl, twins_json, records_upserted, file_digests,
     lower_titles, citations_as_of, rounded_similarities, scaled_positions, subfield_paths, strict_links, strict_works, domains_merged, first_sampled, records_replaced,
     visible_papers, pairs_shown, generic_papers, chance_agreement, closest_descriptions, papers_loaded, progress_rows, closed_vocabulary, model_weights,
@@ -391,6 +434,15 @@ _REFS = "rf AS MATERIALIZED (SELECT work, unnest(neighbours).work AS reference F
 _INST = f"""ins AS (SELECT DISTINCT c.topic, reference, t.subfield FROM (SELECT topic, unnest(instrument) AS reference FROM cur WHERE "freeze" = {G.FREEZE}) c JOIN topics t ON t.id = c.topic WHERE reference IS NOT NULL)"""
 
 SQL = {
+    "staged_papers": "SELECT work, topic, family FROM papers",
+    "report_json": "SELECT count(*) AS rows, count(DISTINCT work) AS works, CAST(NULL AS DOUBLE) AS missing FROM papers",
+    "svd_gram": "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, 0.0::DOUBLE AS dot FROM range(5) a(i), range(5) b(j) WHERE j < i",
+    "rankings_checked": """WITH r AS (SELECT record, topic, "freeze" AS f, instrument AS k FROM records WHERE topic IS NOT NULL AND "freeze" IS NOT NULL), i AS (SELECT topic, f, list(DISTINCT w) AS items FROM (SELECT topic, f, unnest(k) AS w FROM r) WHERE w IS NOT NULL GROUP BY ALL)
+SELECT CASE WHEN k IS NULL OR len(k) = 0 THEN 'nothing is ranked' WHEN len(list_distinct(k)) <> len(k) THEN 'an item is ranked twice' WHEN len(list_distinct(k)) <> len(items) THEN 'an item isn''t ranked' END AS fault, count(*) AS rankings FROM r LEFT JOIN i USING (topic, f) GROUP BY fault""",
+    "rehearsal_faults": f"""WITH w AS (SELECT work, string_split({Q.squeeze('abstract')}, ' ') AS w FROM abstracts WHERE work IS NOT NULL AND abstract IS NOT NULL), s AS (SELECT work, array_to_string(w[1:8], ' ') AS p, array_to_string(w[9:16], ' ') AS q FROM w)
+SELECT 'sound' AS kind, CASE WHEN NOT regexp_matches(work, '^W[0-9]+$') THEN 'work is no work ID' WHEN ({Q.word_count('p')}) < 4 OR ({Q.word_count('q')}) < 4 THEN 'a part is too short'
+WHEN regexp_matches(lower(p || ' ' || q), '(^|[^a-z])(n/a|todo|tbd|lorem ipsum|placeholder)([^a-z]|$)') THEN 'a placeholder' END AS fault, count(*) AS rows FROM s GROUP BY fault
+UNION ALL SELECT 'junk', CASE WHEN NOT regexp_matches(work, '^W[0-9]+$') THEN 'work is no work ID' ELSE 'a part is too short' END, count(*) FROM s GROUP BY 2""",
     "described_titles": f"""WITH t AS (SELECT work, min(title) AS t FROM abstracts WHERE work IS NOT NULL AND title IS NOT NULL AND title <> '' GROUP BY work), p AS (SELECT DISTINCT unit, work, t FROM descriptions JOIN t USING (work) WHERE unit IS NOT NULL),
 a AS (SELECT unit, work, {Q.squeeze('t')} AS one, {Q.squeeze("t || ' and what follows from it'")} AS two, {Q.word_count('t')} AS n FROM p), b AS (SELECT *, CASE WHEN n >= 4 THEN one WHEN two <> '' THEN two END AS said FROM a)
 SELECT unit, work, CASE WHEN n >= 4 THEN 1 ELSE 2 END::INT AS tries, sha256(said) AS problem FROM b""",

@@ -77,3 +77,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what this application staged. Call it when no frame that reads a staged table is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/driftnet/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

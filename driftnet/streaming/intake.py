@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -57,9 +58,19 @@ class Store:
         return intake.unit_states(self.submissions(), quorum)
 
 
-def run(source: DataFrame, store: Store, checkpoint: str):
-    """Start the stream of submissions (unit, issue, author, model, arrived) into the store; processes what is there."""
-    return source.writeStream.foreachBatch(lambda df, i: store.apply(df, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run(source: DataFrame, store: Store, checkpoint: str, then: Callable[[Store, int], None] | None = None):
+    """Start the stream of submissions (unit, issue, author, model, arrived) into the store; processes what is there.
+
+    then is called with the store and the batch's number after each batch, to bring up to date what hangs
+    on the submissions: states, progress, matches. It must bear to be called again for the same batch.
+    """
+
+    def each(df: DataFrame, i: int) -> None:
+        store.apply(df, i)
+        if then is not None:
+            then(store, i)
+
+    return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def accepted_by_day(source: DataFrame, delay: str = "7 days") -> DataFrame:

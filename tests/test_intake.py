@@ -211,3 +211,38 @@ def test_small_reports(spark):
     w = {r["model"]: r["weight"] for r in I.shrunk_weights(spark.createDataFrame([("a", 1), ("a", 1), ("b", 0), ("b", 1)], "model string, hit int")).collect()}
     assert w["b"] == 0 and w["a"] > 0
     assert [r["f"] for r in spark.createDataFrame([(None,), ("",), ("abc",)], "c string").select(I.content_fault(F.col("c"), 2).alias("f")).collect()] == ["no content", "nothing in it", "larger than 2 bytes"]
+
+
+def test_what_hangs_on_submissions_follows_each_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(f"u{i}", str(i), "x", "AB"[i % 2], None) for i in range(6)], stream.SUBMISSION)
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store, seen = stream.Store(spark, str(tmp_path / "store")), []
+    stream.run(source, store, str(tmp_path / "c"), lambda s, i: seen.append((i, s.states().count()))).awaitTermination()
+    assert [i for i, _ in seen] == [0, 1, 2] and seen[-1][1] == 6 and seen == sorted(seen)
+
+
+def test_rankings_and_rehearsals(spark):
+    df = spark.createDataFrame([(["a", "b"],), (["a", "a"],), (["a", "c"],), (["a"],), ([],), (None,)], "r array<string>")
+    got = [r["f"] for r in df.select(I.ranking_fault(F.col("r"), F.array(F.lit("b"), F.lit("a"))).alias("f")).collect()]
+    assert got == [None, "an item is ranked twice", "an item isn't the unit's", "an item isn't ranked", "nothing is ranked", "nothing is ranked"]
+    papers = spark.createDataFrame([("W1", " ".join(f"word{i}" for i in range(20))), ("W2", "short")], "work string, abstract string")
+    rows = I.rehearsal(papers).withColumns({"author": F.lit("me"), "model": F.struct(F.lit("p").alias("provider"), F.lit("m").alias("id"))})
+    assert {(r["kind"], r["work"]): r["f"] for r in rows.select("kind", "work", I.description_fault().alias("f")).collect()} == {("sound", "W1"): None, ("sound", "W2"): "a part is too short", ("junk", "W1"): "a part is too short", ("junk", "W2"): "a part is too short"}
+
+
+def test_word_lists_and_clearing(spark, tmp_path):
+    from driftnet import session
+    from driftnet.functions import text as T
+
+    (tmp_path / "stops.txt").write_text("The of # common\n# more\nand\n")
+    assert T.word_list(str(tmp_path / "stops.txt")) == ["the", "of", "and"]
+    assert T.changed_list(["the", "of", "and"], ["of"], ["ltd", "the"]) == ["the", "and", "ltd"]
+    path = session.stage_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    folder = path.rsplit("/", 1)[0].removeprefix("file:")
+    import os
+
+    assert os.path.isdir(folder)
+    session.clear_staged(spark)
+    assert not os.path.isdir(folder)
