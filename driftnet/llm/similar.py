@@ -157,7 +157,7 @@ class _Index:
 
     def __init__(self, idf: np.ndarray, sample: np.ndarray, sketches: np.ndarray, rows: int, parallel: int):
         self.idf = idf
-        wanted = int(2 ** round(np.log2(max(4.0, 2 * rows**0.5))))
+        wanted = int(2 ** round(np.log2(max(4.0, 4 * rows**0.5))))
         self.centroids = lists(sample, max(1, min(wanted, SAMPLE // 8, len(sample) // 8)))
         self.quantiser = Quantiser.fit(sketches)
         count = len(self.centroids)
