@@ -130,7 +130,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = splitting.split(table(spark, d, "documents"), oversized_only=True, with_text=False)
+    pieces = splitting.split(table(spark, d, "documents"), oversized_only=True)
     return pieces.filter("piece = 1").select("doc_id")
 
 
