@@ -34,6 +34,14 @@ SPILL = 2
 #: Index rows in a block, about; a block is what one task holds while queries stream by.
 BLOCK_ROWS = 20_000
 DEPTH = 64
+#: What bounds a task's memory at any number of lists, blocks and candidates: rows routed at once, scores of a product, pairs
+#: that are rescored at once, pairs held before those that can't count are dropped.
+ROUTED = 1000
+SCORES = 2_000_000
+RESCORED = 20_000
+HELD = 2_000_000
+#: Words whose hashes a task remembers.
+KNOWN = 250_000
 #: Sigmas of the difference of two sketch scores within which candidates of the k-th's score are kept beyond DEPTH.
 REACH = 3.0
 #: Rows in a block of best_of_all.
@@ -49,7 +57,7 @@ def _hashes(words: set[str], known: dict[str, int]) -> np.ndarray:
         h = known.get(w)
         if h is None:
             h = xxhash.xxh3_64_intdigest(w) - (1 << 63)
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN:
                 known.clear()
             known[w] = h
         out[i] = h
@@ -186,9 +194,7 @@ def _route(shared, dims: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, keys = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, ROUTED) for b in batches for at in range(0, b.num_rows, ROUTED)):
             works = batch.column(0)
             x = project(batch.column(1), None, dims)
             near = np.argsort(-(project(batch.column(1), index.idf, ROUTE_DIMS) @ index.centroids.T), axis=1)[:, : index.probes]
@@ -237,6 +243,17 @@ def _kept(i: np.ndarray, s: np.ndarray, k: int, depth: int, dims: int) -> np.nda
     return (np.arange(len(i)) - np.repeat(first, size) < depth) | (s >= np.repeat(least, size))
 
 
+def _best(found: list[tuple], ids: np.ndarray, k: int, depth: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of candidates (query, row, score) in parts, each id of a row once a query: those that _kept keeps. What it drops of some parts it drops of all."""
+    i, j, s = (np.concatenate(z) for z in zip(*found))
+    once = np.unique(i * len(ids) + ids[j], return_index=True)[1]
+    i, j, s = i[once], j[once], s[once]
+    order = np.lexsort((-s, i))
+    i, j, s = i[order], j[order], s[order]
+    keep = _kept(i, s, k, depth, dims)
+    return i[keep], j[keep], s[keep]
+
+
 def _scan(shared, dims: int, k: int, depth: int, coarse: float, fine: float):
     """Per block: its index rows, which come first, are held; queries stream by and leave their candidates."""
 
@@ -276,31 +293,31 @@ def _scan(shared, dims: int, k: int, depth: int, coarse: float, fine: float):
                 q = unit(unfixed(part.column(4), dims // 2, np.uint8))
                 sizes = np.asarray(part.column(3).value_lengths())
                 asked, who = np.asarray(part.column(3).flatten()), np.repeat(np.arange(len(sizes)), sizes)
-                found = []
+                found, held = [], 0
                 for c in np.unique(asked):
                     if int(c) not in starts:
                         continue
                     x, y = starts[int(c)]
                     own = who[asked == c]
-                    for lo in range(x, y, 1024):
-                        hi = min(y, lo + 1024)
+                    step = max(64, SCORES // len(own))
+                    for lo in range(x, y, step):
+                        hi = min(y, lo + step)
                         i, j = np.nonzero(q[own] @ table[lo:hi].T >= coarse)
-                        if len(i):
-                            i, j = own[i], j + lo
-                            s = np.einsum("nd,nd->n", q[i], vectors[j])
+                        i, j = own[i], j + lo
+                        for at in range(0, len(i), RESCORED):
+                            near, row = i[at : at + RESCORED], j[at : at + RESCORED]
+                            s = np.einsum("nd,nd->n", q[near], vectors[row])
                             keep = s >= fine
-                            found.append((i[keep], j[keep], s[keep]))
+                            found.append((near[keep], row[keep], s[keep]))
+                            held += int(keep.sum())
+                        if held > 2 * HELD:
+                            found = [_best(found, ids, k, depth, dims)]
+                            held = max(HELD, len(found[0][0]))
                 if not found:
                     continue
-                i, j, s = (np.concatenate(z) for z in zip(*found))
-                once = np.unique(i * len(ids) + ids[j], return_index=True)[1]
-                i, j, s = i[once], j[once], s[once]
-                order = np.lexsort((-s, i))
-                i, j, s = i[order], j[order], s[order]
-                keep = _kept(i, s, k, depth, dims)
-                left, right = part.column(2).take(pa.array(i[keep])), names.take(pa.array(j[keep]))
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([left, right, pa.array(s[keep].astype(np.float32))], names=["a", "b", "score"])
+                i, j, s = _best(found, ids, k, depth, dims)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([part.column(2).take(pa.array(i)), names.take(pa.array(j)), pa.array(s.astype(np.float32))], names=["a", "b", "score"])
 
     return run
 

@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftnet.llm import similar
@@ -165,3 +167,51 @@ def test_asked_works_are_searched_among_all(spark):
     want = brute(rows, 5)
     got = got_of(spark, rows, k=5, exact=True, asked=F.col("work").rlike("[05]$"))
     assert got == {a: [(b, c) for b, c in n if c > 0] for a, n in want.items() if a[-1] in "05"}
+
+
+class Shared:
+    def __init__(self, *value):
+        self.value = value
+
+
+def index_at_size(lists_=2500, blocks=500):
+    """An index as of five million rows: the most lists there are, spread over many blocks."""
+    rng = np.random.default_rng(5)
+    out = similar._Index.__new__(similar._Index)
+    out.idf, out.probes, out.blocks = np.ones(similar.BUCKETS), 100, blocks
+    out.centroids = rng.standard_normal((lists_, similar.ROUTE_DIMS)).astype(np.float32)
+    out.quantiser = Quantiser.fit(rng.standard_normal((500, similar.DIMS)).astype(np.float32))
+    out.first, out.parts = np.arange(lists_) % blocks, np.ones(lists_, dtype=np.int64)
+    return out
+
+
+def word_rows(n, words=60, seed=6):
+    flat = np.random.default_rng(seed).integers(-(2**62), 2**62, n * words)
+    ends = np.arange(n + 1, dtype=np.int32) * words
+    return pa.RecordBatch.from_arrays([pa.array([f"W{i:05d}" for i in range(n)]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["work", "words"])
+
+
+def test_routing_holds_few_rows_at_once():
+    index, batch, seen = index_at_size(), word_rows(4000), 0
+    run = similar._route(Shared(index, np.arange(index.blocks)), similar.DIMS)
+    tracemalloc.start()
+    for out in run(iter([batch])):
+        seen += out.num_rows if out.column(1)[0].as_py() == 0 else 0
+        assert out.nbytes < 40e6
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 2 * batch.num_rows and peak < 150e6, peak
+
+
+def test_scan_is_the_same_in_small_steps(monkeypatch):
+    index = index_at_size(8, 1)
+    rows = pa.concat_tables([pa.Table.from_batches([word_rows(60, seed=s)]) for s in (6, 6, 7)]).combine_chunks()
+    names = pa.array([f"W{i:05d}" for i in range(len(rows))])
+    batch = pa.RecordBatch.from_arrays([names, rows["words"].combine_chunks()], names=["work", "words"])
+    routed = pa.Table.from_batches(list(similar._route(Shared(index, np.zeros(1, dtype=np.int64)), similar.DIMS)(iter([batch])))).sort_by("kind").combine_chunks()
+    scan = lambda: {tuple(r.values()) for b in similar._scan(Shared(index, None), similar.DIMS, 3, 5, -1.0, -1.0)(iter(routed.to_batches())) for r in b.to_pylist()}
+    want = scan()
+    for name, value in (("SCORES", 100), ("RESCORED", 7), ("HELD", 50)):
+        monkeypatch.setattr(similar, name, value)
+    short = lambda found: {(a, b, round(s, 5)) for a, b, s in found}
+    assert len(want) >= 5 * len(rows) and short(scan()) == short(want)
