@@ -93,6 +93,29 @@ def test_neighbours_and_counts_against_brute_force(spark, monkeypatch, terms):
     assert V.above(v.limit(0), spark.createDataFrame([], "doc string, level double"), 0.01).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_neighbours_by_rounds_keep_what_may_count(spark, monkeypatch, rounds):
+    """Many blocks, stripes and ties: the same as all pairs, and a round writes a row a document, not 2 k rows a block."""
+    staged, stage = [], V.session.stage
+    for name, value in (("BLOCK_TERMS", 60), ("ROUND_BLOCKS", -(-20 // rounds)), ("STRIPE", 5), ("ASKED", 7)):
+        monkeypatch.setattr(V, name, value)
+    monkeypatch.setattr(V.session, "stage", lambda df, label: staged.append((label, out := stage(df, label))) or out)
+    rnd = random.Random(5)
+    words = {f"d{i:03d}": {w: rnd.choice([0.1, 0.2, 0.30001]) for w in rnd.sample([f"t{j}" for j in range(25)], rnd.randrange(3, 9))} for i in range(200)}
+    group = {d: f"g{int(d[1:]) % 5}" for d in words}
+    v = spark.createDataFrame([(d, t, x, group[d]) for d, ts in words.items() for t, x in ts.items()], "doc string, term string, w double, g string")
+    s = {(a, b): round(sum(x * words[b].get(t, 0) for t, x in words[a].items()), 6) for a in words for b in words if group[a] != group[b]}
+    far = lambda a, b: 0.25 if {group[a], group[b]} == {"g0", "g1"} else 1.0
+    want = set()
+    for a in words:
+        near = [b for b in words if s.get((a, b), 0) > 0]
+        want |= {(a, b) for by in (lambda b: -s[a, b], lambda b: -round(s[a, b] * far(a, b), 6)) for b in sorted(near, key=lambda b: (by(b), b))[:3]}
+    got = V.block_neighbours(v, "g", 3, spark.createDataFrame([("g0", "g1", 0.25)], "a string, b string, distance double")).collect()
+    assert {(r["doc"], r["other"]) for r in got} == want and len(got) == len(want)
+    written = [df for label, df in staged if label == "near"]
+    assert len(written) >= rounds and all(df.count() == len(words) for df in written)
+
+
 def test_common_terms_are_joined_the_same_way(spark, tf, monkeypatch):
     plain = {(r["doc"], r["term"]): r["w"] for r in V.tfidf(tf, 4).collect()}
     monkeypatch.setattr(V, "MOST_TERMS", 1)
