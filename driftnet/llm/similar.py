@@ -37,8 +37,8 @@ DEPTH = 64
 #: What bounds a task's memory at any number of lists, blocks and candidates: rows routed at once, scores of a product, pairs
 #: that are rescored at once, pairs held before those that can't count are dropped.
 ROUTED = 1000
-SCORES = 2_000_000
-RESCORED = 20_000
+SCORES = 250_000
+RESCORED = 1000
 HELD = 2_000_000
 #: Words whose hashes a task remembers.
 KNOWN = 250_000
@@ -46,6 +46,8 @@ KNOWN = 250_000
 REACH = 3.0
 #: Rows in a block of best_of_all.
 EXACT_ROWS = 10_000
+#: Bits that stand for a set of words where pairs are ruled out.
+SIGN_BITS = 1024
 SALTS = 16
 
 
@@ -172,21 +174,37 @@ class _Index:
         self.probes = max(1, min(count, int(np.ceil(2.0 * count**0.5))))
         near = np.argsort(-(sample @ self.centroids.T), axis=1)[:, : min(SPILL, count)]
         size = np.bincount(near.ravel(), minlength=count) * (rows / max(1, len(sample)))
-        # lists alike go to one block, so that a query's probes lie in few of them
+        # lists alike go to one block, so that a query's probes lie in few of them; small groups share one, since each block that a
+        # query asks gets a copy of it
+        most = min(BLOCK_ROWS, max(1, int(np.ceil(size.sum() / parallel))))
         some = max(1, min(count, max(parallel * 2, int(size.sum() // BLOCK_ROWS))))
         group = (self.centroids @ lists(self.centroids, some, rounds=5).T).argmax(axis=1)
         self.first, self.parts = np.zeros(count, dtype=np.int64), np.ones(count, dtype=np.int64)
-        block, held, last = -1, 0.0, -1
-        for i in np.lexsort((np.arange(count), group)):
-            if size[i] > BLOCK_ROWS:  # a list too big for a block has several to itself
-                self.parts[i] = int(np.ceil(size[i] / BLOCK_ROWS))
-                self.first[i], block, last = block + 1, block + int(self.parts[i]), -1
-                continue
-            if group[i] != last or held + size[i] > BLOCK_ROWS:
-                block, held, last = block + 1, 0.0, group[i]
-            self.first[i] = block
-            held += size[i]
-        self.blocks = block + 1
+        self.blocks, open_ = 0, []  # of blocks with room: rows held, number
+        of_group = np.bincount(group, weights=size, minlength=some)
+        for g in np.argsort(-of_group, kind="stable"):
+            left = of_group[g]
+            at, held = -1, 0.0
+            for i in np.flatnonzero(group == g):
+                if size[i] > BLOCK_ROWS:  # a list too big for a block has several to itself
+                    self.parts[i] = int(np.ceil(size[i] / BLOCK_ROWS))
+                    self.first[i], self.blocks = self.blocks, self.blocks + int(self.parts[i])
+                    left -= size[i]
+                    continue
+                if at < 0 or held + size[i] > most:
+                    if at >= 0:
+                        open_.append((held, at))
+                    fits = [o for o in open_ if o[0] + left <= 1.1 * most]
+                    if fits:
+                        held, at = max(fits)
+                        open_.remove((held, at))
+                    else:
+                        held, at, self.blocks = 0.0, self.blocks, self.blocks + 1
+                self.first[i] = at
+                held += size[i]
+                left -= size[i]
+            if at >= 0:
+                open_.append((held, at))
 
 
 def _route(shared, dims: int):
@@ -197,7 +215,10 @@ def _route(shared, dims: int):
         for batch in (b.slice(at, ROUTED) for b in batches for at in range(0, b.num_rows, ROUTED)):
             works = batch.column(0)
             x = project(batch.column(1), None, dims)
-            near = np.argsort(-(project(batch.column(1), index.idf, ROUTE_DIMS) @ index.centroids.T), axis=1)[:, : index.probes]
+            far = -(project(batch.column(1), index.idf, ROUTE_DIMS) @ index.centroids.T)
+            probes = min(index.probes, far.shape[1])
+            near = np.argpartition(far, probes - 1, axis=1)[:, :probes]
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1), 1)
             codes = Quantiser.pack(index.quantiser.encode(x))
             scaled = Quantiser.pack((np.round(x * (7 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-9))) + 8).astype(np.uint8))
             n = batch.num_rows
@@ -293,16 +314,20 @@ def _scan(shared, dims: int, k: int, depth: int, coarse: float, fine: float):
                 q = unit(unfixed(part.column(4), dims // 2, np.uint8))
                 sizes = np.asarray(part.column(3).value_lengths())
                 asked, who = np.asarray(part.column(3).flatten()), np.repeat(np.arange(len(sizes)), sizes)
+                order = np.argsort(asked, kind="stable")
+                who = who[order]
+                cells, begin = np.unique(asked[order], return_index=True)
                 found, held = [], 0
-                for c in np.unique(asked):
+                for c, first, last in zip(cells, begin, [*begin[1:], len(asked)]):
                     if int(c) not in starts:
                         continue
                     x, y = starts[int(c)]
-                    own = who[asked == c]
+                    own = who[first:last]
+                    mine = q[own]
                     step = max(64, SCORES // len(own))
                     for lo in range(x, y, step):
                         hi = min(y, lo + step)
-                        i, j = np.nonzero(q[own] @ table[lo:hi].T >= coarse)
+                        i, j = np.divmod(np.flatnonzero(mine @ table[lo:hi].T >= coarse), hi - lo)
                         i, j = own[i], j + lo
                         for at in range(0, len(i), RESCORED):
                             near, row = i[at : at + RESCORED], j[at : at + RESCORED]
@@ -334,7 +359,9 @@ def candidates(sets: DataFrame, rows: int, least: float, k: int, depth: int = DE
     idf = np.zeros(BUCKETS)
     idf[counted["bucket"].to_numpy()] = np.minimum(MOST_IDF, np.log(1 + rows / counted["n"].to_numpy()))
     every = max(1, rows // SAMPLE)
-    drawn = sets.filter(F.pmod(F.xxhash64("work"), F.lit(every)) == 0).select("words").limit(SAMPLE + SAMPLE // 4)
+    drawn = sets.filter(F.pmod(F.xxhash64("work"), F.lit(every)) == 0).select("words")
+    if rows // every > SAMPLE + SAMPLE // 8:  # a limit moves all rows to one task
+        drawn = drawn.limit(SAMPLE + SAMPLE // 4)
     shared_idf = spark.sparkContext.broadcast(idf)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,6 +384,61 @@ def candidates(sets: DataFrame, rows: int, least: float, k: int, depth: int = DE
     return session.stage(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(work, n, sign) of (work, words): how many words there are, and a bit for each word's hash, of SIGN_BITS."""
+    for batch in batches:
+        flat, sizes = np.asarray(batch.column(1).flatten()), np.asarray(batch.column(1).value_lengths())
+        for at, to, lo, hi in _slices(sizes):
+            bits = np.zeros((to - at, SIGN_BITS), dtype=bool)
+            bits[np.repeat(np.arange(to - at), sizes[at:to]), (flat[lo:hi] >> 24) & (SIGN_BITS - 1)] = True
+            signs = [r.tobytes() for r in np.packbits(bits, axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(sizes[at:to].astype(np.int32)), pa.array(signs, pa.binary())], names=["work", "n", "sign"])
+
+
+def _slices(sizes: np.ndarray, rows: int = 2000) -> Iterator[tuple[int, int, int, int]]:
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for at in range(0, len(sizes), rows):
+        to = min(at + rows, len(sizes))
+        yield at, to, int(ends[at]), int(ends[to])
+
+
+def _may_reach(least: float):
+    """Of pairs (a, b, n, sign, words), with a's sign and b's words, those whose cosine may be `least` or more.
+
+    b's words whose bit is set are at least those that both have, so no pair is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(4)
+            flat, sizes, n = np.asarray(words.flatten()), np.asarray(words.value_lengths()), batch.column(2).to_numpy()
+            for at, to, lo, hi in _slices(sizes):
+                bits = np.unpackbits(np.frombuffer(b"".join(batch.column(3).slice(at, to - at).to_pylist()), dtype=np.uint8)).reshape(to - at, SIGN_BITS)
+                rows = np.repeat(np.arange(to - at), sizes[at:to])
+                both = np.bincount(rows, weights=bits[rows, (flat[lo:hi] >> 24) & (SIGN_BITS - 1)], minlength=to - at)
+                keep = np.flatnonzero(both / np.sqrt(n[at:to] * np.maximum(1.0, sizes[at:to])) >= least - 1e-9) + at
+                if len(keep):
+                    yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in (0, 1, 4)], names=["a", "b", "wb"])
+
+    return run
+
+
+def cosines(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, cosine) of the pairs (a, b) of rows of sets (work, words) whose cosine is positive and `least` or more, exactly.
+
+    Few candidates get there, so not all meet both sets of words: a's bits (128 bytes) go to b's words, and only pairs that
+    may reach `least` by them take b's words to a's.
+    """
+    hot = {s: skew.hot_keys(pairs, s) for s in "ab"}
+    signs = sets.select("work", "words").mapInArrow(_signed, "work string, n int, sign binary").withColumnRenamed("work", "a")
+    words = lambda s: sets.select(F.col("work").alias(s), F.col("words").alias(f"w{s}"))
+    told = skew.lookup_join(skew.lookup_join(pairs.select("a", "b"), signs, "a", hot=hot["a"]), words("b"), "b", hot=hot["b"]).select("a", "b", "n", "sign", "wb")
+    left = told.mapInArrow(_may_reach(least), "a string, b string, wb array<bigint>")
+    cosine = F.size(F.array_intersect("wa", "wb")) / F.sqrt(F.size("wa").cast("double") * F.size("wb"))
+    both = skew.lookup_join(left, words("a"), "a", hot=hot["a"]).select("a", "b", cosine.alias("cosine"))
+    return both.filter((F.col("cosine") >= least) & (F.col("cosine") > 0))
+
+
 def _overlaps(left: tuple, right: tuple, vocabulary: int, common: np.ndarray, at: int, to: int) -> np.ndarray:
     """Shared words of left's rows at..to with all of right's: common words by a matrix product, others by postings."""
     (ends, ids), (r_ends, r_ids) = left, right
@@ -522,11 +604,7 @@ def most_similar(texts: DataFrame, k: int = 5, least: int = 4, least_cosine: flo
         near = session.stage(found.filter(F.col("cosine") >= least_cosine), "scored")
     else:
         pairs = candidates(unique, rows, least_score(least_cosine), k + 1, depth)
-        left = unique.select(F.col("work").alias("a"), F.col("words").alias("wa"))
-        right = unique.select(F.col("work").alias("b"), F.col("words").alias("wb"))
-        both = skew.lookup_join(skew.lookup_join(pairs, left, "a"), right, "b", hot=skew.hot_keys(pairs, "b"))
-        cosine = F.size(F.array_intersect("wa", "wb")) / F.sqrt(F.size("wa").cast("double") * F.size("wb"))
-        scored = session.stage(both.select("a", "b", cosine.alias("cosine")).filter((F.col("cosine") >= least_cosine) & (F.col("cosine") > 0)), "scored")
+        scored = session.stage(cosines(pairs, unique, least_cosine), "scored")
         near = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     if has_copies:
         # the k + 1 smallest works of each class of several; the rank limit runs before the shuffle too

@@ -215,3 +215,29 @@ def test_scan_is_the_same_in_small_steps(monkeypatch):
         monkeypatch.setattr(similar, name, value)
     short = lambda found: {(a, b, round(s, 5)) for a, b, s in found}
     assert len(want) >= 5 * len(rows) and short(scan()) == short(want)
+
+
+def test_blocks_are_filled_so_that_a_query_is_copied_to_few():
+    rng = np.random.default_rng(8)
+    sample = rng.standard_normal((4000, similar.ROUTE_DIMS)).astype(np.float32)
+    sample[:3000] += 3 * sample[0]  # groups of very unequal size
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    sketches = rng.standard_normal((500, similar.DIMS)).astype(np.float32)
+    for rows, parallel in ((60_000, 6), (4000, 6), (400_000, 6)):
+        index = similar._Index(np.ones(similar.BUCKETS), sample, sketches, rows, parallel)
+        full = max(parallel, 2 * rows / similar.BLOCK_ROWS)
+        assert index.blocks <= 1.3 * full + 1, (rows, index.blocks)
+        first = np.concatenate([np.arange(f, f + n) for f, n in zip(index.first, index.parts)])
+        assert set(first) == set(range(index.blocks))  # each block has a list
+
+
+def test_no_pair_is_lost_by_signs(spark):
+    """Pairs around the floor, small sets and large, saturated ones: what is left is exact."""
+    rng, rows = np.random.default_rng(9), []
+    for g, (size, shared) in enumerate([(3, 2), (60, 32), (60, 31), (4000, 2120), (4000, 2119)]):
+        pool = rng.integers(-(2**62), 2**62, 2 * size - shared)
+        rows += [(f"x{g}", sorted(int(w) for w in pool[:size])), (f"y{g}", sorted(int(w) for w in pool[size - shared :]))]
+    sets = spark.createDataFrame(rows, "work string, words array<bigint>")
+    pairs = spark.createDataFrame([(f"x{i}", f"y{j}") for i in range(5) for j in range(5)], "a string, b string")
+    got = {(r["a"], r["b"]): r["cosine"] for r in similar.cosines(pairs, sets, 0.53).collect()}
+    assert got == {("x0", "y0"): 2 / 3, ("x1", "y1"): 32 / 60, ("x3", "y3"): 0.53}
