@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftnet import session
 from driftnet.operators import content as C
@@ -140,3 +141,20 @@ def test_feature_summary_is_of_all_texts(spark):
     got = {r["feature"]: (r["mean"], r["sd"]) for r in e.queries()["feature_summary"](spark, d).collect()}
     assert want["top_pairs_cos"][0] == pytest.approx(whole, abs=2e-6)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in got)
+
+
+def test_models_are_fitted_on_all_texts(spark):
+    """The earlier pairs' column is of all texts too; at this size three topics have more than 20."""
+    from driftnet.plans import graph_queries as Q
+    from driftnet.session import table
+
+    d = "/root/testdata/sf0.1"
+    texts = C.topic_texts(table(spark, d, "abstracts"), table(spark, d, "papers"), Q.FIT_FREEZE, 1)
+    found = session.stage(C.topic_vectors(texts), "topic-vectors")
+    many = [r["topic"] for r in found.select("topic", "doc").distinct().groupBy("topic").count().filter("count > 20").collect()]
+    of_many = F.col("a").isin(many) | F.col("b").isin(many)
+    whole, few = ({(r["a"], r["b"]): r["closest"] for r in C.closest_texts(found, first=n).filter(of_many).collect()} for n in (None, 20))
+    pairs = Q._staged_pairs(spark, d, Q.FIT_FREEZE, Q.FIT_AFTER, ("a", "b")).filter(of_many)
+    got = {(min(r["a"], r["b"]), max(r["a"], r["b"])): r["top_pairs_cos"] for r in pairs.collect()}
+    want = {k: whole.get(k, 0) for k in got}
+    assert got == pytest.approx(want) and want != pytest.approx({k: few.get(k, 0) for k in got})
