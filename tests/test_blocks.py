@@ -105,6 +105,13 @@ def test_all_texts_of_topics_count(spark, vectors, monkeypatch, rows, held):
     both = vectors.filter("doc < 'T1-20' or topic <> 'T1'").unionByName(last)
     got = {(r["a"], r["b"]): r["closest"] for r in C.closest_texts(both, first=None).collect()}
     assert got == pytest.approx(by_hand_of(both, None))
+    cells = C.topic_cells(both, first=None).toArrow()  # here, since tasks have the module's own values
+    names, topics = cells.column("topic").to_pylist(), C.Topics(cells)
+    for i, j, _, closest, shared in C.compared(topics, topics):
+        for k in range(i, j):
+            for m in range(len(names)):
+                if names[k] < names[m]:
+                    assert shared[k - i, m] == ((names[k], names[m]) in got) and closest[k - i, m] == pytest.approx(got.get((names[k], names[m]), 0))
     args = topics_frame(spark), records_frame(spark), G.PairRules(most_prior=2, least_after=4)
     table = G.pair_table(*args, cells=session.stage(C.topic_cells(both, first=None), "cells")).collect()
     assert {(r["a"], r["b"]): r["top_pairs_cos"] for r in table} == pytest.approx({(r["a"], r["b"]): got.get((min(r["a"], r["b"]), max(r["a"], r["b"])), 0) for r in table})
