@@ -39,6 +39,9 @@ DEPTH = 64
 ROUTED = 1000
 SCORES = 250_000
 RESCORED = 1000
+#: Of a product's pairs, the share that pass by four-bit scores from which their sketches are scored by a second product: a pair
+#: that is gathered costs as much as some fifty of a product.
+DENSE = 0.02
 HELD = 2_000_000
 #: Words whose hashes a task remembers.
 KNOWN = 250_000
@@ -275,6 +278,18 @@ def _best(found: list[tuple], ids: np.ndarray, k: int, depth: int, dims: int) ->
     return i[keep], j[keep], s[keep]
 
 
+def _passing(mine: np.ndarray, table: np.ndarray, vectors: np.ndarray, coarse: float, fine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the pairs whose four-bit score is `coarse` or more and whose sketches score `fine` or more."""
+    passed = np.flatnonzero(mine @ table.T >= coarse)
+    i, j = np.divmod(passed, len(table))
+    if len(passed) >= DENSE * len(mine) * len(table):
+        s = (mine @ vectors.T).ravel()[passed]
+    else:
+        s = np.concatenate([np.zeros(0, mine.dtype), *(np.einsum("nd,nd->n", mine[i[at : at + RESCORED]], vectors[j[at : at + RESCORED]]) for at in range(0, len(i), RESCORED))])
+    keep = s >= fine
+    return i[keep], j[keep], s[keep]
+
+
 def _scan(shared, dims: int, k: int, depth: int, coarse: float, fine: float):
     """Per block: its index rows, which come first, are held; queries stream by and leave their candidates."""
 
@@ -327,14 +342,9 @@ def _scan(shared, dims: int, k: int, depth: int, coarse: float, fine: float):
                     step = max(64, SCORES // len(own))
                     for lo in range(x, y, step):
                         hi = min(y, lo + step)
-                        i, j = np.divmod(np.flatnonzero(mine @ table[lo:hi].T >= coarse), hi - lo)
-                        i, j = own[i], j + lo
-                        for at in range(0, len(i), RESCORED):
-                            near, row = i[at : at + RESCORED], j[at : at + RESCORED]
-                            s = np.einsum("nd,nd->n", q[near], vectors[row])
-                            keep = s >= fine
-                            found.append((near[keep], row[keep], s[keep]))
-                            held += int(keep.sum())
+                        i, j, score = _passing(mine, table[lo:hi], vectors[lo:hi], coarse, fine)
+                        found.append((own[i], j + lo, score))
+                        held += len(i)
                         if held > 2 * HELD:
                             found = [_best(found, ids, k, depth, dims)]
                             held = max(HELD, len(found[0][0]))

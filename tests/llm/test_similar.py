@@ -241,3 +241,26 @@ def test_no_pair_is_lost_by_signs(spark):
     pairs = spark.createDataFrame([(f"x{i}", f"y{j}") for i in range(5) for j in range(5)], "a string, b string")
     got = {(r["a"], r["b"]): r["cosine"] for r in similar.cosines(pairs, sets, 0.53).collect()}
     assert got == {("x0", "y0"): 2 / 3, ("x1", "y1"): 32 / 60, ("x3", "y3"): 0.53}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02, 2.0])
+def test_pairs_that_pass_whether_gathered_or_multiplied(monkeypatch, share):
+    """Scores of sketches are the same for few pairs that pass and for many; none that passes both is lost."""
+    monkeypatch.setattr(similar, "DENSE", share)
+    monkeypatch.setattr(similar, "RESCORED", 7)
+    rng = np.random.default_rng(5)
+    mine, vectors = (rng.integers(-8, 8, (n, 32)).astype(np.float32) for n in (40, 60))
+    table = vectors + rng.integers(-1, 2, vectors.shape).astype(np.float32)
+    i, j, s = similar._passing(mine, table, vectors, 150, 200)
+    coarse, fine = mine @ table.T, mine @ vectors.T
+    want = np.nonzero((coarse >= 150) & (fine >= 200))
+    assert len(i) and (i.tolist(), j.tolist(), s.tolist()) == (want[0].tolist(), want[1].tolist(), fine[want].tolist())
+    assert not len(similar._passing(mine, table, vectors, 1e9, 0)[0])
+
+
+def test_many_pairs_that_pass_are_not_gathered(monkeypatch):
+    """A fifth of the pairs pass: no row is gathered for a pair, as it was before."""
+    monkeypatch.setattr(np, "einsum", None)
+    rng = np.random.default_rng(6)
+    mine, vectors = (rng.normal(size=(n, 32)).astype(np.float32) for n in (40, 60))
+    assert len(similar._passing(mine, vectors, vectors, 5.0, 5.0)[0]) > 100
